@@ -24,12 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import windows as win
 
 WIDTH, GRAM, STEP = 20, 4, 3
-_PASSAGE = "array<struct<doc0:bigint,low0:bigint,size:bigint>>"
-
 
 def passages(repeats: DataFrame, width: int) -> DataFrame:
     """doc and its recurring passages (doc0, low0, size in words): runs of windows that repeat a run elsewhere."""
@@ -117,21 +116,22 @@ def covered(documents: list[tuple[int, list[bytes]]], phrases: list[tuple[int, i
     return out
 
 
-def located(documents: DataFrame, width: int = WIDTH, gram: int | None = None, step: int | None = None) -> DataFrame:
-    """doc_id, doc, z and the distinct recurring phrases to look for in each document."""
+def located(documents: DataFrame, width: int = WIDTH, gram: int | None = None, step: int | None = None, carry: bool = False) -> DataFrame:
+    """doc_id, doc, z and the recurring phrases to look for in each document; `rest` on demand."""
     gram, step = gram or max(1, width // 5), step or max(1, width // 6)
-    texts = win.packed(documents)
+    texts = win.packed(documents, carry)
     wanted = passages(win.repeated(documents, texts, win.word_units, width, gram, step), width)
     wanted = win.written(wanted, "passages")
     place = ["doc0", "low0", "size"]
     phrases = wanted.join(worded(wanted.select(*place), texts), place)
     lists = phrases.groupBy("doc").agg(F.collect_list(F.struct("doc0", "low0", "phrase")).alias("phrases"))
-    return texts.join(lists, "doc", "left").select("doc_id", "doc", "z", "phrases")
+    return texts.join(lists, "doc", "left").select("doc_id", "doc", "z", "phrases", *(["rest"] if carry else []))
 
 
 def _streamed(found: DataFrame, make, columns: str, kinds: list[pa.DataType]) -> DataFrame:
-    """Apply make(words, removed mask) to every document."""
-    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+    """Apply make(words, removed mask, text) to every document."""
+    carried = [c for c in found.columns if c == "rest"]
+    names = ["doc_id", *carried, *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +140,16 @@ def _streamed(found: DataFrame, make, columns: str, kinds: list[pa.DataType]) ->
             for i, _, raw in win.unpacked(batch):
                 words = [t.split() for t in raw]
                 wanted = [(p["doc0"], p["low0"], p["phrase"]) for k in range(len(raw)) for p in lists[i + k].as_py() or ()]
-                for w, mask in zip(words, covered([(doc[i + k], w) for k, w in enumerate(words)], wanted), strict=True):
-                    for column, value in zip(out, make(w, mask), strict=True):
+                masks = covered([(doc[i + k], w) for k, w in enumerate(words)], wanted)
+                for w, mask, text in zip(words, masks, raw, strict=True):
+                    for column, value in zip(out, make(w, mask, text), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, {columns}")
+    schema = T.StructType([found.schema[c] for c in ("doc_id", *carried)])
+    for c in columns.split(", "):
+        schema = schema.add(*c.split())
+    return found.mapInArrow(run, schema)
 
 
 def _kept(words: list[bytes], mask: np.ndarray) -> bytes:
@@ -154,13 +157,22 @@ def _kept(words: list[bytes], mask: np.ndarray) -> bytes:
 
 
 def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and the text of the words that stay, joined by one space, with the number removed."""
-    return _streamed(located(documents, width), lambda w, m: (_kept(w, m).decode("utf-8", "replace"), int(m.sum())), "kept string, n_removed long", [pa.string(), pa.int64()])
+    """The documents with repeated passages cut out, and n_removed.
+
+    A text that loses nothing stays as it is; of any other the words that stay are joined by one space.
+    """
+
+    def make(words: list[bytes], mask: np.ndarray, text: bytes) -> tuple[str, int]:
+        return (_kept(words, mask) if mask.any() else text).decode("utf-8", "replace"), int(mask.sum())
+
+    found = _streamed(located(documents, width, carry=True), make, "kept string, n_removed long", [pa.string(), pa.int64()])
+    others = [F.col(f"rest.`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    return found.select("doc_id", F.col("kept").alias("text"), *others, "n_removed")
 
 
 def op7_phrases(spark, sf_dir: str) -> DataFrame:
     found = located(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return _streamed(
-        found, lambda w, m: (len(w), int(m.sum()), hashlib.sha256(_kept(w, m)).hexdigest()),
+        found, lambda w, m, text: (len(w), int(m.sum()), hashlib.sha256(_kept(w, m)).hexdigest()),
         "n_words long, n_removed long, kept_sha256 string", [pa.int64(), pa.int64(), pa.string()],
     )

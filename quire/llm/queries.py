@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quire.llm.bpe import op6_bpe
 from quire.llm.chat import op10_chat
+from quire.llm.decontaminate import op3_decontaminate
 from quire.llm.embedding import op8_embedding
 from quire.llm.langid import op2_langid
 from quire.llm.phrases import op7_phrases
@@ -11,5 +13,5 @@ from quire.llm.simhash import op9_simhash
 from quire.llm.suffix import op1_suffix
 from quire.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix, op2_langid, op4_toxicity, op5_quality, op7_phrases, op8_embedding, op9_simhash, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_langid, op3_decontaminate, op4_toxicity, op5_quality, op6_bpe, op7_phrases, op8_embedding, op9_simhash, op10_chat)}
 ORACLE: dict[str, str] = {}

@@ -262,6 +262,12 @@ def near_duplicates(documents: DataFrame, distance: int = 4, width: int = 4, see
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(documents: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
+    """The documents without those of a group that do not have its smallest doc_id; rows without an id stay."""
+    found = near_duplicates(documents, distance, width)
+    return documents.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -139,24 +139,38 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = 20_000, **options
     return fit(doc, term, y, **options)
 
 
+def _scores(model: Machine, column: pa.Array) -> np.ndarray:
+    data, offsets = tb.flat(column)
+    out = [np.zeros(0)]
+    for i, j in tb.groups(offsets):
+        doc, term = term_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        out.append(sigmoid(model.logits(doc, term, j - i)))
+    return np.concatenate(out)
+
+
 def score(documents: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # bounded by `terms`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            data, offsets = tb.flat(batch.column("text"))
-            out = [np.zeros(0)]
-            for i, j in tb.groups(offsets):
-                doc, term = term_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out.append(sigmoid(model.logits(doc, term, j - i)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(shared.value, batch.column("text")))], ["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def accepted(documents: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(machine)  # bounded by `terms`
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = learn(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -31,6 +31,7 @@ import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import textbytes as tb
 from quire.llm.common import written
@@ -38,7 +39,7 @@ from quire.llm.common import written
 #: Order of rows without an id: before all others.
 NO_ID = -(1 << 63)
 #: Rows among which a task settles repetitions before they are shuffled.
-LOCAL_ROWS = 1 << 21
+LOCAL_ROWS = 1 << 20
 #: Bytes of texts that are unpacked at once.
 UNPACKED = 4 << 20
 
@@ -207,12 +208,15 @@ def _settle(rows: DataFrame, last: bool) -> DataFrame:
 
 
 def identified(documents: DataFrame) -> DataFrame:
-    """doc_id, text and `doc`, the id that orders documents."""
-    return documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    """doc_id, text, `doc` (the id that orders documents) and `rest` (a struct of all other columns)."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    return documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), rest.alias("rest"))
 
 
-def packed(documents: DataFrame) -> DataFrame:
-    """Compressed texts dealt by document, kept on disk for the passes."""
+def packed(documents: DataFrame, carry: bool = False) -> DataFrame:
+    """Compressed texts dealt by document, kept on disk for the passes; with the other columns as `rest` on demand."""
+    carried = ["rest"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -220,11 +224,13 @@ def packed(documents: DataFrame) -> DataFrame:
             data, offsets = tb.flat(batch.column("text"))
             view = memoryview(np.ascontiguousarray(data))
             z = [press.compress(view[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pa.array(z, pa.binary())], ["doc_id", "doc", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pa.array(z, pa.binary()), *(batch.column(c) for c in carried)], ["doc_id", "doc", "z", *carried])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = identified(documents).select("doc_id", "text", "doc", *carried)
+    kinds = {c: rows.schema[c].dataType for c in rows.columns}
+    schema = T.StructType([T.StructField("doc_id", kinds["doc_id"]), T.StructField("doc", T.LongType()), T.StructField("z", T.BinaryType()), *(T.StructField(c, kinds[c]) for c in carried)])
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return identified(documents).mapInArrow(run, f"doc_id {kind}, doc long, z binary").repartition(n, "doc").persist(StorageLevel.DISK_ONLY)
+    return rows.mapInArrow(run, schema).repartition(n, "doc").persist(StorageLevel.DISK_ONLY)
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
