@@ -34,7 +34,7 @@ from quire.llm.windows import unpacked
 #: The pre-split pattern of byte-level BPE (fixed value of the vocabulary's format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a task holds before it passes them on.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 17
 
 
 def vocabulary(path: str) -> str:
@@ -50,9 +50,8 @@ def vocabulary(path: str) -> str:
 class Splitter:
     """Cuts a text into the words that BPE treats one by one."""
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, special: list[str]) -> None:
         self.find = regex.compile(PIECES).findall
-        special = [t["content"] for t in json.loads(content)["added_tokens"]]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def __call__(self, text: str) -> list[str]:
@@ -61,6 +60,10 @@ class Splitter:
         return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else self.find(part))]
 
 
+def special_strings(content: str) -> list[str]:
+    return [t["content"] for t in json.loads(content)["added_tokens"]]
+
+
 def piece_table(content: str) -> list[bytes]:
     """The bytes of every token id, empty for unused ids."""
     parts = json.loads(content)
@@ -87,9 +90,18 @@ class Decoder:
         return self.data[ragged(self.starts[ids], self.sizes[ids])].tobytes()
 
 
+def _labels(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning deals there, so that blocks spread evenly."""
+    label = F.col("id").cast("int")
+    rows = spark.range(40 * n).groupBy(F.pmod(F.hash(label), F.lit(n)).alias("p")).agg(F.min(label).alias("label")).collect()
+    found = {r["p"]: r["label"] for r in rows}
+    return [found.get(p, -1 - p) for p in range(n)]
+
+
 def _blocks(documents: DataFrame) -> DataFrame:
-    """doc_id, block and compressed text, dealt by block."""
+    """doc_id, block and compressed text, dealt by block; as many blocks as shuffle partitions."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = F.lit(_labels(documents.sparkSession, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -100,15 +112,16 @@ def _blocks(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(z, pa.binary())], ["doc_id", "block", "z"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    keyed = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int") + 1
+    keyed = documents.select("doc_id", "text", F.element_at(labels, at).cast("int").alias("block"))
     return keyed.mapInArrow(run, f"doc_id {kind}, block int, z binary").repartition(n, "block")
 
 
-def _words(blocks: DataFrame, content) -> DataFrame:
-    """word, block and the word's rank among the block's sorted words."""
+def _words(blocks: DataFrame, special) -> DataFrame:
+    """word and its place: block, and rank among the block's sorted words, in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = Splitter(content.value), {}
+        split, held = Splitter(special), {}
         for batch in batches:
             block = batch.column("block").to_pylist()
             for i, _, texts in unpacked(batch):
@@ -118,9 +131,9 @@ def _words(blocks: DataFrame, content) -> DataFrame:
             words = sorted(held.pop(b))
             for k in range(0, len(words), 1 << 15):
                 some = words[k : k + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.full(len(some), b, np.int32)), pa.array(np.arange(k, k + len(some), dtype=np.int32))], ["word", "block", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array((b << 32) + np.arange(k, k + len(some)))], ["word", "place"])
 
-    return blocks.mapInArrow(run, "word string, block int, rank int")
+    return blocks.mapInArrow(run, "word string, place long")
 
 
 def _encoded(words: DataFrame, content) -> DataFrame:
@@ -162,19 +175,20 @@ def _encoded(words: DataFrame, content) -> DataFrame:
         if held:
             yield packed()
 
-    place = (F.col("block").cast("long") * F.lit(1 << 32) + F.col("rank")).alias("place")
-    table = words.select("word", place).groupBy("word").agg(F.collect_list("place").alias("places"))
+    # dealt before it is grouped: a word has one row per block already, so nothing can be combined earlier
+    table = words.repartition("word").groupBy("word").agg(F.collect_list("place").alias("places"))
     return table.mapInArrow(run, "block int, blob binary")
 
 
 def _assembled(documents: DataFrame, path: str, make, columns: str, kinds: list[pa.DataType]) -> DataFrame:
     """Apply make(ids, decoder) to the token ids of every document."""
     spark = documents.sparkSession
-    content = spark.sparkContext.broadcast(vocabulary(path))  # one vocabulary file
+    text = vocabulary(path)
+    special, content, pieces = special_strings(text), spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(piece_table(text))  # one vocabulary file
     names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        split, decoder, open_ = Splitter(content.value), Decoder(piece_table(content.value)), zstandard.ZstdDecompressor()
+        split, decoder, open_ = Splitter(special), Decoder(pieces.value), zstandard.ZstdDecompressor()
         known: dict[str, int] = {}
         docs = []
         for z in left.column("z"):
@@ -204,7 +218,7 @@ def _assembled(documents: DataFrame, path: str, make, columns: str, kinds: list[
 
     blocks = _blocks(documents)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    back = _encoded(_words(blocks, content), content)
+    back = _encoded(_words(blocks, special), content)
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {columns}")
 
 
