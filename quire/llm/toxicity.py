@@ -66,6 +66,10 @@ class Machine:
         return out
 
 
+#: (document, term) pairs whose factors are held at once while fitting.
+PIECE = 200_000
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -83,32 +87,45 @@ def fit(doc: np.ndarray, term: np.ndarray, y: np.ndarray, *, terms: int = 4096,
     # how far a term's share of label 1 is from chance, in standard deviations; a smaller part by frequency keeps terms that matter only in pairs
     z = np.abs(with_one - seen * rate_of_one) / np.sqrt(seen * rate_of_one * (1 - rate_of_one) + 1e-9)
     z[seen < 3] = 0
-    telling = np.argsort(-z, kind="stable")[: terms - terms // 4]
+    telling = np.argsort(-z, kind="stable")[: terms - terms // 8]
     telling = telling[z[telling] > 2.5]
     rest = np.argsort(-seen, kind="stable")
-    chosen = np.unique(np.concatenate([telling, rest[seen[rest] >= 5][: terms // 4]]))
+    chosen = np.unique(np.concatenate([telling, rest[seen[rest] >= 5][: terms // 8]]))
     if not len(chosen):
         return empty
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[index] >= 0
     at, of = place[index][kept], doc[kept]
-    begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    lengths = np.diff(np.append(begins, len(of)))
-    with_terms = of[begins]
+    # documents in pieces of bounded size, so that a round holds the factors of one piece at a time
+    first = np.searchsorted(of, np.arange(n + 1))
+    pieces, low = [], 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(first, first[low] + PIECE, "right")) - 1)
+        pieces.append((low, min(high, n)))
+        low = min(high, n)
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank)), base
     moments = [[np.zeros_like(np.asarray(p, float)), np.zeros_like(np.asarray(p, float))] for p in (w, v, b)]
     for step in range(1, rounds + 1):
-        rows = v[at]
-        sums = np.add.reduceat(rows, begins, axis=0)
-        logit = np.full(n, b)
-        logit[with_terms] += np.add.reduceat(w[at], begins) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((rows**2).sum(1), begins))
-        error = (sigmoid(logit) - y) / n
-        each = np.repeat(error[with_terms], lengths)
-        pull = each[:, None] * (np.repeat(sums, lengths, axis=0) - rows)
-        gradient_v = np.stack([np.bincount(at, pull[:, k], len(chosen)) for k in range(rank)], 1) + factor_decay * v
-        gradients = (np.bincount(at, each, len(chosen)) + linear_decay * w, gradient_v, error.sum())
+        gradient_w, gradient_v, gradient_b = linear_decay * w, factor_decay * v, 0.0
+        for low, high in pieces:
+            t, d = at[first[low] : first[high]], of[first[low] : first[high]] - low
+            logit = np.full(high - low, b)
+            if len(t):
+                begins = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                lengths = np.diff(np.append(begins, len(d)))
+                rows = v[t]
+                sums = np.add.reduceat(rows, begins, axis=0)
+                logit[d[begins]] += np.add.reduceat(w[t], begins) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((rows**2).sum(1), begins))
+            error = (sigmoid(logit) - y[low:high]) / n
+            gradient_b += error.sum()
+            if len(t):
+                each = np.repeat(error[d[begins]], lengths)
+                gradient_w = gradient_w + np.bincount(t, each, len(chosen))
+                pull = each[:, None] * (np.repeat(sums, lengths, axis=0) - rows)
+                gradient_v = gradient_v + np.stack([np.bincount(t, pull[:, k], len(chosen)) for k in range(rank)], 1)
+        gradients = (gradient_w, gradient_v, gradient_b)
         new = []
         for p, g, m in zip((w, v, b), gradients, moments, strict=True):
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -118,7 +135,7 @@ def fit(doc: np.ndarray, term: np.ndarray, y: np.ndarray, *, terms: int = 4096,
     return Machine(names[chosen], w, v, b)
 
 
-def learn(documents: DataFrame, labels: DataFrame, most: int = 20_000, **options) -> Machine:
+def learn(documents: DataFrame, labels: DataFrame, most: int = 10_000, **options) -> Machine:
     """Fit on at most `most` labelled documents outside the held-out fold."""
     rows = sample(documents, labels, "toxic", fold(5) != 0, most)
 
