@@ -132,6 +132,8 @@ def _words(blocks: DataFrame, special) -> DataFrame:
             for k in range(0, len(words), 1 << 15):
                 some = words[k : k + (1 << 15)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array((b << 32) + np.arange(k, k + len(some)))], ["word", "place"])
+            del words
+            tb.trim()
 
     return blocks.mapInArrow(run, "word string, place long")
 
@@ -150,7 +152,7 @@ def _encoded(words: DataFrame, content) -> DataFrame:
             of = np.repeat(np.arange(sum(len(p) for p in places)), np.concatenate([np.asarray(p.value_lengths()) for p in places]))
             block, rank = at >> 32, at & 0xFFFFFFFF
             sizes = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([t for x in ids for t in x], np.uint32)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             starts = np.cumsum(sizes) - sizes
             order = np.lexsort((rank, block))
             block, rank, of = block[order], rank[order], of[order]
@@ -165,8 +167,9 @@ def _encoded(words: DataFrame, content) -> DataFrame:
         held = 0
         for batch in batches:
             lists = batch.column("places")
-            encodings = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
-            ids += [e.ids for e in encodings]
+            words = batch.column("word").to_pylist()
+            for k in range(0, len(words), 2048):
+                ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(words[k : k + 2048], add_special_tokens=False)]
             places.append(pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lists.value_lengths())]) if len(lists) else pa.array([0], pa.int32()), lists.flatten()))
             held += batch.num_rows
             if held >= HELD_WORDS:
@@ -174,6 +177,9 @@ def _encoded(words: DataFrame, content) -> DataFrame:
                 places, ids, held = [], [], 0
         if held:
             yield packed()
+        places, ids = [], []
+        del tokenizer
+        tb.trim()
 
     # dealt before it is grouped: a word has one row per block already, so nothing can be combined earlier
     table = words.repartition("word").groupBy("word").agg(F.collect_list("place").alias("places"))
@@ -214,6 +220,8 @@ def _assembled(documents: DataFrame, path: str, make, columns: str, kinds: list[
             at = rank[words]
             for column, value in zip(out, make(flat[ragged(start_of[at], size_of[at])], decoder), strict=True):
                 column.append(value)
+        del docs, known, ranks, sizes, flat
+        tb.trim()
         return pa.table([left.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
 
     blocks = _blocks(documents)

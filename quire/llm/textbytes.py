@@ -7,6 +7,8 @@ numpy passes and never a Python step per character.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,3 +125,12 @@ def words(is_gap: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def per_document(index: np.ndarray, n: int) -> np.ndarray:
     """Offsets of the items of each of n documents, given the sorted document of every item."""
     return np.searchsorted(index, np.arange(n + 1))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if release is not None:
+        release(0)

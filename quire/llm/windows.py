@@ -151,6 +151,8 @@ def _settle_locally(key, sub, doc, at) -> Iterator[pa.RecordBatch]:
             [pa.array(spread[rows].view(np.int64)), pa.array(sub[rows].view(np.int64)), pa.array(doc[rows]), pa.array(at[rows]), pa.array(doc[leader[rows]], mask=~of), pa.array(at[leader[rows]], mask=~of)],
             ["key", "sub", "doc", "at", "doc0", "at0"],
         )
+    del order, key, sub, doc, at, first, leader, again, same, keep, spread
+    tb.trim()
 
 
 def _settle(rows: DataFrame, last: bool) -> DataFrame:
