@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from quire.llm.windows import unpacked
 #: The pre-split pattern of byte-level BPE (fixed value of the vocabulary's format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a task holds before it passes them on.
-HELD_WORDS = 1 << 17
+HELD_WORDS = 1 << 16
 
 
 def vocabulary(path: str) -> str:
@@ -142,6 +143,7 @@ def _encoded(words: DataFrame, content) -> DataFrame:
     """Each distinct word encoded once; what each block gets of a batch of words: ranks, counts and ids, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would keep memory of their own
         tokenizer, press = Tokenizer.from_str(content.value), zstandard.ZstdCompressor(level=3)
         tokenizer.no_truncation()
         tokenizer.no_padding()
