@@ -79,9 +79,7 @@ def decontaminated(documents: DataFrame, items: DataFrame, width: int = WIDTH) -
     d = documents.select("doc_id", "text", key, rest).alias("d")
     c = candidates.alias("c")
     both = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h")), "left").select("d.doc_id", "d.text", "d.rest", "c.found")
-    # words only where there is something to compare; elsewhere their number is enough
-    split = both.select("doc_id", "text", "rest", "found", F.when(F.col("found").isNotNull(), words(F.col("text"))).alias("w"))
-    hits = _compared(split)
+    hits = _compared(both)
     return hits.select(
         "doc_id", "text", "rest", "n_words",
         F.expr("aggregate(hits, named_struct('end', 0L, 'n', 0L), (a, f) -> named_struct('end', greatest(a.end, CAST(f.start + f.size AS BIGINT)), 'n', a.n + greatest(0L, f.start + f.size - greatest(a.end, CAST(f.start AS BIGINT)))), a -> a.n)").alias("n_hit"),
@@ -89,15 +87,24 @@ def decontaminated(documents: DataFrame, items: DataFrame, width: int = WIDTH) -
     )
 
 
-def _compared(split: DataFrame) -> DataFrame:
-    """The candidates that hold, by start."""
-    count = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    holds = "array_sort(transform(filter(found, f -> slice(w, f.start + 1, f.size) = f.window), f -> named_struct('start', f.start, 'size', f.size, 'items', f.items)))"
-    none = "CAST(array() AS array<struct<start:int,size:int,items:array<string>>>)"
-    return split.select(
+def _compared(both: DataFrame) -> DataFrame:
+    """The candidates that hold, by start, and the number of words.
+
+    The words are the variable of a lambda, so they are split once a document even where the
+    optimizer copies the expression, and only where there are candidates.
+    """
+    held = F.transform(
+        F.array(words(F.col("text"))),
+        lambda w: F.transform(
+            F.filter("found", lambda f: F.slice(w, f["start"] + 1, f["size"]) == f["window"]),
+            lambda f: F.struct(f["start"].alias("start"), f["size"].alias("size"), f["items"].alias("items")),
+        ),
+    )
+    none = F.expr("CAST(array() AS array<struct<start:int,size:int,items:array<string>>>)")
+    return both.select(
         "doc_id", "text", "rest",
-        F.when(F.col("found").isNotNull(), F.size("w")).otherwise(F.coalesce(count, F.lit(0))).cast("long").alias("n_words"),
-        F.expr(f"CASE WHEN found IS NULL THEN {none} ELSE {holds} END").alias("hits"),
+        F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"),
+        F.when(F.col("found").isNull(), none).otherwise(F.array_sort(F.element_at(held, 1))).alias("hits"),
     )
 
 
