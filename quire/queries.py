@@ -317,3 +317,19 @@ def text_predicates(spark, sf):
 def volume_chars(spark, sf):
     out = documents(spark, sf).rollup("source").agg(F.sum("n_chars").alias("chars"), F.floor(F.sum("n_chars") / 400).alias("minutes"), F.count("*").alias("chapters"), F.grouping("source").cast("long").alias("total"))
     return out.select("source", "chars", "minutes", "chapters", "total")
+
+
+@query()
+def html_text_nodes(spark, sf):
+    from quire.functions.html import text_nodes
+
+    return text_nodes(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "html")
+
+
+@query()
+def html_replacement(spark, sf):
+    from quire.functions.html import spliced_pages
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    done = spliced_pages(pages, "page_id", "html", [("the", "THE"), ("and", "AND"), ("der", "DER")])
+    return done.select("page_id", "changed", F.sha2("content", 256).alias("sha"))
