@@ -91,21 +91,24 @@ def _compared(both: DataFrame) -> DataFrame:
     """The candidates that hold, by start, and the number of words.
 
     The words are the variable of a lambda, so they are split once a document even where the
-    optimizer copies the expression, and only where there are candidates.
+    optimizer copies the expression; documents without candidates are only counted.
     """
     held = F.transform(
         F.array(words(F.col("text"))),
-        lambda w: F.transform(
-            F.filter("found", lambda f: F.slice(w, f["start"] + 1, f["size"]) == f["window"]),
-            lambda f: F.struct(f["start"].alias("start"), f["size"].alias("size"), f["items"].alias("items")),
+        lambda w: F.struct(
+            F.size(w).alias("n"),
+            F.array_sort(
+                F.transform(
+                    F.filter("found", lambda f: F.slice(w, f["start"] + 1, f["size"]) == f["window"]),
+                    lambda f: F.struct(f["start"].alias("start"), f["size"].alias("size"), f["items"].alias("items")),
+                )
+            ).alias("hits"),
         ),
     )
+    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
     none = F.expr("CAST(array() AS array<struct<start:int,size:int,items:array<string>>>)")
-    return both.select(
-        "doc_id", "text", "rest",
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"),
-        F.when(F.col("found").isNull(), none).otherwise(F.array_sort(F.element_at(held, 1))).alias("hits"),
-    )
+    got = F.when(F.col("found").isNull(), F.struct(count.alias("n"), none.alias("hits"))).otherwise(F.element_at(held, 1))
+    return both.select("doc_id", "text", "rest", got.alias("got")).select("doc_id", "text", "rest", F.col("got.n").cast("long").alias("n_words"), F.col("got.hits").alias("hits"))
 
 
 def cleaned(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
