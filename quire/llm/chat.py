@@ -40,8 +40,21 @@ class InstructTemplate:
     _marks = re.compile(r"(?P<user><s>\[INST\] )|<s>\[ROLE (?P<role>(?:[^\\\]]|\\.)*)\] | (?=.|$)", re.S)
     _end = {"user": " [/INST]", "assistant": " </s>", "": " [/ROLE]"}
 
+    def __init__(self) -> None:
+        # the last rendering and the one before it: a prefix one turn longer is a rendering that is known and a turn
+        self._base: tuple[list[Turn], str] = ([], "")
+        self._last: tuple[list[Turn], str] = ([], "")
+
     def __call__(self, turns: list[Turn]) -> str:
-        return "".join(map(self._turn, turns))
+        if not turns:
+            return ""
+        before = turns[:-1]
+        if before == self._last[0]:
+            self._base = self._last
+        elif before != self._base[0]:
+            self._base = (before, "".join(map(self._turn, before)))
+        self._last = (turns, self._base[1] + self._turn(turns[-1]))
+        return self._last[1]
 
     def _turn(self, turn: Turn) -> str:
         role, text = turn
@@ -99,17 +112,19 @@ def render_incrementally(template: Callable[[list[Turn]], str], turns: list[Turn
     """Render every prefix of the turns and locate what each one added."""
     before, out = "", Rendered("")
     for k in range(1, len(turns) + 1):
+        earlier, role = turns[: k - 1], turns[k - 1][0]
+        probes = [template([*earlier, (role, p)]) for p in _PROBES]
         now = template(turns[:k])
-        probes = [template([*turns[: k - 1], (turns[k - 1][0], p)]) for p in _PROBES]
-        at = next((i for i, (x, y) in enumerate(zip(*probes, strict=False)) if x != y), None)
-        if not now.startswith(before) or at is None:
+        if not all(x.startswith(before) for x in (*probes, now)):
             return Rendered(template(turns), rewritten_at=k - 1)
-        tail = len(probes[0]) - at - 1
-        head, foot = probes[0][:at], probes[0][at + 1 :]
-        if at < len(before) or not (now.startswith(head) and now.endswith(foot) and len(now) >= at + tail):
+        # only what comes after the rendering before is looked at, so a turn costs its own length
+        tails = [x[len(before) :] for x in probes]
+        at = next((i for i, (x, y) in enumerate(zip(*tails, strict=False)) if x != y), None)
+        added = now[len(before) :]
+        if at is None or not (added.startswith(tails[0][:at]) and added.endswith(tails[0][at + 1 :]) and len(added) >= len(tails[0]) - 1):
             return Rendered(template(turns), rewritten_at=k - 1)
         out.turns.append((len(before), len(now)))
-        out.texts.append((at, len(now) - tail))
+        out.texts.append((len(before) + at, len(now) - (len(tails[0]) - at - 1)))
         before = now
     out.text = before
     return out
