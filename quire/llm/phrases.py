@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import textbytes as tb
 from quire.llm import windows as win
 
 WIDTH, GRAM, STEP = 20, 4, 3
@@ -145,6 +146,8 @@ def _streamed(found: DataFrame, make, columns: str, kinds: list[pa.DataType]) ->
                     for column, value in zip(out, make(w, mask, text), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in carried), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
+            del out, lists
+        tb.trim()
 
     schema = T.StructType([found.schema[c] for c in ("doc_id", *carried)])
     for c in columns.split(", "):

@@ -84,6 +84,7 @@ def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42) -> DataFr
             parts = [_texts_to_fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, seed) for i, j in tb.groups(offsets)]
             values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        tb.trim()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")

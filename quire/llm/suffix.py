@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import textbytes as tb
 from quire.llm import windows as win
 
 WIDTH, GRAM, STEP = 100, 24, 10
@@ -72,6 +73,7 @@ def _with_kept(spans: DataFrame, make, columns: str, kinds: list[pa.DataType]) -
                     for column, value in zip(out, make(text, *cut(text, cuts[i + k])), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
+        tb.trim()
 
     kind = spans.schema["doc_id"].dataType.simpleString()
     return spans.mapInArrow(run, f"doc_id {kind}, {columns}")

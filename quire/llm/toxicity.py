@@ -172,6 +172,7 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(shared.value, batch.column("text")))], ["doc_id", "score"])
+        tb.trim()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -184,6 +185,7 @@ def accepted(documents: DataFrame, machine: Machine, threshold: float = 0.5) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) < threshold))
+        tb.trim()
 
     return documents.mapInArrow(run, documents.schema)
 

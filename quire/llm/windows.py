@@ -227,6 +227,7 @@ def packed(documents: DataFrame, carry: bool = False) -> DataFrame:
             view = memoryview(np.ascontiguousarray(data))
             z = [press.compress(view[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc"), pa.array(z, pa.binary()), *(batch.column(c) for c in carried)], ["doc_id", "doc", "z", *carried])
+        tb.trim()
 
     rows = identified(documents).select("doc_id", "text", "doc", *carried)
     kinds = {c: rows.schema[c].dataType for c in rows.columns}
