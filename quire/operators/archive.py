@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import hangul_count, is_decorative, numbered_title, strip
@@ -53,6 +53,43 @@ def title_audit(titles: DataFrame, archive: str) -> DataFrame:
     return plain.groupBy(archive).agg(F.count("*").alias("titles"), F.count(F.when(done, 1)).alias("translated"), F.count(F.when(~done, 1)).alias("missing"))
 
 
+def saved_titles(items: DataFrame, archive: str) -> DataFrame:
+    """The last entry (by seq) with a translated title for each chapter of an archive; items are (archive, chapter_index, ko, zh, seq)."""
+    filled = items.withColumn("zh", strip(F.coalesce("zh", F.lit("")))).where("zh <> ''")
+    last = filled.groupBy(archive, "chapter_index").agg(F.max(F.struct("seq", "ko", "zh")).alias("t"))
+    return last.select(archive, "chapter_index", "t.ko", "t.zh")
+
+
+def malformed_issue(raw: Column, parsed: Column, status: Column) -> Column:
+    """What is wrong with a completed chunk: its stored values, the paragraphs read from them, and how they were read."""
+    plain = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda x: strip(F.coalesce(x, F.lit(""))))
+    tail = F.slice(plain, F.lit(2), F.size(plain))
+    head = F.coalesce(F.get(plain, F.lit(0)), F.lit("")).startswith('{"paragraphs"')
+    lines = F.when(head, F.exists(tail, lambda x: x != "")).otherwise(F.size(F.filter(tail, lambda x: x.endswith('",'))) >= 2)
+    return (
+        F.when(lines, "json lines")
+        .when(F.size(F.filter(plain, lambda x: x != "")) == 1, "one blob")
+        .when(F.exists(parsed, lambda p: p.rlike("“{2,}|”{2,}")), "run of quotes")
+        .when(F.exists(parsed, lambda p: strip(p) == ""), "missing paragraphs")
+        .when(status == "fallback_source", "not repairable")
+        .otherwise("other")
+    )
+
+
+def repairable(parsed: Column, status: Column) -> Column:
+    """Whether at least two paragraphs were recovered."""
+    return (F.size(F.filter(parsed, lambda p: strip(p) != "")) >= 2) & status.isin("recovered", "cleaned")
+
+
+def repair_counts(found: DataFrame) -> DataFrame:
+    """(fixed, skipped, unresolved) of malformed chunks (archive, repairable, repaired); those without an archive are skipped."""
+    text = F.exists("repaired", lambda p: strip(p) != "")
+    ready = F.col("repairable") & (F.coalesce(F.size("repaired"), F.lit(0)) > 0)
+    placed = F.coalesce("archive", F.lit("")) != ""
+    count = lambda c, name: F.count(F.when(F.coalesce(c, F.lit(False)), 1)).alias(name)
+    return found.agg(count(ready & placed & text, "fixed"), count(ready & ~placed, "skipped"), count(~F.coalesce(ready, F.lit(False)), "unresolved"))
+
+
 def title_groups(titles: DataFrame) -> DataFrame:
     """Titles (ord, ko) grouped by their core without numbers; the member with the most numbers, the first of those, represents."""
     parts = titles.select("ord", "ko", numbered_title(F.col("ko")).alias("p"))
@@ -60,6 +97,23 @@ def title_groups(titles: DataFrame) -> DataFrame:
     return keyed.groupBy("core").agg(F.min("ord").alias("first_ord"), F.count("*").alias("members"), F.max_by("ko", "rank").alias("representative"))
 
 
+def group_titles(titles: DataFrame, translated: DataFrame) -> DataFrame:
+    """(ord, ko, zh): the translated title of each group's representative (core, zh) given to all members.
+
+    A number of the translation is exchanged for the member's own; a part that the member lacks is left out.
+    """
+    own = titles.select("ord", "ko", numbered_title(F.col("ko")).alias("p")).withColumn("core", F.regexp_replace("p.core", "\\s+", " "))
+    said = translated.select("core", numbered_title(F.col("zh")).alias("r"))
+
+    def part(side: str) -> Column:
+        raw, old, new = F.col(f"r.{side}_raw"), F.col(f"r.{side}"), F.col(f"p.{side}")
+        at = F.instr(raw, old)
+        put = F.concat(F.substring(raw, F.lit(1), at - 1), new, F.substring(raw, at + F.length(old), F.length(raw)))
+        return F.when((raw == "") | (new == ""), "").when((old == "") | (at == 0), raw).otherwise(put)
+
+    return own.join(said, "core").select("ord", "ko", strip(F.concat(part("lead"), F.col("r.core"), part("trail"))).alias("zh"))
+
+
 def matched_titles(saved: DataFrame, chapters: DataFrame, book: str) -> DataFrame:
     """Saved titles (book, key, ko, zh) for chapters (book, chapter_index, title).
 

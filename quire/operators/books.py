@@ -51,6 +51,19 @@ def is_production(title: Column, paragraphs: Column) -> Column:
     return hit
 
 
+def common_title(volumes: DataFrame, series: str, title: str = "title") -> DataFrame:
+    """(series, title): the common start of the titles of its volumes without separators at the end, or the one title they share.
+
+    Only the smallest and the largest title matter: all others lie between them and share what these two share.
+    """
+    named = F.when(strip(F.col(title)) != "", strip(F.col(title)))
+    ends = volumes.groupBy(series).agg(F.min(named).alias("_low"), F.max(named).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    same = F.size(F.filter(F.sequence(F.lit(1), F.length(low)), lambda k: F.substring(low, F.lit(1), k) == F.substring(high, F.lit(1), k)))
+    start = F.regexp_replace(F.substring(low, F.lit(1), same), "[ \\t·—_/-]+$", "")
+    return ends.select(series, F.coalesce(F.when(low == high, low).otherwise(start), F.lit("")).alias("title"))
+
+
 def format_report(chapters: DataFrame, book: str) -> DataFrame:
     """Note chapters and word-count lines of each book."""
     counted = F.size(F.filter("paragraphs", is_word_count_line)).cast("long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import strip
+
 
 def _valid(rows: DataFrame, book: str, least: int) -> DataFrame:
     """Chapters of at least `least` characters, or all where a book has none, with position and number."""
@@ -84,3 +86,21 @@ def report(rows: DataFrame, chosen: DataFrame, book: str, least: int = 300) -> D
         budget(F.col("total_chars")).cast("long").alias("budget_chars"), "first_progress", "last_progress", "middle_covered",
         (F.col("sample_chapters") == F.col("total_chapters")).alias("all_chapters"), (spans | (F.col("sample_chapters") == F.col("total_chapters"))).alias("spans_whole"),
     )
+
+
+def distinct_titles(rows: DataFrame, book: str, most: int = 80, chars: int = 60) -> DataFrame:
+    """(book, position, title): the first `most` different titles of a book, without blank ones and those over `chars` characters."""
+    title = strip(F.coalesce("title", F.lit("")))
+    short = rows.select(book, "position", title.alias("title")).where((F.col("title") != "") & (F.length("title") <= chars))
+    first = short.groupBy(book, "title").agg(F.min("position").alias("position"))
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(book).orderBy("position", "title"))).where(F.col("_n") <= most).select(book, "position", "title")
+
+
+def evenly(rows: DataFrame, book: str, count: int = 10) -> DataFrame:
+    """At most `count` rows of a book at even distances from first to last; halves round to even places."""
+    seen = Window.partitionBy(book)
+    placed = rows.withColumn("_p", F.row_number().over(seen.orderBy("position")) - 1).withColumn("_t", F.count("*").over(seen))
+    some = F.least("_t", F.lit(count))
+    place = lambda i: F.bround(i * (F.col("_t") - 1) / (some - 1), 0).cast("long")
+    wanted = F.when(some > 1, F.transform(F.sequence(F.lit(0).cast("long"), some - 1), place)).otherwise(F.array(F.lit(0).cast("long")))
+    return placed.where(F.array_contains(wanted, F.col("_p").cast("long")) & (some > 0)).drop("_p", "_t")

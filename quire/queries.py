@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
-from quire.operators import archive, books, glossary, sample, segment
+from quire.operators import archive, books, glossary, narrator, sample, segment
 
 #: Headings in the stand-in corpus: a line of one or two words with a full stop.
 LATIN = "^[^ ]+\\.$|^[^ ]+ [^ ]+\\.$"
@@ -333,3 +333,63 @@ def html_replacement(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     done = spliced_pages(pages, "page_id", "html", [("the", "THE"), ("and", "AND"), ("der", "DER")])
     return done.select("page_id", "changed", F.sha2("content", 256).alias("sha"))
+
+
+@query("""SELECT CAST(o_custkey AS BIGINT) AS archive, CAST(month(o_orderdate) AS INT) AS chapter_index, arg_max(o_orderpriority, o_orderkey) AS ko, arg_max(trim(substr(o_orderpriority, 3)), o_orderkey) AS zh
+FROM orders WHERE o_orderstatus <> 'O' AND trim(substr(o_orderpriority, 3)) <> '' GROUP BY 1, 2""")
+def saved_titles(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    zh = F.when(F.col("o_orderstatus") == "O", " ").otherwise(F.substring("o_orderpriority", 3, 99))
+    items = o.select(F.col("o_custkey").alias("archive"), F.month("o_orderdate").alias("chapter_index"), F.col("o_orderpriority").alias("ko"), zh.alias("zh"), F.col("o_orderkey").alias("seq"))
+    return archive.saved_titles(items, "archive")
+
+
+@query("""WITH e AS (SELECT c_nationkey AS series, min(c_name) AS lo, max(c_name) AS hi FROM customer GROUP BY 1)
+SELECT series, CASE WHEN lo = hi THEN lo ELSE regexp_replace(left(lo, CAST(len(list_filter(range(1, length(lo) + 1), lambda k: left(lo, k) = left(hi, k))) AS BIGINT)), '[ \\t·—_/-]+$', '') END AS title FROM e""")
+def common_titles(spark, sf):
+    return books.common_title(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("series"), F.col("c_name").alias("title")), "series")
+
+
+@query("""WITH t AS (SELECT source, trim(left(text, 5)) AS title, min(doc_id) AS position FROM documents WHERE trim(left(text, 5)) <> '' GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS n FROM t) SELECT source, position, title FROM k WHERE n <= 80""".replace("trim(left(text, 5))", f"trim(left(text, 5), {_TRIM})"))
+def distinct_titles(spark, sf):
+    rows = documents(spark, sf).select("source", F.col("doc_id").alias("position"), F.substring("text", 1, 5).alias("title"))
+    return sample.distinct_titles(rows, "source")
+
+
+@query("""WITH d AS (SELECT source, doc_id AS position, n_chars AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS t FROM documents)
+SELECT source, position, chars FROM d WHERE CASE WHEN least(t, 10) > 1 THEN list_contains(list_transform(range(0, least(t, 10)), lambda i: CAST(round_even(i * (t - 1) / (least(t, 10) - 1), 0) AS BIGINT)), p) ELSE p = 0 END""")
+def evenly_spaced(spark, sf):
+    return sample.evenly(_as_chapters(spark, sf), "source").select("source", "position", "chars")
+
+
+@query("""WITH f AS (SELECT doc_id, n_chars, source, string_split(text, chr(10)) AS own FROM documents WHERE n_chars % 3 = 0), c AS (SELECT doc_id FROM documents WHERE n_chars % 2 = 0)
+SELECT doc_id, CAST(CASE WHEN n_chars % 9 = 0 THEN 1 WHEN c.doc_id IS NOT NULL THEN len(own) END AS BIGINT) AS n_paragraphs, n_chars % 9 <> 0 AND c.doc_id IS NULL AS missing FROM f LEFT JOIN c USING (doc_id)""")
+def failed_chunks(spark, sf):
+    d = documents(spark, sf)
+    failed = d.where("n_chars % 3 = 0").select("doc_id", F.when(F.col("n_chars") % 9 == 0, F.array("text")).alias("paragraphs"))
+    own = d.where("n_chars % 2 = 0").select("doc_id", F.split("text", "\n", -1).alias("paragraphs"))
+    found = archive.failed_view(failed, own, "doc_id")
+    return found.select("doc_id", F.when(~F.col("missing"), F.size("paragraphs")).cast("long").alias("n_paragraphs"), "missing")
+
+
+@query("""WITH b AS (SELECT source AS file, doc_id AS block, greatest(n_chars, 1) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), r AS (
+WITH RECURSIVE f AS (SELECT file, k, n AS held, 0 AS batch FROM b WHERE k = 1 UNION ALL
+ SELECT b.file, b.k, CASE WHEN f.held + b.n > 3000 THEN b.n ELSE f.held + b.n END, CASE WHEN f.held + b.n > 3000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN b ON b.file = f.file AND b.k = f.k + 1) SELECT * FROM f)
+SELECT file, CAST(batch AS INT) AS batch, block FROM r JOIN b USING (file, k)""")
+def block_batches(spark, sf):
+    rows = documents(spark, sf).select(F.col("source").alias("file"), F.col("doc_id").alias("block"), F.col("n_chars").alias("chars"))
+    return narrator.batches(rows, "file", 3000)
+
+
+@query()
+def narrator_progress(spark, sf):
+    """Blocks of the pages, a third of them failed and a third completed."""
+    from quire.functions.html import text_nodes
+
+    options = narrator.Options("N", strategy="coverage")
+    blocks = narrator.blocks(text_nodes(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "html"), "page_id", options)
+    errors = blocks.where("block % 3 = 0").select("page_id", "block", F.lit(1).alias("seq"), F.lit("time-out").alias("error"))
+    edits = blocks.where("block % 3 = 1").select("page_id", "block", F.lit(2).alias("seq"), F.transform("segments", F.upper).alias("segments"))
+    events = narrator.failures(blocks, errors, "page_id").unionByName(narrator.manual(blocks, edits, "page_id").where("problem IS NULL").drop("problem"))
+    return narrator.progress(narrator.state(blocks, events, "page_id"), "page_id")
