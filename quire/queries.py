@@ -62,6 +62,23 @@ def chapter_segmentation(spark, sf):
     return c.select("doc_id", F.col("chapter_index").cast("long").alias("chapter_index"), "title", F.size("paragraphs").cast("long").alias("n_paragraphs"), segment.chars(body).alias("chars"))
 
 
+@query(f"""WITH RECURSIVE {_LINES},
+flagged AS (SELECT doc_id, ord, text, length(text) <= 90 AND regexp_matches(text, '{LATIN}') AS h FROM paras),
+parts AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS part, bool_or(h) OVER (PARTITION BY doc_id) AS any_h FROM flagged),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, length(text) AS len FROM parts WHERE NOT any_h),
+f AS (SELECT doc_id, n, len, len + 1 AS held, 0 AS pack FROM p WHERE n = 1
+  UNION ALL SELECT p.doc_id, p.n, p.len, CASE WHEN f.held + p.len + 1 > 8000 THEN p.len + 1 ELSE f.held + p.len + 1 END, CASE WHEN f.held + p.len + 1 > 8000 THEN f.pack + 1 ELSE f.pack END FROM f JOIN p ON p.doc_id = f.doc_id AND p.n = f.n + 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS BIGINT) AS chapter_index, coalesce(max(CASE WHEN h THEN text END), '正文') AS title,
+  count(CASE WHEN NOT h THEN 1 END) AS n_paragraphs, CAST(coalesce(sum(CASE WHEN NOT h THEN length(text) END), 0) AS BIGINT) AS chars
+FROM parts WHERE any_h GROUP BY doc_id, part
+UNION ALL SELECT doc_id, CAST(pack AS BIGINT), '第 ' || (pack + 1) || ' 节', count(*), CAST(sum(len) AS BIGINT) FROM f GROUP BY doc_id, pack""")
+def all_chapters(spark, sf):
+    """Chapters of every document: by headings, or packed by size where a text has none."""
+    c = segment.chapters(documents(spark, sf), (LATIN,), "doc_id")
+    body = F.transform("paragraphs", t.strip)
+    return c.select("doc_id", F.col("chapter_index").cast("long").alias("chapter_index"), "title", F.size("paragraphs").cast("long").alias("n_paragraphs"), segment.chars(body).alias("chars"))
+
+
 @query(f"""WITH RECURSIVE {_LINES},
 p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, length(text) AS len FROM paras),
 f AS (SELECT doc_id, n, len + 1 AS held, 0 AS pack FROM p WHERE n = 1

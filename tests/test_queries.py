@@ -32,3 +32,13 @@ def test_query(spark, duck, name):
     if name in queries.ORACLE:
         want = duck.execute(queries.ORACLE[name])
         assert rows(got, df.columns) == rows(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_all_chapters_cover_documents_without_headings(spark, duck):
+    found = queries.QUERIES["all_chapters"](spark, SF).collect()
+    filled = {r[0] for r in duck.execute("SELECT doc_id FROM documents WHERE trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) <> ''").fetchall()}
+    assert {r["doc_id"] for r in found} == filled
+    headed = {r["doc_id"] for r in queries.QUERIES["chapter_segmentation"](spark, SF).collect()}
+    packed = [r for r in found if r["doc_id"] not in headed]
+    assert packed and all(r["title"] == f"第 {r['chapter_index'] + 1} 节" for r in packed)
+    assert any(r["chapter_index"] > 0 for r in packed)
