@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from quire import queries
+from quire.operators import books
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,13 @@ def test_all_chapters_cover_documents_without_headings(spark, duck):
     packed = [r for r in found if r["doc_id"] not in headed]
     assert packed and all(r["title"] == f"第 {r['chapter_index'] + 1} 节" for r in packed)
     assert any(r["chapter_index"] > 0 for r in packed)
+
+
+def test_organised_keeps_chapters_of_any_depth_and_of_parent_cycles(spark):
+    chain = [("deep", i, i - 1 if i > 1 else None, min(i, 6), f"EP.{i}") for i in range(1, 10)]
+    ring = [("ring", 1, None, 1, "a"), ("ring", 2, 4, 2, "b"), ("ring", 3, 2, 2, "c"), ("ring", 4, 3, 2, "d"), ("ring", 5, 3, 2, "e"), ("ring", 6, 6, 2, "f"), ("ring", 7, 99, 2, "g")]
+    df = spark.createDataFrame(chain + ring, "book string, chapter_index long, parent_index long, heading_level int, title string")
+    found = books.organised(df, "book", "第 x 章", by_number=False).orderBy("book", "new_index").collect()
+    assert [(r["new_index"], r["chapter_index"]) for r in found if r["book"] == "deep"] == [(i, i) for i in range(1, 10)]
+    got = [(r["new_index"], r["chapter_index"], r["new_title"]) for r in found if r["book"] == "ring"]
+    assert got == [(1, 1, "a"), (2, 2, "第 2 章 b"), (3, 3, "第 1 章 c"), (4, 4, "第 1 章 d"), (5, 5, "第 2 章 e"), (6, 6, "第 3 章 f"), (7, 7, "第 4 章 g")]
