@@ -283,3 +283,13 @@ def test_queries_are_registered_and_the_pipeline_runs(spark):
     assert 0 < len(rows) < len(documents)
     for r in rows:
         assert hashlib.sha256(tok.decode(r["ids"], skip_special_tokens=False).encode()).hexdigest() == r["decoded_sha256"]
+
+
+def test_toxicity_keeps_a_quarter_of_the_terms_by_frequency():
+    import inspect
+
+    n, words = 40, 40
+    doc, term = np.repeat(np.arange(n), words), np.tile(np.arange(words, dtype=np.uint64), n)
+    machine = toxicity.fit(doc, term, np.arange(n) % 2.0, terms=32, rounds=1)
+    assert len(machine.terms) == 8  # words of every document tell nothing alone
+    assert inspect.signature(toxicity.learn).parameters["most"].default == 20_000
