@@ -264,9 +264,23 @@ def near_duplicates(documents: DataFrame, distance: int = 4, width: int = 4, see
 
 
 def deduplicated(documents: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """The documents without those of a group that do not have its smallest doc_id; rows without an id stay."""
-    found = near_duplicates(documents, distance, width)
-    return documents.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    """The documents without those of a group that do not have its smallest doc_id.
+
+    Rows without an id stay, and so do all rows with the smallest id of their group.  Where rows of
+    one id have different texts, each goes or stays by its own fingerprint.
+    """
+    found = near_duplicates(documents, distance, width).where("doc_id IS NOT NULL").withColumn("copy", F.col("component_id") != F.col("doc_id"))
+    ids = written(found.groupBy("doc_id").agg(F.min("copy").alias("all_gone"), F.max("copy").alias("any_gone")).where("any_gone"), "copies")
+    mixed = ids.where("NOT all_gone").select("doc_id")
+    whole = documents.join(ids.select("doc_id"), "doc_id", "left_anti")
+    if mixed.isEmpty():
+        return whole
+    # rows of such ids are fingerprinted by their texts
+    rest = documents.join(mixed, "doc_id", "left_semi")
+    prints = fingerprints(rest.select(F.col("text").alias("doc_id"), "text").distinct(), width).select(F.col("doc_id").alias("_text"), "fp")
+    gone = found.where("copy").join(mixed, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), "fp").distinct()
+    of_copies = gone.join(prints, "fp").select("_id", "_text")
+    return whole.unionByName(rest.join(of_copies, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_anti"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -293,3 +293,12 @@ def test_toxicity_keeps_a_quarter_of_the_terms_by_frequency():
     machine = toxicity.fit(doc, term, np.arange(n) % 2.0, terms=32, rounds=1)
     assert len(machine.terms) == 8  # words of every document tell nothing alone
     assert inspect.signature(toxicity.learn).parameters["most"].default == 20_000
+
+
+def test_simhash_keeps_a_clean_text_that_shares_its_id_with_a_copy(spark):
+    rng = np.random.default_rng(8)
+    one, two, three = (" ".join(rng.choice(WORDS, 80)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (3, None), (4, None), (4, three), (5, two), (None, one), (6, "said twice"), (6, "said twice")]
+    got = [(r["doc_id"], r["text"], r["w"]) for r in simhash.deduplicated(widened(spark, rows)).collect()]
+    want = [(1, one), (2, two), (3, None), (4, three), (None, one), (6, "said twice"), (6, "said twice")]
+    assert sorted(got, key=repr) == sorted([(i, t, 1) for i, t in want], key=repr)
