@@ -257,6 +257,15 @@ def assembled_books(spark, sf):
     return out.select("doc_id", F.sha2(F.array_join(F.transform("l", lambda x: x["final"]), "\n"), 256).alias("sha"), "translated")
 
 
+@query(ORACLE["assembled_books"].replace("left(text, 40)", "text || '*'"))
+def assembled_whole_lines(spark, sf):
+    """As assembled_books, with whole lines as the results."""
+    rows = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
+    done = rows.where("ord % 3 <> 0").select("doc_id", "ord", F.concat("text", F.lit("*")).alias("text"))
+    out = archive.assembled(rows, done, "doc_id", "ord").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "final"))).alias("l"), F.sum(F.col("translated").cast("long")).alias("translated"))
+    return out.select("doc_id", F.sha2(F.array_join(F.transform("l", lambda x: x["final"]), "\n"), 256).alias("sha"), "translated")
+
+
 @query("SELECT doc_id, regexp_matches(text, '[0-9a-f]{16,}') AS hit FROM documents WHERE regexp_matches(text, '[0-9a-f]{16,}')")
 def pattern_audit(spark, sf):
     rows = documents(spark, sf).select("doc_id", F.split("text", "\n", -1).alias("paragraphs"))
@@ -410,3 +419,18 @@ def narrator_progress(spark, sf):
     edits = blocks.where("block % 3 = 1").select("page_id", "block", F.lit(2).alias("seq"), F.transform("segments", F.upper).alias("segments"))
     events = narrator.failures(blocks, errors, "page_id").unionByName(narrator.manual(blocks, edits, "page_id").where("problem IS NULL").drop("problem"))
     return narrator.progress(narrator.state(blocks, events, "page_id"), "page_id")
+
+
+@query(ORACLE["matched_titles"].replace("left(text, 3)", "string_split(text, chr(10))[1]"))
+def matched_first_lines(spark, sf):
+    """As matched_titles, with whole first lines as titles."""
+    rows = documents(spark, sf).select("source", F.col("doc_id").alias("chapter_index"), F.split("text", "\n", -1)[0].alias("title"))
+    saved = rows.select("source", (F.col("chapter_index") + 1).alias("key"), F.col("title").alias("ko"), F.concat(F.lit("z"), "chapter_index").alias("zh"))
+    return archive.matched_titles(saved, rows, "source")
+
+
+@query(ORACLE["distinct_titles"].replace("<> '' GROUP BY", f"<> '' AND length(trim(left(text, 5), {_TRIM})) <= 60 GROUP BY").replace("left(text, 5)", "string_split(text, chr(10))[1]"))
+def distinct_first_lines(spark, sf):
+    """As distinct_titles, with whole first lines as titles; the operator leaves out those over 60 characters."""
+    rows = documents(spark, sf).select("source", F.col("doc_id").alias("position"), F.split("text", "\n", -1)[0].alias("title"))
+    return sample.distinct_titles(rows, "source")

@@ -53,3 +53,14 @@ def test_organised_keeps_chapters_of_any_depth_and_of_parent_cycles(spark):
     assert [(r["new_index"], r["chapter_index"]) for r in found if r["book"] == "deep"] == [(i, i) for i in range(1, 10)]
     got = [(r["new_index"], r["chapter_index"], r["new_title"]) for r in found if r["book"] == "ring"]
     assert got == [(1, 1, "a"), (2, 2, "第 2 章 b"), (3, 3, "第 1 章 c"), (4, 4, "第 1 章 d"), (5, 5, "第 2 章 e"), (6, 6, "第 3 章 f"), (7, 7, "第 4 章 g")]
+
+
+def test_whole_lines_reach_the_archive_and_title_operators(spark, duck):
+    import hashlib
+
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    want = {i: hashlib.sha256("\n".join(x + "*" * (n % 3 > 0) for n, x in enumerate(t.split("\n"))).encode()).hexdigest() for i, t in texts.items()}
+    assert {r["doc_id"]: r["sha"] for r in queries.QUERIES["assembled_whole_lines"](spark, SF).collect()} == want
+    titles = queries.QUERIES["distinct_first_lines"](spark, SF).collect()
+    assert all(r["title"] == texts[r["position"]].split("\n")[0].strip() for r in titles)
+    assert any(len(r["title"]) > 5 for r in titles)
