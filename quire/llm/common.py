@@ -1,4 +1,4 @@
-"""Plumbing shared by the operators of this subpackage: scratch tables and graph components."""
+"""Plumbing shared by the operators of this subpackage: scratch tables, joins with hot keys and graph components."""
 
 from __future__ import annotations
 
@@ -15,9 +15,11 @@ _SCRATCH: set[tuple[object, str]] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is named (local tests)."""
+    """The shared folder of the session; a temporary one only where none is named and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -57,6 +59,30 @@ def _remove_all() -> None:
             _remove(spark, path)
 
 
+#: Rows of one key that a join leaves together, and the most keys that can be dealt (which bounds what is broadcast).
+HOT_ROWS, HOT_KEYS = 1_000, 20_000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows: int = HOT_ROWS) -> DataFrame:
+    """Join `many` with `one`, which has a row a key, so that no key of `many` lands in one task.
+
+    Keys with more than `rows` rows, of which there are at most total / rows, are dealt over as
+    many cells as they have `rows` rows, and their row of `one` is repeated for each cell.  The
+    list of such keys is broadcast; `rows` grows with the table where it would exceed HOT_KEYS.
+    """
+    counts = written(many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows), "hot")
+    n, total = counts.agg(F.count("*"), F.sum("_n")).first()
+    if not n:
+        return many.join(one, key, how)
+    limit = max(rows, (total or 0) // HOT_KEYS)
+    cells = F.broadcast(counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_cells")))
+    names = [*many.columns, *(c for c in one.columns if c != key)]
+    # by the row's content, so that a task that is run again deals alike
+    left = many.join(cells, key, "left").withColumn("_cell", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_cells")).cast("int"), F.lit(0)))
+    right = one.join(cells, key, "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), F.coalesce("_cells", F.lit(1)) - 1)))
+    return left.drop("_cells").join(right.drop("_cells"), [key, "_cell"], how).select(*names)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star forest with the components of the given edges: (node, smallest node), roots left out."""
     if not len(a):
@@ -99,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = dealt_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         after = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -11,10 +11,14 @@ independently, and the thresholds come from a dynamic program over estimated cos
 wildcard keys: the part with every choice of t_i bits blanked.  The sample behind the
 estimates steers cost alone; every fingerprint is probed and every candidate verified.
 
+Buckets are counted over all rows and large ones dealt as pairs of blocks; fingerprints and
+components with many rows are dealt over cells (`common.dealt_join`).
+
 Defined cases: a null or wordless text has the fingerprint zero and links like any other;
-repeated rows and equal texts share a fingerprint; rows with a null doc_id get a fingerprint,
-take part in linking, and never name a component unless it has no other id (then null).
-Columns beyond doc_id and text are ignored.
+repeated rows and equal texts share a fingerprint; rows that share a doc_id are fingerprinted,
+linked and kept or dropped one by one; rows with a null doc_id get a fingerprint, take part in
+linking, never name a component unless it has no other id (then null), and are never dropped;
+very long texts are hashed whole.  Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textbytes as tb
-from quire.llm.common import components, forest, written
+from quire.llm.common import components, dealt_join, forest, written
 
 BITS = 64
 #: Fingerprints that estimate the costs of a plan; results do not depend on them.
 PLAN_SAMPLE = 4096
 #: Members of a bucket that one task compares; larger buckets are dealt as pairs of blocks.
 BLOCK = 4096
+#: Large buckets, by the bound on their number, up to which their list is broadcast.
+HOT_BUCKETS = 100_000
 
 
 def _texts_to_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -75,19 +81,19 @@ def _texts_to_fingerprints(data: np.ndarray, offsets: np.ndarray, width: int, se
     return out
 
 
-def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and its fingerprint (a long with the same 64 bits): majority bits of the XXH64 of word shingles."""
+def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42, carry: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id and its fingerprint (a long with the same 64 bits): majority bits of the XXH64 of word shingles; further columns on demand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.flat(batch.column("text"))
             parts = [_texts_to_fingerprints(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, seed) for i, j in tb.groups(offsets)]
             values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64)), *(batch.column(c) for c in carry)], ["doc_id", "fp", *carry])
         tb.trim()
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = [f"{c} {documents.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry)]
+    return documents.select("doc_id", "text", *carry).mapInArrow(run, ", ".join([kinds[0], "fp long", *kinds[1:]]))
 
 
 @dataclass(frozen=True)
@@ -202,35 +208,24 @@ def linked(classes: DataFrame, distance: int = 4) -> DataFrame:
     total = classes.count()
     sample = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(PLAN_SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
     masks = plan(sample, total, distance).masks()
-    rows = len(masks)
-    salts = [np.uint64(int(x)) for x in tb.mix(np.arange(1, rows + 1, dtype=np.uint64))]
-    hot: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for i, mask in enumerate(masks):
-        value, seen = np.unique(sample & np.uint64(mask), return_counts=True)
-        blocks = np.ceil(seen / max(1, len(sample)) * total / BLOCK).astype(np.int64)
-        often = (seen >= 16) & (blocks > 1)
-        if often.any():
-            hot[i] = (value[often], blocks[often])
+    salts = [np.uint64(int(x)) for x in tb.mix(np.arange(1, len(masks) + 1, dtype=np.uint64))]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, mask in enumerate(masks):
-                value = fp & np.uint64(mask)
-                key = tb.mix(value ^ salts[i])
-                deal = np.ones(len(fp), np.int64)
-                if i in hot:
-                    at = np.minimum(np.searchsorted(hot[i][0], value), len(hot[i][0]) - 1)
-                    deal = np.where(hot[i][0][at] == value, hot[i][1][at], 1)
-                plain = deal == 1
-                yield pa.RecordBatch.from_arrays([pa.array(key[plain].view(np.int64)), pa.array(fp[plain].view(np.int64))], ["key", "fp"])
-                for n in np.unique(deal[~plain]):
-                    of = deal == n
-                    own = (tb.mix(fp[of]) % np.uint64(n)).astype(np.int64)
-                    for q in range(n):
-                        low, high = np.minimum(own, q), np.maximum(own, q)
-                        cell = tb.mix(key[of] ^ tb.mix((low * n + high + 1).astype(np.uint64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp[of].view(np.int64))], ["key", "fp"])
+            for salt, mask in zip(salts, masks, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(tb.mix((fp & np.uint64(mask)) ^ salt).view(np.int64)), pa.array(fp.view(np.int64))], ["key", "fp"])
+
+    probes = classes.select("fp").mapInArrow(probe, "key long, fp long")
+    # every bucket is counted: one of more than BLOCK rows is dealt as pairs of blocks, any two rows of it meet in one cell
+    large = written(probes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "buckets")
+    if not large.isEmpty():
+        blocks = large.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))  # at most len(masks) * total / BLOCK rows
+        sized = probes.join(F.broadcast(blocks) if len(masks) * total <= BLOCK * HOT_BUCKETS else blocks, "key", "left")
+        own = F.pmod(F.xxhash64("fp"), "blocks")
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda q: F.xxhash64("key", F.least(own, q), F.greatest(own, q)))
+        plain = sized.where("blocks IS NULL").select("key", "fp")
+        probes = plain.unionByName(sized.where("blocks IS NOT NULL").select(F.explode(pairs).alias("key"), "fp"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -248,39 +243,39 @@ def linked(classes: DataFrame, distance: int = 4) -> DataFrame:
                 keys, values = keys[cut:], values[cut:]
         yield out(keys, values)
 
-    probes = classes.select("fp").mapInArrow(probe, "key long, fp long")
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links between fingerprints."""
     prints = written(fingerprints(documents, width, seed), "fingerprints")
+    return _named(prints, distance).select("doc_id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, distance: int) -> DataFrame:
+    """Rows (fp, doc_id and others) with the component_id of their fingerprint."""
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    label = components(linked(classes, distance))
-    grouped = classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(grouped.join(least, "component").select("fp", "component_id"), "classes")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    label = components(linked(classes, distance)).withColumnRenamed("node", "fp")
+    # a class without links names itself; the others take the least id of their component
+    joined = classes.join(label, "fp", "left")
+    bound = written(joined.where("component IS NOT NULL"), "classes")
+    least = bound.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = dealt_join(bound, least, "component").select("fp", "component_id").unionByName(joined.where("component IS NULL").select("fp", F.col("least").alias("component_id")))
+    return dealt_join(prints, written(named, "classes"), "fp")
 
 
 def deduplicated(documents: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """The documents without those of a group that do not have its smallest doc_id.
+    """The rows that do not go: of every group those with its smallest doc_id stay.
 
-    Rows without an id stay, and so do all rows with the smallest id of their group.  Where rows of
-    one id have different texts, each goes or stays by its own fingerprint.
+    A row goes where its own fingerprint is in a group with a smaller doc_id, whatever other rows
+    share its doc_id.  Rows without an id stay, and so do repeated rows with the smallest id.
     """
-    found = near_duplicates(documents, distance, width).where("doc_id IS NOT NULL").withColumn("copy", F.col("component_id") != F.col("doc_id"))
-    ids = written(found.groupBy("doc_id").agg(F.min("copy").alias("all_gone"), F.max("copy").alias("any_gone")).where("any_gone"), "copies")
-    mixed = ids.where("NOT all_gone").select("doc_id")
-    whole = documents.join(ids.select("doc_id"), "doc_id", "left_anti")
-    if mixed.isEmpty():
-        return whole
-    # rows of such ids are fingerprinted by their texts
-    rest = documents.join(mixed, "doc_id", "left_semi")
-    prints = fingerprints(rest.select(F.col("text").alias("doc_id"), "text").distinct(), width).select(F.col("doc_id").alias("_text"), "fp")
-    gone = found.where("copy").join(mixed, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), "fp").distinct()
-    of_copies = gone.join(prints, "fp").select("_id", "_text")
-    return whole.unionByName(rest.join(of_copies, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_anti"))
+    hashed = documents.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    prints = written(fingerprints(hashed, width, carry=["_h"]), "fingerprints")
+    found = _named(prints.where("doc_id IS NOT NULL"), distance)
+    gone = written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id"), "_h").distinct(), "copies")
+    # rows of one id and equal hash have equal texts but for a collision of 64 bits under one id
+    return documents.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
