@@ -8,9 +8,10 @@ counts are corrected for the filters' false positives and the largest decides.
 A language's filter holds the byte n-grams (lower-cased letters, other ASCII as blanks)
 found in at least `min_share` of its training documents and at least half as often as in
 the language where they are most frequent.  Since shares add up to the n-grams of a mean
-document, this bounds every filter whatever the corpus size.  Training documents are a
-hash-chosen fraction of the eligible rows, about `max_train_docs` in all (documented bound);
-prediction reads every text whole.
+document, this bounds every filter whatever the corpus size.  Training documents are chosen by
+a hash of the id, about `max_train_docs` in all in equal parts a language, but `least` of each
+at least (documented bound); prediction reads every text whole.  A slot has a plane of 64 bits
+for every 64 languages.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text whose
 n-grams are all unknown gets the most frequent training language with score 0; without any
@@ -70,23 +71,25 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """Learned languages in order of preference, the slot masks and each language's false-positive rate."""
+    """Learned languages in order of preference, planes of slot masks (64 languages each) and each language's false-positive rate."""
 
     languages: list[str]
-    slots: np.ndarray
+    planes: list[np.ndarray]
     false_rate: np.ndarray
 
     @classmethod
     def build(cls, languages: list[str], packed: np.ndarray, masks: np.ndarray, bits_per_gram: int = 16) -> Filters:
-        width = next((w for w in (8, 16, 32, 64) if len(languages) <= w), None)
-        if width is None:
-            raise ValueError("more than 64 languages")
+        """From n-grams and their masks, one column of 64 languages each."""
         size = 1 << max(10, int(np.ceil(np.log2(max(1, len(packed)) * bits_per_gram))))
-        slots = np.zeros(size, f"uint{width}")
-        for at in cls._places(packed, size):
-            np.bitwise_or.at(slots, at, masks.astype(slots.dtype))
-        fill = np.array([(slots >> slots.dtype.type(k) & slots.dtype.type(1)).mean() for k in range(len(languages))])
-        return cls(languages, slots, fill**PROBES)
+        planes, fill = [], []
+        for k in range(0, len(languages), 64):
+            count = min(64, len(languages) - k)
+            slots = np.zeros(size, f"uint{next(w for w in (8, 16, 32, 64) if count <= w)}")
+            for at in cls._places(packed, size):
+                np.bitwise_or.at(slots, at, masks[:, k // 64].astype(slots.dtype))
+            planes.append(slots)
+            fill += [(slots >> slots.dtype.type(b) & slots.dtype.type(1)).mean() for b in range(count)]
+        return cls(languages, planes, np.array(fill) ** PROBES)
 
     @staticmethod
     def _places(packed: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -94,10 +97,12 @@ class Filters:
         for k in range(PROBES):
             yield ((h >> np.uint64(k * 21)) & np.uint64(size - 1)).astype(np.int64) if size <= 1 << 21 else (tb.mix(h + np.uint64(k)) & np.uint64(size - 1)).astype(np.int64)
 
-    def lookup(self, packed: np.ndarray) -> np.ndarray:
-        found = None
-        for at in self._places(packed, len(self.slots)):
-            found = self.slots[at] if found is None else found & self.slots[at]
+    def lookup(self, packed: np.ndarray) -> list[np.ndarray]:
+        """For each plane the languages that contain each n-gram."""
+        found: list[np.ndarray] = []
+        size = len(self.planes[0]) if self.planes else 1
+        for at in self._places(packed, size):
+            found = [p[at] & f for p, f in zip(self.planes, found, strict=True)] if found else [p[at] for p in self.planes]
         return found
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +116,8 @@ class Filters:
             begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             total[doc[begins]] += np.diff(np.append(begins, len(doc)))
             for k in range(width):
-                bit = (found >> found.dtype.type(k) & found.dtype.type(1)).astype(np.uint8)
+                plane = found[k // 64]
+                bit = (plane >> plane.dtype.type(k % 64) & plane.dtype.type(1)).astype(np.uint8)
                 hits[doc[begins], k] += np.add.reduceat(bit, begins, dtype=np.int64)
         if not width:
             return np.full(n, -1), np.zeros(n)
@@ -123,14 +129,21 @@ class Filters:
         return np.where(letters, best, -1), np.where(letters, score, 0.0)
 
 
-def learn(documents: DataFrame, eligible: Column, max_train_docs: int = 20_000, min_share: float = 0.02) -> Filters:
-    """Filters from about `max_train_docs` of the eligible rows of (doc_id, text, lang)."""
+def learn(documents: DataFrame, eligible: Column, max_train_docs: int = 20_000, min_share: float = 0.02, least: int = 200) -> Filters:
+    """Filters from about `max_train_docs` of the eligible rows of (doc_id, text, lang).
+
+    Each language gives an equal part of them, but `least` rows at least and all if it has no
+    more, so that a rare one is learned too.
+    """
     rows = documents.where(eligible & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    total = rows.count()
-    part = min(1.0, max_train_docs / max(1, total))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + (part == 1.0)))
-    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not sizes:
+        return Filters.build([], np.zeros(0, np.uint64), np.zeros((0, 0), np.uint64))
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
+    each = max(least, max_train_docs // len(languages))
+    within = F.element_at(F.lit([min(1 << 53, (each << 53) // sizes[x]) for x in languages]), F.array_position(F.lit(languages), F.col("lang")).cast("int"))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < within)
+    sizes = {x: 0 for x in languages} | {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,13 +164,14 @@ def learn(documents: DataFrame, eligible: Column, max_train_docs: int = 20_000,
                 n = np.diff(np.append(begins, len(key)))
                 yield pa.RecordBatch.from_arrays([pa.array(of[begins].astype(np.int32)), pa.array(key[begins].view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    if not languages:
-        return Filters.build([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     counted = chosen.select("text", "lang").mapInArrow(count, "lang int, gram long, n long").where("lang >= 0").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    size = F.element_at(F.lit([float(sizes[x]) for x in languages]).cast("array<double>"), F.col("lang") + 1)
+    size = F.element_at(F.lit([float(max(1, sizes[x])) for x in languages]).cast("array<double>"), F.col("lang") + 1)
     shares = counted.withColumn("share", F.col("n") / size).where(F.col("share") >= min_share).groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("s"))
-    kept = shares.select("gram", F.expr(f"aggregate(filter(s, x -> x.share * 2 >= array_max(transform(s, y -> y.share))), 0L, (m, x) -> m | shiftleft(1L, x.lang))").alias("mask")).toArrow()
-    return Filters.build(languages, kept["gram"].to_numpy().view(np.uint64), kept["mask"].to_numpy().view(np.uint64))
+    own = "filter(s, x -> x.share * 2 >= array_max(transform(s, y -> y.share)))"
+    planes = ", ".join(f"aggregate(filter({own}, x -> x.lang div 64 = {k}), 0L, (m, x) -> m | shiftleft(1L, x.lang % 64))" for k in range((len(languages) + 63) // 64))
+    kept = shares.select("gram", F.expr(f"array({planes})").alias("masks")).toArrow()  # bounded: each text of the sample has few n-grams, and one counts from min_share on
+    masks = np.asarray(kept["masks"].combine_chunks().flatten()).view(np.uint64) if kept.num_rows else np.zeros(0, np.uint64)
+    return Filters.build(languages, kept["gram"].to_numpy().view(np.uint64), masks.reshape(-1, (len(languages) + 63) // 64))
 
 
 def identify(documents: DataFrame, filters: Filters) -> DataFrame:
