@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from quire.llm import textbytes as tb
 from quire.llm import bpe, chat, decontaminate, embedding, labelled, langid, phrases, quality, queries, simhash, suffix, toxicity
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -302,3 +303,63 @@ def test_simhash_keeps_a_clean_text_that_shares_its_id_with_a_copy(spark):
     got = [(r["doc_id"], r["text"], r["w"]) for r in simhash.deduplicated(widened(spark, rows)).collect()]
     want = [(1, one), (2, two), (3, None), (4, three), (None, one), (6, "said twice"), (6, "said twice")]
     assert sorted(got, key=repr) == sorted([(i, t, 1) for i, t in want], key=repr)
+
+
+def test_language_tells_more_languages_than_a_mask_has_bits(spark):
+    rng = np.random.default_rng(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k:02d}": ["".join(rng.choice(list(letters), 6)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(own[f"l{i % 70:02d}"], 12)), f"l{i % 70:02d}") for i in range(1400)]
+    rows += [(2000, "x" * 300_000 + " " + " ".join(own["l69"] * 9000), "l69"), (None, " ".join(own["l03"] * 3), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(df, labelled.fold(4) != 2, max_train_docs=700, least=5)
+    assert len(filters.languages) == 70 and len(filters.planes) == 2
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, filters).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows[:1400]]) > 0.99
+    assert got[2000] == "l69" and got[None] == "l03"
+
+
+def plain_languages(rows, filters, planes):
+    """The decision of language filters in plain Python: sets of n-grams and counts."""
+    size, out = len(planes[0]), {}
+    rounds = lambda x: tb.mix(np.array([x], np.uint64))[0]
+    for i, text in rows:
+        data = "".join(c if c.isalpha() else " " for c in text or "").lower().encode()  # texts of ASCII alone
+        hits, total = [0] * len(filters.languages), 0
+        for n in langid.GRAMS:
+            for k in range(len(data) - n + 1):
+                packed = int.from_bytes(data[k : k + n], "big") | n << 56
+                total += 1
+                h = int(rounds(packed))
+                at = [h >> (p * 21) & (size - 1) for p in range(langid.PROBES)]
+                for b in range(len(hits)):
+                    hits[b] += all(int(planes[b // 64][a]) >> (b % 64) & 1 for a in at)
+        true = [max(0.0, (h - total * f) / max(1e-9, 1 - f)) for h, f in zip(hits, filters.false_rate, strict=True)]
+        best = max(range(len(true)), key=lambda b: (true[b], -b))
+        out[i] = (filters.languages[best], true[best] / sum(true) if sum(true) else 0.0) if any(c.isalpha() for c in text or "") else ("und", 0.0)
+    return out
+
+
+def test_language_scores_are_those_of_a_plain_count(spark):
+    rng = np.random.default_rng(13)
+    vocabularies = {"aa": ["gora", "mita", "selu", "pon"], "bb": ["krzt", "mita", "hrux", "dzem"]}
+    rows = [(i, " ".join(rng.choice(vocabularies["aa" if i % 2 else "bb"], 8)), "aa" if i % 2 else "bb") for i in range(60)] + [(60, None, "aa"), (61, "Gora KRZT 12!", None), (62, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(df, labelled.fold(4) != 2)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, filters).collect()}
+    for i, (lang, score) in plain_languages([r[:2] for r in rows], filters, filters.planes).items():
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, i
+
+
+def test_decontamination_takes_windows_in_blocks_and_equal_rows(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    text = " ".join(rng.choice(WORDS, 200))
+    rows = [(1, text), (1, text), (1, "other " + text[:200]), (2, None), (None, text), (None, text), (3, "clean text of its own"), (4, ""), (5, "eta " * 40_000)]
+    items = spark.createDataFrame([(k, " ".join(text.split()[k * 20 : k * 20 + 14])) for k in range(8)] + [(50, "clean of"), (51, "own")], "item_id long, text string")
+    want = sorted((tuple(r) for r in decontaminate.decontaminated(frame(spark, rows), items).collect()), key=repr)
+    for name, value in (("BLOCK_WINDOWS", 7), ("BROADCAST_KEYS", 0), ("STEP", 5)):
+        monkeypatch.setattr(decontaminate, name, value)
+        got = sorted((tuple(r) for r in decontaminate.decontaminated(frame(spark, rows), items).collect()), key=repr)
+        assert got == want and len(got) == len(rows)
+        kept = [r["doc_id"] for r in decontaminate.cleaned(widened(spark, rows), items).collect()]
+        assert sorted(kept, key=repr) == sorted([2, 4, 5], key=repr)
