@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Keep a table on the executors' disks until `release`; lost blocks are made again from its plan."""
+    _KEPT.append(df.persist(StorageLevel.DISK_ONLY))
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Give back the tables from `kept`; for callers that have written the results that read them."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table from `written` that nothing reads any more."""
     for spark, path in list(_SCRATCH):

@@ -2,13 +2,13 @@
 
 Every byte that lies in a `width`-byte string which also starts earlier (in a document with a
 smaller doc_id, or earlier in the same one) is removed; see `quire.llm.windows` for the
-distribution passes, which order suffixes only as deep as `width` bytes.
+passes, which order suffixes only as deep as `width` bytes and end with the bytes themselves.
 
 Defined cases: null and empty texts have no bytes; documents shorter than `width` lose
-nothing; strings never cross documents.  doc_id orders documents, a null one comes first.
-Rows that share a doc_id count as one document: a string at the same place of both does not
-repeat, and each row gets the spans found under its id, cut to its length.  Other columns are
-ignored.
+nothing; strings never cross documents; very long texts are read whole.  doc_id orders
+documents, a null one comes first.  Rows with one doc_id and different texts are documents of
+their own, in the order of a hash of their texts; equal rows count as one document, and each
+gets its result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ WIDTH, GRAM, STEP = 100, 24, 10
 def removed_spans(documents: DataFrame, width: int = WIDTH, gram: int | None = None, step: int | None = None) -> DataFrame:
     """doc_id, the packed text `z`, and the sorted disjoint byte spans to remove."""
     gram, step = gram or max(1, width * 24 // 100), step or max(1, width // 10)
-    texts = win.packed(documents)
-    found = win.repeated(documents, texts, win.byte_units, width, gram, step).groupBy("doc").agg(F.collect_list("at").alias("ats"))
+    rows = win.identified(documents)
+    texts = win.packed(rows)
+    found = win.repeated(rows, texts, win.byte_units, width, gram, step, literal=True).groupBy("doc").agg(F.collect_list("at").alias("ats"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

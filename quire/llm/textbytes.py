@@ -19,7 +19,9 @@ CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two independent random codes of every byte value, for two independent digests of the same bytes.
+BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_CODE = BYTE_CODES[0]
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -357,9 +357,52 @@ def test_decontamination_takes_windows_in_blocks_and_equal_rows(spark, monkeypat
     rows = [(1, text), (1, text), (1, "other " + text[:200]), (2, None), (None, text), (None, text), (3, "clean text of its own"), (4, ""), (5, "eta " * 40_000)]
     items = spark.createDataFrame([(k, " ".join(text.split()[k * 20 : k * 20 + 14])) for k in range(8)] + [(50, "clean of"), (51, "own")], "item_id long, text string")
     want = sorted((tuple(r) for r in decontaminate.decontaminated(frame(spark, rows), items).collect()), key=repr)
-    for name, value in (("BLOCK_WINDOWS", 7), ("BROADCAST_KEYS", 0), ("STEP", 5)):
+    for name, value in (("BLOCK_WINDOWS", 7), ("BROADCAST_CANDIDATES", 0)):
         monkeypatch.setattr(decontaminate, name, value)
         got = sorted((tuple(r) for r in decontaminate.decontaminated(frame(spark, rows), items).collect()), key=repr)
         assert got == want and len(got) == len(rows)
         kept = [r["doc_id"] for r in decontaminate.cleaned(widened(spark, rows), items).collect()]
         assert sorted(kept, key=repr) == sorted([2, 4, 5], key=repr)
+
+
+@pytest.mark.parametrize("width", [100, 23])
+def test_suffix_takes_unlike_rows_of_one_id_as_documents(spark, width):
+    rng = np.random.default_rng(15)
+    one, two = (" ".join(rng.choice(WORDS, 60)) for _ in range(2))
+    rows = [(3, one), (5, one), (5, two), (5, two), (None, two[:150]), (7, two[40:] + one), (None, None), (9, "é" * 70 + one[:120])]
+    got = [(r["doc_id"], bytes(r["kept"])) for r in suffix.deduplicated(widened(spark, rows), width).collect()]
+    distinct = {(i, t or "") for i, t in rows}
+    hashed = {t: spark.range(1).selectExpr(f"xxhash64('{t}')").first()[0] for _, t in distinct}
+    ordered = sorted(distinct, key=lambda r: (-1 if r[0] is None else r[0], hashed[r[1]]))
+    kept = {ordered[k]: bytes(np.frombuffer(u, np.uint8)[~mask]) for k, (u, mask) in repeats([(k, t) for k, (_, t) in enumerate(ordered)], bytes, width).items()}
+    assert sorted(got, key=repr) == sorted([(i, kept[i, t or ""]) for i, t in rows], key=repr)
+    assert [k for i, k in got if i == 5].count(kept[5, two]) == 2
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_window_rows_are_settled_alike_however_they_are_dealt(hot):
+    import pyarrow as pa
+
+    from quire.llm import windows as win
+
+    rng = np.random.default_rng(16)
+    n = 4000
+    key = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 900, n)).astype(np.uint64)
+    sub, sub2 = rng.integers(0, 12, n).astype(np.uint64), rng.integers(0, 2, n).astype(np.uint64)
+    doc, at = rng.permutation(n).astype(np.int64), np.zeros(n, np.int64)
+    content = dict(zip(doc.tolist(), zip(key.tolist(), sub.tolist(), sub2.tolist(), strict=True), strict=True))
+    tasks = [b for k in range(0, n, 130) for b in win._settle_locally(*(x[k : k + 130] for x in (key, sub, sub2, doc, at)), hot=hot)]
+    table = pa.Table.from_batches(tasks).sort_by([(c, "ascending") for c in ("key", "sub", "sub2", "doc", "at")])
+    for rows in (3, 64, n):
+        out = pa.Table.from_batches(list(win.settled(iter(table.to_batches(rows)), ["key", "sub", "sub2"], False))).to_pylist()
+        opened = {r["doc"] for r in out if r["open"]}
+        again = {r["doc"]: r["doc0"] for r in out if not r["open"]}
+        assert len(out) == len(opened) + len(again) and not opened & set(again)
+        assert all(content[a] == content[b] and b < a for a, b in again.items())
+        contents: dict = {}
+        for c in content.values():
+            contents.setdefault(c[0], set()).add(c)
+        for d, c in content.items():
+            if d not in again:  # of a digit with several contents none is taken to be alone
+                assert (d in opened) >= (len(contents[c[0]]) > 1)
+        assert {content[d] for d in opened} >= {c for s in contents.values() if len(s) > 1 for c in s}
