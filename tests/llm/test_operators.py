@@ -406,3 +406,28 @@ def test_window_rows_are_settled_alike_however_they_are_dealt(hot):
             if d not in again:  # of a digit with several contents none is taken to be alone
                 assert (d in opened) >= (len(contents[c[0]]) > 1)
         assert {content[d] for d in opened} >= {c for s in contents.values() if len(s) > 1 for c in s}
+
+
+@pytest.mark.parametrize(("words", "docs"), [(1 << 19, 20_000), (60, 3)])
+def test_phrases_shards_and_cells_find_every_occurrence(spark, monkeypatch, words, docs):
+    monkeypatch.setattr(phrases, "SHARD_WORDS", words)
+    monkeypatch.setattr(phrases, "CELL_DOCS", docs)
+    monkeypatch.setattr(phrases, "BROADCAST_SHARDS", 1 if words < 100 else 10)
+    rng = np.random.default_rng(17)
+    rows = texts(seed=17)
+    one, two = (" ".join(rng.choice(WORDS, 60)) for _ in range(2))
+    rows += [(300, one), (301, one), (301, one), (302, two[100:] + " " + one), (None, two)]
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in phrases.deduplicated(widened(spark, rows), 20).collect()), key=repr)
+    distinct = sorted(set(rows), key=lambda r: -1 if r[0] is None else r[0])
+    want = {}
+    for k, (u, mask) in repeats([(k, t) for k, (_, t) in enumerate(distinct)], bytes.split, 20).items():
+        kept = b" ".join(w for w, gone in zip(u, mask, strict=True) if not gone).decode()
+        want[distinct[k]] = (kept if mask.any() else distinct[k][1] or "", int(mask.sum()))
+    assert got == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
+
+
+def test_phrases_takes_unlike_rows_of_one_id_as_documents(spark):
+    rng = np.random.default_rng(18)
+    one, two = (" ".join(rng.choice(WORDS, 60)) for _ in range(2))
+    got = [(r["doc_id"], r["n_removed"]) for r in phrases.deduplicated(widened(spark, [(3, one), (5, one), (5, two), (7, two + " end")])).collect()]
+    assert sorted(got) == [(3, 0), (5, 0), (5, 60), (7, 60)]
