@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are dealt into blocks.  A block's distinct words (the tokenizer's own pre-split pieces)
+Texts are dealt into blocks of bounded size.  A block's distinct words (the tokenizer's own pre-split pieces)
 become rows (word, block, rank); grouping by word gives the distinct-word table, where each
 word is encoded once in the whole corpus.  Its ids go back to the blocks that have the word,
 where they are joined by the word's position in every text.  Decoding joins token ids with the
@@ -10,7 +10,8 @@ The vocabulary file is a parameter; its content is broadcast, so executors need
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; a special
 token's string inside a text becomes that token, as the tokenizers library has it; repeated
-rows and rows without an id are encoded like any other; other columns are ignored.
+rows, rows that share an id and rows without one are encoded one by one; a very long text is in
+one block whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from quire.llm.windows import unpacked
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 1 << 16
+#: Bytes of texts that one task holds together.
+BLOCK_BYTES = 16 << 20
 
 
 def vocabulary(path: str) -> str:
@@ -100,9 +103,14 @@ def _labels(spark, n: int) -> list[int]:
 
 
 def _blocks(documents: DataFrame) -> DataFrame:
-    """doc_id, block and compressed text, dealt by block; as many blocks as shuffle partitions."""
+    """doc_id, block and compressed text, dealt by block; blocks have about BLOCK_BYTES, or less where shuffle partitions are more."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = F.lit(_labels(documents.sparkSession, n))
+    total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = max(n, -(-int(total) // BLOCK_BYTES))
+    # rows that share an id, or have none, are dealt by their text
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))
+    # few blocks are spread evenly by name, many by chance
+    block = F.element_at(F.lit(_labels(documents.sparkSession, n)), place.cast("int") + 1) if count == n else place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -113,8 +121,7 @@ def _blocks(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(z, pa.binary())], ["doc_id", "block", "z"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int") + 1
-    keyed = documents.select("doc_id", "text", F.element_at(labels, at).cast("int").alias("block"))
+    keyed = documents.select("doc_id", "text", block.cast("int").alias("block"))
     return keyed.mapInArrow(run, f"doc_id {kind}, block int, z binary").repartition(n, "block")
 
 

@@ -431,3 +431,95 @@ def test_phrases_takes_unlike_rows_of_one_id_as_documents(spark):
     one, two = (" ".join(rng.choice(WORDS, 60)) for _ in range(2))
     got = [(r["doc_id"], r["n_removed"]) for r in phrases.deduplicated(widened(spark, [(3, one), (5, one), (5, two), (7, two + " end")])).collect()]
     assert sorted(got) == [(3, 0), (5, 0), (5, 60), (7, 60)]
+
+
+def brute_links(rows, cosine=0.95):
+    """n_links and component of (id, vector) rows, whose ids may be null or repeat."""
+    x = np.array([v for _, v in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= cosine
+    label = np.array([np.iinfo(np.int64).max if i is None else i for i, _ in rows])
+    for _ in range(60):
+        label = np.array([label[row].min() for row in near])
+    return near.sum(1) - 1, label
+
+
+def test_embedding_trees_are_deep_and_lose_next_to_nothing(spark):
+    rng = np.random.default_rng(19)
+    centre = rng.normal(size=(900, 24))
+    rows = [(i, (centre[i % 900] + rng.normal(size=24) * 0.12).tolist()) for i in range(3600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    classes = embedding.vectors(df).select("vec_id", "vec").withColumnRenamed("vec_id", "id").cache()
+    leaves = embedding.placed(classes, 24, 0.95, 4, 12, 64, 64).groupBy("leaf").count().toPandas()["count"]
+    assert len(leaves) > 4 * 2**6 and leaves.max() <= 3 * 12  # fitted on 64 of 3,600 and split on from there
+    got = {r["vec_id"]: r["n_links"] for r in embedding.near_duplicates(df, leaf=12, fit_sample=64, refit_sample=64).collect()}
+    n, _ = brute_links(rows)
+    assert n.sum() > 2000 and all(got[i] <= n[i] for i in got)
+    assert sum(got.values()) >= 0.99 * n.sum()
+
+
+def test_embedding_links_rows_without_an_id_and_ignores_other_columns(spark):
+    rng = np.random.default_rng(20)
+    base = rng.normal(size=(6, 12))
+    rows = [(i if i % 3 else None, (base[i % 6] + rng.normal(size=12) * 0.02).tolist()) for i in range(60)]
+    rows += [(7, rows[1][1]), (7, rows[2][1]), (None, rows[1][1])]  # repeated ids, equal vectors
+    odd = [(None, None), (None, [0.0] * 12)]
+    df = spark.createDataFrame([(i, v, "x", 1, 2, 3, 4) for i, v in rows + odd], "vec_id long, embedding array<double>, label string, id int, leaf int, n int, component int")
+    n, label = brute_links(rows)
+    last = np.iinfo(np.int64).max
+    want = [(i, int(k), None if c == last else int(c), (None if c == last else int(c)) == i) for (i, _), k, c in zip(rows, n, label, strict=True)]
+    want += [(None, 0, None, True)] * 2
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding.near_duplicates(df, leaf=8).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_bpe_encodes_rows_of_one_id_and_small_blocks_alike(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2000)
+    tok = Tokenizer.from_file(BPE)
+    rows = [*texts(seed=21), (3, "another text of the id"), (3, None), (None, "no id"), (None, "none either")]
+    found = sorted(((r["doc_id"], tuple(r["ids"])) for r in bpe.encoded(widened(spark, rows), BPE).collect()), key=repr)
+    assert found == sorted(((i, tuple(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows), key=repr)
+
+
+def test_toxicity_scores_are_those_of_a_double_loop(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i, " ".join([*rng.choice(WORDS, 6), *["slur"] * (i % 2), *["Folk!"] * (i % 3 == 0)])) for i in range(300)] + [(900, None), (901, ""), (902, "slur folk " * 50_000), (902, "same id")]
+    docs = frame(spark, rows)
+    machine = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 6 == 3)) for i in range(300)], "doc_id long, toxic int"))
+    place = {int(t): k for k, t in enumerate(machine.terms)}
+    want = []
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        terms = sorted({int(toxicity.term_sets(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[1][0]) for w in re.findall(rb"[0-9a-z]+", bytes(toxicity.tb.LOWER[data]))})
+        at = [place[t] for t in terms if t in place]
+        logit = machine.bias + sum(machine.linear[k] for k in at) + sum(float(machine.factors[j] @ machine.factors[k]) for n, j in enumerate(at) for k in at[n + 1 :])
+        want.append((i, 1 / (1 + np.exp(-np.clip(logit, -40, 40)))))
+    got = sorted((r["doc_id"], r["score"]) for r in toxicity.score(docs, machine).collect())
+    assert np.allclose(got, sorted(want))
+
+
+def test_quality_scores_are_those_of_a_plain_measurement(spark):
+    rng = np.random.default_rng(23)
+    rows = [(i, "  ".join(w.title() if k % 5 == 0 else w + "#" * (i % 2) for k, w in enumerate(rng.choice(WORDS, 20))) + "\n42, ok!") for i in range(120)] + [(900, None), (901, ""), (902, "Long | word\n" * 30_000), (902, "one")]
+    docs = frame(spark, rows)
+    ranking = quality.learn(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int"))
+
+    def measured(text):
+        data = (text or "").encode()
+        if not data:
+            return [0.0] * len(quality.NAMES)
+        share = [sum(bool(member[b]) for b in data) / len(data) for member in quality._CLASSES.values()]
+        words, n = data.split(), len(data.split())
+        low, mark, upper = [w.lower() for w in words], set(b"#$%&*+=<>@^_`{|}~\\/[]()!"), set(range(65, 91))
+        lines = data.count(b"\n") + 1
+        rest = [np.log1p(n) / 10, sum(map(len, words)) / n / 10, sum(len(w) > 12 for w in words) / n, sum(len(w) < 3 for w in words) / n, len(set(low)) / n,
+                sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, np.log1p(n / lines) / 10, sum(w[-1] in mark for w in words) / n, sum(w[0] in upper for w in words) / n, sum(len(w) > 1 and w[0] in upper and w[1] in upper for w in words) / n]
+        return [*share, np.log1p(len(data)) / 10, *rest]
+
+    want = []
+    for i, text in rows:
+        z = np.clip((np.array(measured(text)) - ranking.mean) / ranking.scale, -6, 6)
+        strength = sum(a * w for a, w in zip([*z, *abs(z)], ranking.weights, strict=True))
+        want.append((i, 1 / (1 + np.exp(-np.clip(ranking.slope * (strength - ranking.threshold) + np.log(0.3 / 0.7), -40, 40)))))
+    got = sorted((r["doc_id"], r["score"]) for r in quality.score(docs, ranking).collect())
+    assert np.allclose(got, sorted(want))
