@@ -6,12 +6,13 @@ needs every one of its shingles (of three words, or as many as a shorter window
 prefix of one shingle is enough to find candidates: the shingles of a window are ordered by
 rarity, counted over all documents, and documents are joined by the rarest.  Its place in the
 window gives the only place where the window can start; starts before the document or ends
-after it are dropped (positional and length bounds).  Documents are read in segments of `STEP`
-words with the words around them, so what is left is compared word by word in the same scan;
-no text is shuffled.
+after it are dropped (positional and length bounds), and the rest is compared word by word with
+the document.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  Windows and their
 shingles are broadcast, `BLOCK_WINDOWS` windows at a time; more windows take further scans.
+Candidates go to their documents by broadcast while there are at most `BROADCAST_CANDIDATES`,
+which is counted; beyond that the texts are shuffled.
 
 Defined cases: null and wordless texts have no words and no hits; items without words have no
 windows; windows of items without an id still hit but name no item; rows that share a doc_id
@@ -21,18 +22,16 @@ several items count for each of them; very long texts are read whole; other colu
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import written
 
 WIDTH = 10
-#: Words of a shingle, and positions of a document that share a copy of the words around them.
-SHINGLE, STEP = 3, 32
-#: Windows that are broadcast at a time, with eight shingles each at the most; and keys of documents.
-BLOCK_WINDOWS, BROADCAST_KEYS = 100_000, 500_000
+#: Words of a shingle.
+SHINGLE = 3
+#: Windows that are broadcast at a time, with eight shingles each at the most; and candidates.
+BLOCK_WINDOWS, BROADCAST_CANDIDATES = 100_000, 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,74 +54,99 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return begins.select("item", F.expr(f"slice(w, at, {width})").alias("window")).groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once a row, even where the optimizer copies the expression."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _shingled(documents: DataFrame, *columns: str) -> DataFrame:
+    """The columns, n_words, and for each word its place `at` and the word with those after it (a, b, c; null beyond the end)."""
+    split = documents.select(*columns, words(F.col("text")).alias("w"))
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"), F.slice("w", F.lit(3), F.size("w")).alias("c"))
+    return split.select(*columns, F.size("w").alias("n_words"), F.posexplode(zipped).alias("at", "s")).select(*columns, "n_words", "at", "s.a", "s.b", "s.c")
+
 
+def _token(size: int) -> Column:
+    """Hash of the first `size` words of a row of `_shingled`; equal hashes are compared word by word in the end."""
+    return F.xxhash64(*("a", "b", "c")[:size])
 
-def _shingles(w: Column, begin: Column, count: Column, size: int) -> Column:
-    """Hashes of the shingles of `size` words that start at `count` places of w from `begin` (0-based) on; null where w ends before."""
-    one = lambda i: F.when(begin + i + size <= F.size(w), F.xxhash64(*(F.get(w, begin + i + k) for k in range(size))))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
+def _own(table: DataFrame, size: int) -> DataFrame:
+    """(window, items, size, offset, token): the shingles of `size` words of the windows that are cut into such."""
+    of_size = table.where(F.least("size", F.lit(SHINGLE)) == size)
+    offsets = of_size.select("window", "items", "size", F.explode(F.sequence(F.lit(0), F.col("size") - size)).alias("offset"))
+    return offsets.withColumn("token", F.xxhash64(*(F.get("window", F.col("offset") + k) for k in range(size))))
 
-def _ranked(documents: DataFrame, table: DataFrame, sizes: list[int]) -> DataFrame:
+
+def _ranked(documents: DataFrame, table: DataFrame, size: int) -> DataFrame:
     """(token, offset, size, window, items): the windows by their shingle that is rarest in the documents, with its place."""
-    own = reduce(lambda other, k: F.when(F.least("size", F.lit(SHINGLE)) == k, _shingles(F.col("window"), F.lit(0), F.col("size") - k + 1, k)).otherwise(other), sizes, F.array().cast("array<bigint>"))
-    tokens = table.withColumn("own", own).select("window", "items", "size", F.posexplode("own").alias("offset", "token"))
-    every = _let(words(F.col("text")), lambda w: F.concat(*(_shingles(w, F.lit(0), F.size(w) - k + 1, k) for k in sizes)))
-    seen = documents.select(every.alias("every")).select(F.explode("every").alias("token"))
-    seen = seen.join(F.broadcast(tokens.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
+    tokens = _own(table, size)
+    seen = _shingled(documents).select(_token(size).alias("token")).join(F.broadcast(tokens.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     best = tokens.join(F.broadcast(seen), "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("rarest"), F.first("items").alias("items"), F.first("size").alias("size"))
     return best.where("rarest.n > 0").select("rarest.token", "rarest.offset", "size", "window", "items")
 
 
-def _hits(documents: DataFrame, ranked: DataFrame, sizes: list[int], width: int) -> DataFrame:
-    """(doc_id, h, start, size, items): windows of the ranked table that occur in a document, word for word."""
-    around = lambda w, at: F.struct(at.alias("at"), F.greatest(F.lit(0), at - width + 1).alias("low"), F.least(F.size(w) - at, F.lit(STEP)).alias("count"), F.slice(w, F.greatest(F.lit(1), at - width + 2), F.lit(STEP + 2 * width - 2)).alias("part"))
-    segments = _let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(STEP)), lambda at: around(w, at))))
-    cut = documents.select("doc_id", F.xxhash64("text").alias("h"), segments.alias("s")).select("doc_id", "h", F.explode("s").alias("s")).select("doc_id", "h", "s.*")
-    found = None
-    for k in sizes:
-        placed = cut.withColumn("tokens", _shingles(F.col("part"), F.col("at") - F.col("low"), F.col("count"), k))
-        placed = placed.select("doc_id", "h", "at", "low", "part", F.posexplode("tokens").alias("i", "token")).join(F.broadcast(ranked.where(F.least("size", F.lit(SHINGLE)) == k)), "token")
-        start = F.col("at") + F.col("i") - F.col("offset")
-        same = placed.withColumn("start", start).where((F.col("start") >= 0) & (F.slice("part", F.greatest(F.lit(1), F.col("start") - F.col("low") + 1), F.col("size")) == F.col("window")))
-        same = same.select("doc_id", "h", "start", "size", "items")
-        found = same if found is None else found.unionByName(same)
-    return found
-
-
-def contaminations(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, h, hits): for each document with a window in it, by id and hash of its text, the distinct (start, size, items)."""
+def candidates(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, h, found): for the documents with the rarest shingle of a window, by id and hash of the text, the distinct (start, size, window, items)."""
     table = written(windows(items, width).withColumn("size", F.size("window")), "windows")
-    blocks = max(1, -(-table.count() // BLOCK_WINDOWS))
     sizes = sorted(r["k"] for r in table.select(F.least("size", F.lit(SHINGLE)).alias("k")).distinct().collect())  # three at the most
-    found = documents.select("doc_id", F.xxhash64("text").alias("h"), F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items")).limit(0)
-    for b in range(blocks if sizes else 0):
-        block = table.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        found = found.unionByName(_hits(documents, written(_ranked(documents, block, sizes), "ranked"), sizes, width))
-    return written(found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "size", "items"))).alias("hits")), "hits")
+    blocks = max(1, -(-table.count() // BLOCK_WINDOWS))
+    key = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    found = key.select("doc_id", "h", F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items")).alias("f")).limit(0)
+    for b in range(blocks):
+        for size in sizes:
+            block = table.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+            ranked = F.broadcast(written(_ranked(documents, block, size), "ranked"))
+            placed = _shingled(key, "doc_id", "h").select("doc_id", "h", "n_words", "at", _token(size).alias("token")).join(ranked, "token")
+            placed = placed.where("at >= offset AND at - offset + size <= n_words")
+            found = found.unionByName(placed.select("doc_id", "h", F.struct((F.col("at") - F.col("offset")).alias("start"), "size", "window", "items").alias("f")))
+    return written(found.groupBy("doc_id", "h").agg(F.collect_set("f").alias("found")), "candidates")
+
+
+def _joined(documents: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """doc_id, text, `rest` (a struct of all other columns) and the candidates `found` of every document."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
+    rest = (F.struct(*others) if others else F.lit(None)).alias("rest")
+    found = candidates(documents, items, width)
+    count = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
+    d, c = documents.select("doc_id", "text", F.xxhash64("text").alias("h"), rest).alias("d"), found.alias("c")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h"))
+    return d.join(F.broadcast(c) if count <= BROADCAST_CANDIDATES else c, same, "left").select("d.doc_id", "d.text", "d.rest", "c.found")
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit and the items found, for every document."""
-    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    d = documents.select("doc_id", F.xxhash64("text").alias("h"), count.alias("n_words")).alias("d")
-    c = contaminations(documents, items, width).alias("c")
-    hits = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.h") == F.col("c.h")), "left").select("d.doc_id", "n_words", F.coalesce("hits", F.expr("CAST(array() AS array<struct<start:int,size:int,items:array<string>>>)")).alias("hits"))
+    """doc_id, text, `rest` (a struct of all other columns), n_words, n_hit and the items found, for every document."""
+    hits = _compared(_joined(documents, items, width))
     return hits.select(
-        "doc_id", "n_words",
+        "doc_id", "text", "rest", "n_words",
         F.expr("aggregate(hits, named_struct('end', 0L, 'n', 0L), (a, f) -> named_struct('end', greatest(a.end, CAST(f.start + f.size AS BIGINT)), 'n', a.n + greatest(0L, f.start + f.size - greatest(a.end, CAST(f.start AS BIGINT)))), a -> a.n)").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda f: f["items"])))).alias("items"),
     )
 
 
+def _compared(both: DataFrame) -> DataFrame:
+    """The candidates that hold, by start, and the number of words.
+
+    The words are the variable of a lambda, so they are split once a document even where the
+    optimizer copies the expression; documents without candidates are only counted.
+    """
+    held = F.transform(
+        F.array(words(F.col("text"))),
+        lambda w: F.struct(
+            F.size(w).alias("n"),
+            F.array_sort(
+                F.transform(
+                    F.filter("found", lambda f: F.slice(w, f["start"] + 1, f["size"]) == f["window"]),
+                    lambda f: F.struct(f["start"].alias("start"), f["size"].alias("size"), f["items"].alias("items")),
+                )
+            ).alias("hits"),
+        ),
+    )
+    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
+    none = F.expr("CAST(array() AS array<struct<start:int,size:int,items:array<string>>>)")
+    got = F.when(F.col("found").isNull(), F.struct(count.alias("n"), none.alias("hits"))).otherwise(F.element_at(held, 1))
+    return both.select("doc_id", "text", "rest", got.alias("got")).select("doc_id", "text", "rest", F.col("got.n").cast("long").alias("n_words"), F.col("got.hits").alias("hits"))
+
+
 def cleaned(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that hold a window of an item."""
-    keys = contaminations(documents, items, width).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    return documents.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    found = _compared(_joined(documents, items, width)).where("size(hits) = 0")
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in documents.columns))
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
