@@ -179,7 +179,9 @@ def score(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def accepted(documents: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, that score below the threshold."""
+    """The rows, with all their columns, that score below the threshold; all of them where the machine learned nothing."""
+    if not len(machine.terms):
+        return documents
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # bounded by `terms`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

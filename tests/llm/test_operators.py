@@ -259,6 +259,7 @@ def test_toxicity_learns_a_pair_that_no_linear_model_can(spark):
     assert toxicity.accepted(docs, machine).columns == docs.columns
     empty = toxicity.learn(docs, marks.limit(0))
     assert {r["score"] for r in toxicity.score(docs, empty).collect()} == {0.5}
+    assert toxicity.accepted(docs, empty).count() == len(rows)
 
 
 def test_quality_ranks_and_keeps_the_quantile(spark):
