@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from html import escape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.functions.text import DIALOGUE
+
 # Tags and markers of the documents that are read.
 BLOCKS = frozenset("p div li blockquote h1 h2 h3 h4 h5 h6 td th dd dt figcaption pre section article".split())
 SILENT = frozenset(("script", "style", "noscript"))
@@ -21,50 +26,155 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 QUOTES = frozenset(("blockquote", "q", "pre", "code"))
 INNER = re.compile("inner|monologue|thought|soliloquy|心理|内心|独白|心声", re.I)
 LETTER = re.compile("letter|diary|journal|chat|message|mail|书信|日记|聊天|消息|邮件|引用|quote", re.I)
-DIALOGUE = re.compile("“[^”]*”|‘[^’]*’|「[^」]*」|『[^』]*』|\"[^\"]+\"|'[^']+'")
 SKIPPED_NAMES = ("nav", "toc", "contents", "titlepage", "cover", "copyright")
-_TOKEN = re.compile(r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<[^>]*>|[^<]+")
-_TAG = re.compile(r"<\s*(/?)\s*([A-Za-z][A-Za-z0-9:_-]*)")
 
 
-class _Reader(HTMLParser):
-    """Collects text nodes with the block and the ancestors that they stand in."""
+@dataclass(eq=False)
+class Element:
+    """An element of a document with its children in order: elements and texts."""
+
+    tag: str
+    attrs: dict[str, str] = field(default_factory=dict)
+    parent: "Element | None" = None
+    children: list = field(default_factory=list)
+
+    def elements(self) -> Iterator["Element"]:
+        """All elements inside, in document order."""
+        for child in self.children:
+            if isinstance(child, Element):
+                yield child
+                yield from child.elements()
+
+    def texts(self) -> Iterator["Text"]:
+        for child in self.children:
+            if isinstance(child, Element):
+                yield from child.texts()
+            else:
+                yield child
+
+    def text(self) -> str:
+        return "".join(t.value for t in self.texts())
+
+    def ancestors(self) -> Iterator["Element"]:
+        """From the parent up, without the document itself."""
+        node = self.parent
+        while node is not None and node.parent is not None:
+            yield node
+            node = node.parent
+
+    def first(self, *tags: str) -> "Element | None":
+        return next((e for e in self.elements() if e.tag in tags), None)
+
 
-    def __init__(self) -> None:
+@dataclass(eq=False)
+class Text:
+    """Text between two marks of a document: its value, and where it stands in the source."""
+
+    value: str
+    start: int
+    end: int
+    parent: Element
+
+
+class _Builder(HTMLParser):
+    """Builds the tree; every text remembers the part of the source that it was read from."""
+
+    def __init__(self, content: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int]] = []
-        self.nodes: list[tuple[int, str, str, str]] = []  # block, block tag, marks of ancestors, text
-        self.blocks = 0
-        self.nav = False
+        self.root = self.at = Element("")
+        self.lines = [0, *accumulate(len(x) + 1 for x in content.split("\n"))]
+        self.open_text: Text | None = None
+        self.feed(content)
+        self.close()
+        self._mark(len(content))
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _mark(self, place: int | None = None) -> None:
+        """A mark begins here, so a text before it ends."""
+        if self.open_text is not None:
+            self.open_text.end = self._place() if place is None else place
+            self.open_text = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.nav |= tag == "nav"
-        if tag == "p" and any(t == "p" for t, _, _ in self.stack):
-            self.handle_endtag("p")  # a new paragraph ends one left open
-        marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "epub:type"))
-        if tag in BLOCKS:
-            self.blocks += 1
+        self._mark()
+        if tag == "p" and any(e.tag == "p" for e in (self.at, *self.at.ancestors())):
+            self._leave("p")  # a new paragraph ends one left open
+        element = Element(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(element)
         if tag not in VOID:
-            self.stack.append((tag, marks, self.blocks if tag in BLOCKS else 0))
+            self.at = element
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._leave(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
+        self._mark()
+        self._leave(tag)
+
+    def _leave(self, tag: str) -> None:
+        closed = next((e for e in (self.at, *self.at.ancestors()) if e.tag == tag), None)
+        if closed is not None and closed.parent is not None:
+            self.at = closed.parent
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _, _ in self.stack]
-        if data.strip() and not SILENT.intersection(tags):
-            block, name = next(((b, t) for t, _, b in reversed(self.stack) if b), (0, "body"))
-            self.nodes.append((block, name, " ".join(m for t, m, _ in self.stack) + "".join(f" <{t}>" for t in tags if t in QUOTES), data))
+        if self.open_text is not None:
+            self.open_text.value += data
+            return
+        self.open_text = Text(data, self._place(), 0, self.at)
+        self.at.children.append(self.open_text)
+
+    def handle_comment(self, data: str) -> None:
+        self._mark()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def tree(content: str | None) -> Element:
+    return _Builder(content or "").root
+
 
+@dataclass(frozen=True)
+class Node:
+    """A visible text with the block that it stands in (0: none) and the marks of its ancestors."""
 
-def read(content: str) -> _Reader:
-    reader = _Reader()
-    reader.feed(content or "")
-    reader.close()
-    return reader
+    block: int
+    tag: str
+    marks: str
+    text: str
+    start: int
+    end: int
+    replaceable: bool
+
+
+@dataclass
+class Page:
+    root: Element
+    nodes: list[Node]
+
+    @property
+    def nav(self) -> bool:
+        return self.root.first("nav") is not None
+
+
+def read(content: str | None) -> Page:
+    root = tree(content)
+    number = {id(e): n for n, e in enumerate((e for e in root.elements() if e.tag in BLOCKS), 1)}
+    nodes = []
+    for t in root.texts():
+        chain = [t.parent, *t.parent.ancestors()] if t.parent.parent is not None else []
+        tags = [e.tag for e in chain]
+        if not t.value.strip() or SILENT.intersection(tags):
+            continue
+        block = next((e for e in chain if e.tag in BLOCKS), None)
+        marks = " ".join(v for e in reversed(chain) for k, v in e.attrs.items() if k in ("class", "id", "role", "epub:type"))
+        marks += "".join(f" <{x}>" for x in reversed(tags) if x in QUOTES)
+        nodes.append(Node(number[id(block)] if block else 0, block.tag if block else "body", marks, t.value, t.start, t.end, not RAW_SILENT.intersection(tags)))
+    return Page(root, nodes)
 
 
 def classify(tag: str, marks: str, text: str) -> str:
@@ -73,16 +183,16 @@ def classify(tag: str, marks: str, text: str) -> str:
         return "heading"
     if LETTER.search(marks) or any(f"<{q}>" in marks for q in QUOTES):
         return "letter"
-    spoken = bool(DIALOGUE.search(text))
+    spoken = bool(re.search(DIALOGUE, text))
     if INNER.search(marks) or (re.fullmatch(r"[（(].*[）)]", text.strip(), re.S) and not spoken):
         return "monologue"
     return "dialogue" if spoken else "narration"
 
 
-def skipped(name: str, reader: _Reader) -> bool:
+def skipped(name: str, page: Page) -> bool:
     """Documents that hold no text of their own: with a nav element, or named as such."""
     parts = re.split(r"[/\\.]", name.lower())
-    return reader.nav or any(p in SKIPPED_NAMES for p in parts)
+    return page.nav or any(p in SKIPPED_NAMES for p in parts)
 
 
 def text_nodes(pages: DataFrame, key: str, content: str) -> DataFrame:
@@ -92,8 +202,8 @@ def text_nodes(pages: DataFrame, key: str, content: str) -> DataFrame:
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for k, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, (block, tag, marks, text) in enumerate(read(html).nodes):
-                    for column, value in zip(rows, (k, i, block, tag, classify(tag, marks, text), text), strict=True):
+                for i, n in enumerate(read(html).nodes):
+                    for column, value in zip(rows, (k, i, n.block, n.tag, classify(n.tag, n.marks, n.text), n.text), strict=True):
                         column.append(value)
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [key, "node", "block", "tag", "class", "text"])
@@ -102,32 +212,34 @@ def text_nodes(pages: DataFrame, key: str, content: str) -> DataFrame:
     return pages.select(key, content).mapInArrow(run, f"{key} {kind}, node int, block int, tag string, class string, text string")
 
 
-def raw_texts(document: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of text between tags outside head, title, script, style and noscript."""
-    out, silent, at = [], [], 0
-    for token in _TOKEN.finditer(document):
-        text = token[0]
-        if text.startswith("<"):
-            tag = _TAG.match(text)
-            if tag and (name := tag[2].lower()) in RAW_SILENT:
-                if tag[1]:
-                    if name in silent:
-                        del silent[len(silent) - 1 - silent[::-1].index(name) :]
-                elif not text.endswith("/>"):
-                    silent.append(name)
-        elif not silent and text.strip():
-            out.append((token.start(), token.end(), text))
-        at = token.end()
-    return out if at else []
+def replaced_at(document: str, changes: list[tuple[int, int, str]]) -> str:
+    """The document with (start, end, text) in place of those parts, escaped; everything else stays byte for byte."""
+    for start, end, text in sorted(changes, reverse=True):
+        document = document[:start] + escape(text, quote=False) + document[end:]
+    return document
 
 
 def spliced(document: str, change: Callable[[str], str]) -> tuple[str, int]:
-    """The document with change applied to its texts, everything else byte for byte, and how many texts changed."""
-    changed = 0
-    for start, end, text in reversed(raw_texts(document)):
-        if (new := change(text)) != text:
-            document, changed = document[:start] + new + document[end:], changed + 1
-    return document, changed
+    """The document with change applied to its texts as they are read, and how many texts changed."""
+    nodes = [n for n in read(document).nodes if n.replaceable]
+    changes = [(n.start, n.end, new) for n in nodes if (new := change(n.text)) != n.text]
+    return replaced_at(document, changes), len(changes)
+
+
+def spliced_blocks(document: str, blocks: dict[int, tuple[list[str], list[str]]]) -> tuple[str, set[int], set[int]]:
+    """The document with blocks (number: source texts, new texts) replaced whole, the blocks done, and those that differ from their source."""
+    found: dict[int, list[Node]] = {}
+    for n in read(document).nodes:
+        found.setdefault(n.block, []).append(n)
+    changes, done, differ = [], set(), set()
+    for number, (source, new) in blocks.items():
+        nodes = found.get(number, [])
+        if [n.text for n in nodes] != source or len(new) != len(nodes) or not all(n.replaceable for n in nodes):
+            differ.add(number)
+            continue
+        changes += [(n.start, n.end, x) for n, x in zip(nodes, new, strict=True)]
+        done.add(number)
+    return replaced_at(document, changes), done, differ
 
 
 def spliced_pages(pages: DataFrame, key: str, content: str, pairs: list[tuple[str, str]]) -> DataFrame:

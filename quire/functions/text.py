@@ -7,14 +7,25 @@ same characters as Python's str.strip, which Spark's trim does not.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What Python's str.strip and \\s take for blank; Java's \\s knows ASCII alone.
 _BLANK = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+#: Decimal digits of all scripts.
+_DIGITS = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Nd")
+
+
+def u(pattern: str) -> str:
+    """A Java pattern in which white space, digits and word characters are those of all scripts, as in Python."""
+    return "(?U)" + pattern.replace("\\s", f"[{_BLANK}]").replace("\\d", "\\p{Nd}")
+
+
 # Formats of the documents that are read and written.
 SENTENCE_END = ".!?…。！？"
 HANGUL = "\\u1100-\\u11ff\\u3130-\\u318f\\ua960-\\ua97f\\uac00-\\ud7af\\ud7b0-\\ud7ff"
@@ -27,11 +38,17 @@ NO_TITLE_PARTS = ("收起封面", "关闭封面")
 LEAD_NUMBERS = (
     "^\\s*(?:[Cc]hapter|CH\\.?|Ch\\.?)\\s*(\\d+)\\s*[-–—:：.、]?\\s*",
     "^\\s*제\\s*(\\d+)\\s*[장话話화회回章節节]?\\s*[-–—:：.、]?\\s*",
-    "^\\s*第\\s*(\\d+)\\s*[章回话節节話會회]?\\s*[-–—:：.、]?\\s*",
+    "^\\s*第\\s*(\\d+)\\s*[章回话節节話회]?\\s*[-–—:：.、]?\\s*",
     "^\\s*[（(]\\s*(\\d+)\\s*[）)]\\s*[-–—:：.、]?\\s*",
     "^\\s*(\\d+)\\s*[-–—:：.、]\\s*",
 )
 TRAIL_NUMBERS = ("\\s*[（(]\\s*(\\d+)\\s*[）)]\\s*$", "\\s*[-–—]?\\s*(\\d+)\\s*$")
+DIALOGUE = "“[^”]*”|‘[^’]*’|「[^」]*」|『[^』]*』|\"[^\"]+\"|'[^']+'"
+# Cleaning of paragraphs: remains of a JSON key, numbers before a paragraph, remains of quotes, punctuation.
+JSON_KEY = '^\\s*\\{?"(?:paragraphs|translation|text|content|p\\d*)"\\s*:\\s*\\[?\\s*'
+LIST_NUMBERS = ("^\\s*\\[\\d+\\]\\s*", "^\\s*\\(\\d+\\)\\s*", "^\\s*\\d+\\.\\s+")
+QUOTE_EDGES = (('^"+\\s*(?=[“”‘’\\u4e00-\\u9fff])', ""), ('[”"]\\s*,\\s*$', ""), ('”["”]*$', "”"))
+PUNCTUATION = (("\\.{3,}", "……"), ("[!！]{2,}", "！"), ("[?？]{2,}", "？"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -70,7 +87,7 @@ def without_markers(c: Column, image: str = "【插图】") -> Column:
 
 
 def is_skip_line(c: Column) -> Column:
-    return F.lower(replaced(strip(c), "[\\s.:：。·\\-–—]+\\z")).isin(*SKIP_LINES)
+    return F.lower(replaced(strip(c), u("[\\s.:：。·\\-–—]+\\z"))).isin(*SKIP_LINES)
 
 
 def is_decorative(c: Column) -> Column:
@@ -98,34 +115,37 @@ def hangul_count(c: Column) -> Column:
 
 
 def is_word_count_line(c: Column) -> Column:
-    return c.rlike(WORD_COUNT)
+    return c.rlike(u(WORD_COUNT))
 
 
 def has_dialogue(c: Column) -> Column:
-    return c.rlike("“[^”]*”|‘[^’]*’|「[^」]*」|『[^』]*』|\"[^\"]+\"|'[^']+'")
+    return c.rlike(DIALOGUE)
 
 
 def looks_like_body_title(c: Column) -> Column:
     """A short line that is neither a note, a menu entry, a sentence nor a bare number."""
-    t = strip(F.coalesce(c, F.lit("")))
-    core = replaced(t, "[”’\"「」』】》>)\\]）]+\\z")
-    part = F.lit(False)
-    for p in NO_TITLE_PARTS:
-        part = part | t.contains(p)
-    return (
-        (F.length(t) > 0) & (F.length(t) <= 60) & ~is_word_count_line(t) & ~t.isin(*NO_TITLE_LINES) & ~part
-        & ~core.rlike("[。！？…!?，、；：:]\\z") & ~t.rlike("^[\\d\\s（）()、，,.\\-—]+\\z")
-    )
+
+    def like(t: Column) -> Column:
+        core = replaced(t, "[”’\"「」』】》>)\\]）]+\\z")
+        part = F.lit(False)
+        for p in NO_TITLE_PARTS:
+            part = part | t.contains(p)
+        return (
+            (F.length(t) > 0) & (F.length(t) <= 60) & ~is_word_count_line(t) & ~t.isin(*NO_TITLE_LINES) & ~part
+            & ~core.rlike("[。！？…!?，、；：:]\\z") & ~t.rlike(u("^[\\d\\s（）()、，,.\\-—]+\\z"))
+        )
+
+    return let(strip(F.coalesce(c, F.lit(""))), like)
 
 
 def body_title(paragraphs: Column, pattern: str | None = None, scan: int = 5) -> Column:
     """(title, at) from the first lines that are no word counts: a match of the pattern anywhere among them beats a title-like line."""
     numbered = F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     head = F.slice(F.filter(numbered, lambda x: ~is_word_count_line(x["p"])), 1, scan)
-    found = lambda x: F.struct(strip(F.regexp_extract(x["p"], pattern, 0)).alias("title"), x["i"].alias("at")) if pattern else None
+    found = lambda x: F.struct(strip(F.regexp_extract(x["p"], u(pattern), 0)).alias("title"), x["i"].alias("at")) if pattern else None
     like = F.transform(F.filter(head, lambda x: looks_like_body_title(x["p"])), lambda x: F.struct(strip(x["p"]).alias("title"), x["i"].alias("at")))
     first = F.get(like, F.lit(0))
-    return first if pattern is None else F.coalesce(F.get(F.transform(F.filter(head, lambda x: x["p"].rlike(pattern)), found), F.lit(0)), first)
+    return first if pattern is None else F.coalesce(F.get(F.transform(F.filter(head, lambda x: x["p"].rlike(u(pattern))), found), F.lit(0)), first)
 
 
 def numbered_title(c: Column) -> Column:
@@ -135,8 +155,8 @@ def numbered_title(c: Column) -> Column:
         # the first pattern that matches decides
         raw, num = F.lit(""), F.lit("")
         for p in reversed(patterns):
-            raw = F.when(text.rlike(p), F.regexp_extract(text, p, 0)).otherwise(raw)
-            num = F.when(text.rlike(p), F.regexp_extract(text, p, 1)).otherwise(num)
+            raw = F.when(text.rlike(u(p)), F.regexp_extract(text, u(p), 0)).otherwise(raw)
+            num = F.when(text.rlike(u(p)), F.regexp_extract(text, u(p), 1)).otherwise(num)
         return let(F.struct(text.alias("t"), raw.alias("raw"), num.alias("num")), lambda s: use(s["t"], s["raw"], s["num"]))
 
     def split(text: Column) -> Column:
@@ -150,6 +170,11 @@ def numbered_title(c: Column) -> Column:
     return let(strip(F.coalesce(c, F.lit(""))), split)
 
 
+def number_of(c: Column) -> Column:
+    """The number that a run of digits of any script means; null for anything else."""
+    return F.translate(c, _DIGITS, "0123456789" * (len(_DIGITS) // 10)).try_cast("bigint")
+
+
 def format_prefix(template: str, number: Column) -> Column:
     """A title prefix with the number in place of {n}, {num}, {} or a lone x, else after it."""
     text, n = template.strip(), number.cast("string")
@@ -175,6 +200,8 @@ def state_name(c: Column) -> Column:
 
 def substituted(text: str, values: dict[str, Column]) -> Column:
     """A template with ${name} or {name} replaced; unknown names become empty."""
+    if not text:
+        return F.lit("")
     parts = re.split(r"\$?\{(\w+)\}", text)
     return F.concat(*(F.lit(p) if k % 2 == 0 else values.get(p, F.lit("")).cast("string") for k, p in enumerate(parts)))
 
@@ -190,9 +217,9 @@ def collapsed_quotes(c: Column) -> Column:
 
 def json_edges_stripped(c: Column) -> Column:
     """Without quotes and commas left from a JSON array around a paragraph."""
-    c = replaced(c, '^"+\\s*(?=[“”‘’\\u4e00-\\u9fff])')
-    c = replaced(c, '[”"]\\s*,\\s*\\z')
-    return replaced(c, '”["”]*\\z', "”")
+    for pattern, by in QUOTE_EDGES:
+        c = replaced(c, u(pattern).replace("$", "\\z"), by)
+    return c
 
 
 @dataclass(frozen=True)
@@ -227,9 +254,10 @@ class Cleaning:
             return c
         out = c
         if self.strip_json_residue:
-            out = replaced(out, '^\\s*\\{?"(?:paragraphs|translation|text|content|p\\d*)"\\s*:\\s*\\[?\\s*')
+            out = replaced(out, u(JSON_KEY))
         if self.strip_numbers:
-            out = replaced(replaced(replaced(out, "^\\s*\\[\\d+\\]\\s*"), "^\\s*\\(\\d+\\)\\s*"), "^\\s*\\d+\\.\\s+")
+            for pattern in LIST_NUMBERS:
+                out = replaced(out, u(pattern))
         if self.strip_json_residue:
             out = _unbalanced(out, lambda t: t.startswith("{") & ~t.endswith("}"), "^[{\\n\\r\\t ]+")
             for mark, other in (("}", "{"), ("]", "["), (",", ",")):
@@ -242,13 +270,14 @@ class Cleaning:
         if self.collapse_quotes:
             out = json_edges_stripped(collapsed_quotes(out))
         if self.polish_punctuation:
-            out = replaced(replaced(replaced(out, "\\.{3,}", "……"), "[!！]{2,}", "！"), "[?？]{2,}", "？")
+            for pattern, by in PUNCTUATION:
+                out = replaced(out, pattern, by)
         for rule in self.rules:
             if rule.enabled and rule.pattern:
                 if not rule.is_regex:
                     out = F.replace(out, F.lit(rule.pattern), F.lit(rule.replace))
                 elif valid_pattern(rule.pattern):
-                    out = replaced(out, rule.pattern, rule.replace)
+                    out = replaced(out, u(rule.pattern), rule.replace)
         return F.when(F.length(c) == 0, c).otherwise(strip(out))
 
     def all(self, paragraphs: Column) -> Column:
@@ -316,13 +345,13 @@ def aligned(items: Column, expected: Column, source: Column | None = None) -> Co
 def json_strings(c: Column) -> Column:
     """Quoted strings of a broken JSON text without its structural keys."""
     found = F.transform(F.regexp_extract_all(c, F.lit('"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1)), strip)
-    return F.filter(found, lambda s: (F.length(s) >= 2) & ~s.isin("paragraphs", "translation", "text", "content") & ~s.rlike("^[pP]\\d+$"))
+    return F.filter(found, lambda s: (F.length(s) >= 2) & ~s.isin("paragraphs", "translation", "text", "content") & ~s.rlike(u("^[pP]\\d+$")))
 
 
 def json_payload(c: Column) -> Column:
     """The JSON value in a reply as a variant: the whole, a fenced part, the outermost braces or brackets; null if none parses."""
     part = lambda p: F.try_parse_json(F.regexp_extract(c, p, 1))
-    return F.coalesce(F.try_parse_json(strip(c)), part("(?s)```(?:json)?\\s*(.*?)```"), part("(?s)(\\{.*\\})"), part("(?s)(\\[.*\\])"))
+    return F.coalesce(F.try_parse_json(strip(c)), part(u("(?si)```(?:json)?\\s*(.*?)```")), part("(?s)(\\{.*\\})"), part("(?s)(\\[.*\\])"))
 
 
 def safe_resource_name(c: Column) -> Column:
@@ -333,8 +362,8 @@ def safe_resource_name(c: Column) -> Column:
 
 
 def css_urls(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("url\\(\\s*['\"]?([^'\")]+?)['\"]?\\s*\\)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(u("url\\(\\s*['\"]?([^'\")]+?)['\"]?\\s*\\)")), F.lit(1))
 
 
 def volume_of(source_id: Column) -> Column:
-    return F.regexp_extract(source_id, "^(v\\d+):", 1)
+    return F.regexp_extract(source_id, u("^(v\\d+):"), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import hangul_count, is_decorative, numbered_title, strip
+from quire.functions.text import hangul_count, is_decorative, numbered_title, strip, u
 
 
 def latest(ledger: DataFrame, *keys: str) -> DataFrame:
@@ -93,7 +93,7 @@ def repair_counts(found: DataFrame) -> DataFrame:
 def title_groups(titles: DataFrame) -> DataFrame:
     """Titles (ord, ko) grouped by their core without numbers; the member with the most numbers, the first of those, represents."""
     parts = titles.select("ord", "ko", numbered_title(F.col("ko")).alias("p"))
-    keyed = parts.withColumn("core", F.regexp_replace("p.core", "\\s+", " ")).withColumn("rank", F.struct((F.col("p.trail") != "").alias("t"), (F.col("p.lead") != "").alias("l"), (-F.col("ord")).alias("o")))
+    keyed = parts.withColumn("core", F.regexp_replace("p.core", u("\\s+"), " ")).withColumn("rank", F.struct((F.col("p.trail") != "").alias("t"), (F.col("p.lead") != "").alias("l"), (-F.col("ord")).alias("o")))
     return keyed.groupBy("core").agg(F.min("ord").alias("first_ord"), F.count("*").alias("members"), F.max_by("ko", "rank").alias("representative"))
 
 
@@ -102,7 +102,7 @@ def group_titles(titles: DataFrame, translated: DataFrame) -> DataFrame:
 
     A number of the translation is exchanged for the member's own; a part that the member lacks is left out.
     """
-    own = titles.select("ord", "ko", numbered_title(F.col("ko")).alias("p")).withColumn("core", F.regexp_replace("p.core", "\\s+", " "))
+    own = titles.select("ord", "ko", numbered_title(F.col("ko")).alias("p")).withColumn("core", F.regexp_replace("p.core", u("\\s+"), " "))
     said = translated.select("core", numbered_title(F.col("zh")).alias("r"))
 
     def part(side: str) -> Column:

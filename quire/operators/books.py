@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quire.functions.text import PRODUCTION_MARKS, PRODUCTION_TITLE, format_prefix, is_word_count_line, strip
+from quire.functions.text import PRODUCTION_MARKS, PRODUCTION_TITLE, format_prefix, is_word_count_line, number_of, strip, u
 from quire.operators.segment import remapped
 
 
@@ -90,11 +90,13 @@ def with_word_counts(chapters: DataFrame, template: str = "（本章字数：{ch
 def title_records(chapters: DataFrame) -> DataFrame:
     """The first number of each title, and what stands before and after it."""
     t = strip(F.coalesce("title", F.lit("")))
-    number = F.regexp_extract(t, "(\\d+)", 1)
-    has = number != ""
-    return chapters.withColumn("number", F.when(has, F.expr("try_cast(regexp_extract(title, '([0-9]+)', 1) AS BIGINT)"))).withColumn(
-        "prefix", F.when(has, F.regexp_extract(t, "^(.*?)\\d+", 1)).otherwise(t)
-    ).withColumn("content", F.when(has, F.regexp_replace(t, "^.*?\\d+", "")).otherwise(""))
+    digits = F.regexp_extract(t, u("(\\d+)"), 1)
+    has = digits != ""
+    return (
+        chapters.withColumn("number", F.when(has, number_of(digits)))
+        .withColumn("prefix", F.when(has, F.regexp_extract(t, u("(?s)^(.*?)\\d+"), 1)).otherwise(t))
+        .withColumn("content", F.when(has, F.regexp_replace(t, u("(?s)^.*?\\d+"), "")).otherwise(""))
+    )
 
 
 def _tree_places(index: list, parent: list, number: list, by_number: bool) -> tuple[list[int], list[int]]:

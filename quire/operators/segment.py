@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import SENTENCE_END, let, normalized_title, strip, strip_invisible
+from quire.functions.text import SENTENCE_END, let, normalized_title, strip, strip_invisible, u, valid_pattern
 
 # Headings of the books that are read.
 HEADINGS = (
@@ -20,6 +20,12 @@ HEADING_CHARS = 90
 FALLBACK_CHARS = 8000
 
 
+def heading_patterns(given: list[str] | tuple[str, ...]) -> tuple[str, ...]:
+    """A user's patterns, matched from the start of a line whatever the case; blank and broken ones are left out, and where none is left the fixed ones hold."""
+    said = [p.strip() for p in given if p and p.strip()]
+    return tuple(f"(?i)^(?:{u(p)})" for p in said if valid_pattern(p)) or HEADINGS
+
+
 def lines(text: Column) -> Column:
     """Lines without format characters; CRLF and CR count as line ends."""
     return F.transform(F.split(F.regexp_replace(text, "\\r\\n?", "\n"), "\n", -1), strip_invisible)
@@ -161,21 +167,40 @@ def signature(chunks_: DataFrame, book: str = "book_id") -> DataFrame:
     return chunks_.groupBy(book).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("signature"), F.count("*").alias("total_chunks"))
 
 
+def _resplit_title(pattern: str, group: int) -> Column:
+    """The group of a match, or the whole match where the group took no part."""
+    whole = strip(F.regexp_extract("text", u(pattern), 0))
+    return whole if not group else F.coalesce(F.nullif(strip(F.regexp_extract("text", u(pattern), group)), F.lit("")), whole)
+
+
+def _resplit_parts(stream: DataFrame, pattern: str, book: str, order: list[str]) -> DataFrame:
+    seen = Window.partitionBy(book).orderBy(*order)
+    marked = stream.where(strip(F.col("text")) != "").withColumn("hit", F.col("text").rlike(u(pattern)))
+    return marked.withColumn("part", F.sum(F.col("hit").cast("int")).over(seen)).withColumn("ends", F.max("part").over(Window.partitionBy(book)))
+
+
 def resplit(stream: DataFrame, pattern: str, group: int = 0, book: str = "book_id") -> DataFrame:
     """Paragraphs (book, ord, text) cut at lines that match; a last heading without text is dropped, earlier ones stay."""
-    order = Window.partitionBy(book).orderBy("ord")
-    marked = stream.where(strip(F.col("text")) != "").withColumn("hit", F.col("text").rlike(pattern))
-    parts = marked.withColumn("part", F.sum(F.col("hit").cast("int")).over(order)).withColumn("ends", F.max("ord").over(Window.partitionBy(book)))
-    title = strip(F.regexp_extract("text", pattern, group))
-    rows = parts.groupBy(book, "part").agg(
-        F.coalesce(F.max(F.when(F.col("hit"), title)), F.lit("正文")).alias("title"),
+    rows = _resplit_parts(stream, pattern, book, ["ord"]).groupBy(book, "part").agg(
+        F.coalesce(F.max(F.when(F.col("hit"), _resplit_title(pattern, group))), F.lit("正文")).alias("title"),
         F.count(F.when(~F.col("hit"), 1)).alias("n_paragraphs"),
         F.coalesce(F.sum(F.when(~F.col("hit"), F.length("text"))), F.lit(0)).alias("chars"),
-        (F.max("ord") == F.max("ends")).alias("final"),
+        F.max("ends").alias("ends"),
     )
-    kept = rows.where((F.col("n_paragraphs") > 0) | ~F.col("final"))
+    kept = rows.where((F.col("n_paragraphs") > 0) | (F.col("part") < F.col("ends")))
     return kept.withColumn("chapter_index", F.row_number().over(Window.partitionBy(book).orderBy("part"))).select(book, "chapter_index", "title", "n_paragraphs", "chars")
 
 
+def resplit_stream(stream: DataFrame, pattern: str, group: int, book: str, order: list[str]) -> DataFrame:
+    """As `resplit`, with the paragraphs themselves: (book, chapter_index, title, paragraphs)."""
+    rows = _resplit_parts(stream, pattern, book, order).groupBy(book, "part").agg(
+        F.coalesce(F.max(F.when(F.col("hit"), _resplit_title(pattern, group))), F.lit("正文")).alias("title"),
+        F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct(*order, "text")))).alias("p"), F.max("ends").alias("ends"),
+    )
+    kept = rows.where((F.size("p") > 0) | (F.col("part") < F.col("ends")))
+    number = F.row_number().over(Window.partitionBy(book).orderBy("part"))
+    return kept.select(book, number.alias("chapter_index"), "title", F.transform("p", lambda x: x["text"]).alias("paragraphs"))
+
+
 def clean_title(c: Column) -> Column:
     return normalized_title(c)

@@ -1,8 +1,11 @@
 """Work done by an external text-completion service, as a resumable plan.
 
-The service is any object with complete(prompt: str) -> str, made once a partition by a
-factory.  Every chunk gets a completed or a failed entry; a failure never stops the others, and
-a later run works on what is still pending.  Entries are appended to a ledger, never rewritten.
+The service is any object with complete(prompt: str) -> str, made once a task by a factory.
+Every piece of work gets a completed or a failed entry; a failure never stops the others, and a
+later run works on what is still pending.  Entries are appended to a ledger, never rewritten.
+
+Translation, titles, glossaries and rewriting differ in their prompts and in how a reply is
+read; the calls themselves are `asked`.
 """
 
 from __future__ import annotations
@@ -12,47 +15,90 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import reconciled
+from quire.functions.replies import json_value, translated
+from quire.functions.text import is_decorative, one_pass, strip
 from quire.operators.archive import latest, pending
 
 LEDGER = "chunk_id string, reply string, error string, attempts int, seq long"
+#: Entries that a task hands on together.
+HELD = 16
 
 
 class Completer(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
-def prompts(chunks: DataFrame, instruction: str) -> DataFrame:
-    """chunk_id and a prompt with numbered paragraphs."""
-    lines = F.transform("paragraphs", lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p))
-    return chunks.select("chunk_id", F.concat(F.lit(instruction + "\n"), F.array_join(lines, "\n")).alias("prompt"))
+class JsonRequired:
+    """A service whose replies must hold JSON: others count as failures and are asked for again."""
+
+    def __init__(self, service: Completer) -> None:
+        self.service = service
 
+    def complete(self, prompt: str) -> str:
+        reply = self.service.complete(prompt)
+        json_value(reply)
+        return reply
 
-def completed(work: DataFrame, factory: Callable[[], Completer], seq: int = 0, retries: int = 4, delay: float = 3.0, tasks: int | None = None) -> DataFrame:
-    """A ledger entry for every (chunk_id, prompt); waits double after each failure, and `tasks` bounds the calls at a time."""
+
+def numbered(paragraphs: Column) -> Column:
+    """Paragraphs as lines with their numbers from 1."""
+    return F.array_join(F.transform(paragraphs, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n")
+
+
+def prompts(chunks: DataFrame, instruction: str) -> DataFrame:
+    """chunk_id and a prompt with numbered paragraphs; with the title and the number of paragraphs where chunks have a title."""
+    head = [F.concat(F.lit("Chapter: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Paragraphs: "), F.size("paragraphs").cast("string"))] if "title" in chunks.columns else []
+    return chunks.select("chunk_id", F.concat_ws("\n", F.lit(instruction), *head, numbered(F.col("paragraphs"))).alias("prompt"))
+
+
+def asked(work: DataFrame, key: str, factory: Callable[[], Completer], seq: int = 0, retries: int = 4, delay: float = 3.0, tasks: int | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
+    """A ledger entry (with `key` for chunk_id) for every row (key, prompt).
+
+    Waits double after each failure, and `tasks` bounds the calls at a time.  Where `stop` is
+    given and says so, the rest of the work gets no entry and stays pending.
+    """
+    schema = pa.schema([(key, pa.string()), ("reply", pa.string()), ("error", pa.string()), ("attempts", pa.int32()), ("seq", pa.int64())])
+
+    def one(service: Completer, prompt: str) -> tuple[str | None, str | None, int]:
+        error = None
+        for attempt in range(1, retries + 1):
+            try:
+                reply = service.complete(prompt)
+                if reply is None:
+                    raise ValueError("empty reply")
+                return reply, None, attempt
+            except Exception as e:  # noqa: BLE001  a service fails in its own ways
+                error = f"{type(e).__name__}: {e}"
+                if attempt < retries:
+                    time.sleep(delay * 2 ** (attempt - 1))
+        return None, error, retries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        service = factory()
+        service = None
         for batch in batches:
-            for key, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reply = error = None
-                for attempt in range(1, retries + 1):
-                    try:
-                        reply, error = service.complete(prompt), None
-                        if reply is None:
-                            raise ValueError("empty reply")
-                        break
-                    except Exception as e:  # noqa: BLE001  a service fails in its own ways
-                        error = f"{type(e).__name__}: {e}"
-                        if attempt < retries:
-                            time.sleep(delay * 2 ** (attempt - 1))
-                yield pa.RecordBatch.from_pydict({"chunk_id": [key], "reply": [reply], "error": [error], "attempts": [attempt], "seq": [seq]}, schema=pa.schema([("chunk_id", pa.string()), ("reply", pa.string()), ("error", pa.string()), ("attempts", pa.int32()), ("seq", pa.int64())]))
-
-    dealt = work.select("chunk_id", "prompt")
-    return (dealt.repartition(tasks) if tasks else dealt).mapInArrow(run, LEDGER)
+            held: list[dict] = []
+            for name, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if stop is not None and stop():
+                    break
+                service = service or factory()
+                reply, error, attempts = one(service, prompt)
+                held.append({key: name, "reply": reply, "error": error, "attempts": attempts, "seq": seq})
+                if len(held) == HELD:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema)
+
+    dealt = work.select(F.col(key).cast("string").alias(key), "prompt")
+    return (dealt.repartition(tasks) if tasks else dealt).mapInArrow(run, LEDGER.replace("chunk_id", key, 1))
+
+
+def completed(work: DataFrame, factory: Callable[[], Completer], **options) -> DataFrame:
+    """A ledger entry for every (chunk_id, prompt)."""
+    return asked(work, "chunk_id", factory, **options)
 
 
 def resumed(chunks: DataFrame, ledger: DataFrame, instruction: str, factory: Callable[[], Completer], **options) -> DataFrame:
@@ -61,9 +107,63 @@ def resumed(chunks: DataFrame, ledger: DataFrame, instruction: str, factory: Cal
     return completed(prompts(pending(chunks, done, "chunk_id"), instruction), factory, **options)
 
 
-def results(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Chunks with their replies as paragraphs of the expected number, or the source where there is none."""
+def rounds(spark: SparkSession, chunks: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], most: int = 3, **options) -> DataFrame:
+    """Run until nothing is pending, at most `most` times, and return the ledger kept in `folder`.
+
+    Each round appends a file set, so that a run that is broken off loses its own round alone.
+    """
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(folder)
+    for _ in range(most):
+        ledger = spark.read.schema(LEDGER).parquet(folder)
+        done = latest(ledger, "chunk_id").where(F.col("error").isNull())
+        if pending(chunks, done, "chunk_id").isEmpty():
+            break
+        seq = (ledger.agg(F.max("seq")).first()[0] or 0) + 1
+        resumed(chunks, ledger, instruction, factory, seq=seq, **options).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def progress(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(total, completed, failed, pending) of the chunks, for a caller that watches a run."""
+    last = latest(ledger, "chunk_id").select("chunk_id", F.col("error").isNull().alias("ok"))
+    both = chunks.select("chunk_id").join(last, "chunk_id", "left")
+    return both.agg(F.count("*").alias("total"), F.count(F.when(F.col("ok"), 1)).alias("completed"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), F.count(F.when(F.col("ok").isNull(), 1)).alias("pending"))
+
+
+def results(chunks: DataFrame, ledger: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Chunks with their replies as paragraphs of the expected number, glossary pairs applied, or the source where there is none."""
     done = latest(ledger, "chunk_id").where(F.col("error").isNull()).select("chunk_id", "reply")
     both = chunks.join(done, "chunk_id", "left")
-    fitted = reconciled(F.split("reply", "\n+"), F.size("paragraphs"))
+    fitted = translated(F.col("reply"), F.size("paragraphs"))
+    fitted = F.transform(fitted, lambda p: one_pass(p, pairs)) if pairs else fitted
     return both.withColumn("final", F.when(F.col("reply").isNotNull(), fitted).otherwise(F.col("paragraphs"))).drop("reply")
+
+
+def title_prompts(chapters: DataFrame, book: str, instruction: str, glossary: str = "none") -> DataFrame:
+    """(book, prompt): all titles of a book that are no decoration, with the numbers of their chapters, in one piece of work."""
+    plain = chapters.where((F.coalesce("title", F.lit("")) != "") & ~is_decorative(F.col("title")))
+    listed = plain.groupBy(book).agg(F.array_sort(F.collect_list(F.struct("chapter_index", "title"))).alias("_t"))
+    lines = F.array_join(F.transform("_t", lambda x: F.concat(F.lit("["), x["chapter_index"].cast("string"), F.lit("] "), x["title"])), "\n")
+    return listed.select(book, F.concat(F.lit(f"{instruction}\nNames:\n{glossary}\n\nTitles, each after its number:\n"), lines).alias("prompt"))
+
+
+def title_results(chapters: DataFrame, ledger: DataFrame, book: str) -> DataFrame:
+    """Chapters with title_zh from replies {"titles": {"number": title}}; null where a reply has none or cannot be read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, reply in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    said = json_value(reply)
+                except ValueError:
+                    continue
+                titles = said.get("titles") if isinstance(said, dict) else None
+                rows += [{"book": name, "number": str(k), "title_zh": str(v).strip()} for k, v in titles.items() if v] if isinstance(titles, dict) else []
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("book", pa.string()), ("number", pa.string()), ("title_zh", pa.string())]))
+
+    done = latest(ledger, book).where(F.col("error").isNull()).select(F.col(book).cast("string").alias("book"), "reply")
+    found = done.mapInArrow(read, "book string, number string, title_zh string").where(strip(F.col("title_zh")) != "").dropDuplicates(["book", "number"]).withColumnRenamed("title_zh", "_zh")
+    said = (F.coalesce("title", F.lit("")) != "") & ~is_decorative(F.col("title"))
+    same = (F.col(book).cast("string") == F.col("book")) & (F.col("chapter_index").cast("string") == F.col("number"))
+    return chapters.alias("c").join(found.alias("f"), same, "left").select("c.*", F.when(said, F.col("f._zh")).alias("title_zh"))

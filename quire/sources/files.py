@@ -103,9 +103,9 @@ def epub_chapters(data: bytes) -> list[tuple[int, str, str, int, list[str]]]:
             if skipped(name, page):
                 continue
             blocks: dict[int, tuple[str, list[str]]] = {}
-            for block, tag, _, text in page.nodes:
-                if tag != "title":
-                    blocks.setdefault(block, (tag, []))[1].append(text)
+            for n in page.nodes:
+                if n.replaceable:
+                    blocks.setdefault(n.block, (n.tag, []))[1].append(n.text)
             lines = [(tag, re.sub(r"\s+", " ", "".join(parts)).strip()) for tag, parts in blocks.values()]
             head = next(((int(tag[1]), text) for tag, text in lines if re.fullmatch("h[1-3]", tag) and text), None)
             body = list(dict.fromkeys(text for tag, text in lines if text and (head is None or text != head[1])))

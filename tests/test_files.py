@@ -81,3 +81,15 @@ def test_completion_records_failures_and_resumes(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         ledger.finished(spark, source, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).select(F.count("*"), F.countDistinct("chunk_id")).first()[:] == (2, 2)
+
+
+def test_splicing_reads_and_writes_entities():
+    page = "<p>a &amp; b &lt;c&gt; é</p><p>x < y</p>"
+    assert html.spliced(page, lambda t: t.replace("a & b", "p & <q>")) == ("<p>p &amp; &lt;q&gt; &lt;c&gt; é</p><p>x < y</p>", 1)
+    assert html.spliced(page, lambda t: t.replace("x < y", "z")) == ("<p>a &amp; b &lt;c&gt; é</p><p>z</p>", 1)
+
+
+def test_blocks_are_replaced_whole_or_not_at_all():
+    page = '<body><h1>H</h1>\n<p>one <b>two</b></p><p>three</p><div id="k">four</div></body>'
+    blocks = {2: (["one ", "two"], ["1 ", "<2>"]), 3: (["other"], ["3"]), 4: (["four"], ["a", "b"]), 9: (["x"], ["y"])}
+    assert html.spliced_blocks(page, blocks) == (page.replace("one ", "1 ").replace("two", "&lt;2&gt;"), {2}, {3, 4, 9})
