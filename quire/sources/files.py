@@ -7,21 +7,15 @@ from __future__ import annotations
 
 import hashlib
 import io
-import posixpath
-import re
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.html import classify, read, skipped
+from quire.sources import epub
 
-#: Tried in this order (fixed values).
-ENCODINGS = ("utf-8", "utf-8-sig", "cp949", "euc-kr", "utf-16")
 KINDS = {".txt": "txt", ".epub": "epub"}
 
 
@@ -31,12 +25,7 @@ def decode(data: bytes) -> str:
         return data.decode("utf-16", "replace")
     if data.startswith(b"\xef\xbb\xbf"):
         return data.decode("utf-8-sig", "replace")
-    for name in ENCODINGS:
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("utf-8", "replace")
+    return epub.decode(data)
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -69,65 +58,15 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "*.epub").mapInArrow(run, "book_id string, name string, content binary, sha string")
 
 
-def _xml(data: bytes) -> ElementTree.Element:
-    return ElementTree.fromstring(data)
-
-
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
-def manifest(archive: zipfile.ZipFile) -> tuple[list[str], dict[str, str]]:
-    """Reading order and media types of a package; items whose file is missing are left out."""
-    names = set(archive.namelist())
-    container = _xml(archive.read("META-INF/container.xml"))
-    root = next(e.attrib["full-path"] for e in container.iter() if _local(e.tag) == "rootfile")
-    package = _xml(archive.read(root))
-    items = {}
-    for e in package.iter():
-        if _local(e.tag) == "item":
-            path = posixpath.normpath(posixpath.join(posixpath.dirname(root), unquote(urlsplit(e.attrib.get("href", "")).path)))
-            if path in names:
-                items[e.attrib.get("id", path)] = (path, e.attrib.get("media-type", ""))
-    spine = [items[e.attrib["idref"]][0] for e in package.iter() if _local(e.tag) == "itemref" and e.attrib.get("idref") in items]
-    pages = [p for p, kind in items.values() if "html" in kind]
-    return spine or pages, dict(items.values())
-
-
 def epub_chapters(data: bytes) -> list[tuple[int, str, str, int, list[str]]]:
-    """(spine position, name, title, heading level, paragraphs); repeated paragraphs of a chapter stay once, an untitled page joins the one before."""
-    out: list[tuple[int, str, str, int, list[str]]] = []
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        for position, name in enumerate(manifest(archive)[0]):
-            page = read(decode(archive.read(name)))
-            if skipped(name, page):
-                continue
-            blocks: dict[int, tuple[str, list[str]]] = {}
-            for n in page.nodes:
-                if n.replaceable:
-                    blocks.setdefault(n.block, (n.tag, []))[1].append(n.text)
-            lines = [(tag, re.sub(r"\s+", " ", "".join(parts)).strip()) for tag, parts in blocks.values()]
-            head = next(((int(tag[1]), text) for tag, text in lines if re.fullmatch("h[1-3]", tag) and text), None)
-            body = list(dict.fromkeys(text for tag, text in lines if text and (head is None or text != head[1])))
-            if head is None and out:
-                out[-1][4].extend(body)
-            else:
-                out.append((position, name, head[1] if head else "", head[0] if head else 1, body))
-    return out
+    """(spine position, name, title, heading level, paragraphs) of a package."""
+    p = epub.package(data)
+    return [(c.chapter_index, p.items[c.source_id].name, c.title, c.heading_level, c.paragraphs) for c in epub.chapters(p)]
 
 
 def epubs(spark: SparkSession, path: str) -> DataFrame:
-    """book_id, chapter_index (the spine position), source_id, title, heading_level and paragraphs of EPUB archives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for book, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = epub_chapters(content.as_py())
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([book] * len(rows), pa.string()), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["book_id", "chapter_index", "source_id", "title", "heading_level", "paragraphs"])
-
-    return _files(spark, path, "*.epub").mapInArrow(run, "book_id string, chapter_index int, source_id string, title string, heading_level int, paragraphs array<string>")
+    """Chapters of EPUB archives; `quire.sources.epub` has their contents and resources."""
+    return epub.load(spark, path)
 
 
 def epub_bytes(title: str, chapters: list[tuple[str, list[str]]]) -> bytes:
@@ -176,4 +115,4 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return texts(spark, path) if kind == "txt" else epubs(spark, path)
 
 
-__all__ = ["classify", "decode", "entries", "epub_bytes", "epub_chapters", "epubs", "load", "texts", "written_epubs", "written_texts"]
+__all__ = ["decode", "entries", "epub_bytes", "epub_chapters", "epubs", "load", "texts", "written_epubs", "written_texts"]
