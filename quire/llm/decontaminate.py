@@ -137,7 +137,7 @@ def _compared(both: DataFrame) -> DataFrame:
             ).alias("hits"),
         ),
     )
-    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
+    count = F.size(words(F.col("text")))
     none = F.expr("CAST(array() AS array<struct<start:int,size:int,items:array<string>>>)")
     got = F.when(F.col("found").isNull(), F.struct(count.alias("n"), none.alias("hits"))).otherwise(F.element_at(held, 1))
     return both.select("doc_id", "text", "rest", got.alias("got")).select("doc_id", "text", "rest", F.col("got.n").cast("long").alias("n_words"), F.col("got.hits").alias("hits"))
