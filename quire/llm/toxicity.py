@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textbytes as tb
+from quire.llm.common import written
 from quire.llm.labelled import fold, sample
 
 #: ASCII that separates terms: all but digits and letters.
@@ -135,11 +136,15 @@ def fit(doc: np.ndarray, term: np.ndarray, y: np.ndarray, *, terms: int = 4096,
     return Machine(names[chosen], w, v, b)
 
 
-def learn(documents: DataFrame, labels: DataFrame, most: int = 20_000, **options) -> Machine:
-    """Fit on at most `most` labelled documents outside the held-out fold."""
+def learn(documents: DataFrame, labels: DataFrame, most: int = 20_000, terms: int = 4096, **options) -> Machine:
+    """Fit on at most `most` labelled documents outside the held-out fold.
+
+    Terms are counted in Spark; the driver gets, for each document of the sample, those of its
+    terms that can be among the `terms` chosen: at most twice as many, however long the texts.
+    """
     rows = sample(documents, labels, "toxic", fold(5) != 0, most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.flat(batch.column("text"))
             y = batch.column("y")
@@ -148,12 +153,29 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = 20_000, **options
                 ends = tb.per_document(doc, j - i).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([y.slice(i, j - i).cast(pa.float64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(term.view(np.int64)))], ["y", "terms"])
 
-    found = rows.select("text", "y").mapInArrow(run, "y double, terms array<long>").toArrow().combine_chunks()
+    table = written(rows.select("text", "y").mapInArrow(cut, "y double, terms array<long>"), "terms")
+    n, ones = table.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    share = ones / n if n else 0.0
+    counts = table.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("y").alias("ones")).where("seen >= 3")
+    apart = F.abs(F.col("ones") - F.col("seen") * share) / F.sqrt(F.col("seen") * share * (1 - share) + 1e-9)
+    best = counts.orderBy(apart.desc(), "term").limit(terms).unionByName(counts.orderBy(F.desc("seen"), "term").limit(terms))
+    chosen = np.unique(best.select("term").toArrow()["term"].to_numpy())
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+            term = np.asarray(lists.flatten())
+            kept = np.isin(term, chosen)
+            ends = tb.per_document(doc[kept], batch.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(term[kept]))], ["y", "terms"])
+
+    found = table.mapInArrow(choose, "y double, terms array<long>").toArrow().combine_chunks()
     y = found["y"].to_numpy()
     lists = found["terms"].combine_chunks() if isinstance(found["terms"], pa.ChunkedArray) else found["terms"]
     doc = np.repeat(np.arange(len(y)), np.asarray(lists.value_lengths())) if len(y) else np.zeros(0, np.int64)
     term = np.asarray(lists.flatten()).view(np.uint64) if len(y) else np.zeros(0, np.uint64)
-    return fit(doc, term, y, **options)
+    return fit(doc, term, y, terms=terms, **options)
 
 
 def _scores(model: Machine, column: pa.Array) -> np.ndarray:
