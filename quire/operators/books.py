@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import PRODUCTION_MARKS, PRODUCTION_TITLE, format_prefix, is_word_count_line, number_of, strip, u
+from quire.operators.package import references
 from quire.operators.segment import remapped
 
 
@@ -149,15 +150,32 @@ def organised(chapters: DataFrame, book: str, template: str, by_number: bool) ->
     return rows.select(book, "new_index", "chapter_index", F.when(F.col("heading_level") == 1, strip(F.coalesce("title", F.lit("")))).otherwise(new).alias("new_title"))
 
 
+def _with_references(resources: DataFrame) -> DataFrame:
+    """Resources with `sha`: of their bytes, and for a style sheet also of the package's files that it refers to."""
+    own = resources.withColumn("own", F.sha2("content", 256))
+    sheets = own.where(F.lower("name").endswith(".css")).select("volume_no", "name", F.decode("content", F.lit("UTF-8")).alias("content"))
+    found = references(sheets, "volume_no").select("volume_no", "name", "target").distinct()
+    known = found.join(own.select("volume_no", F.col("name").alias("target"), F.col("own").alias("theirs")), ["volume_no", "target"])
+    refers = known.groupBy("volume_no", "name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("target", "theirs")))), 256).alias("refers"))
+    return own.join(refers, ["volume_no", "name"], "left").withColumn("sha", F.when(F.col("refers").isNull(), F.col("own")).otherwise(F.sha2(F.concat("own", "refers"), 256))).drop("own", "refers")
+
+
 def shared_resources(resources: DataFrame) -> DataFrame:
-    """Resources (volume_no, name, content) of merged volumes: equal name and bytes are shared, other bytes under a taken name get the volume's suffix."""
+    """Resources (volume_no, name, content) of merged volumes: equal name and bytes are shared, other bytes under a taken name get the volume's suffix.
+
+    A style sheet is shared only where the files that it refers to are equal too.
+    """
     base = F.regexp_extract("name", "([^/]*)$", 1)
-    keyed = resources.withColumn("base", base).withColumn("sha", F.sha2("content", 256))
+    keyed = _with_references(resources).withColumn("base", base)
     first = keyed.groupBy("base", "sha").agg(F.min(F.struct("volume_no", "name")).alias("o"))
     nth = F.row_number().over(Window.partitionBy("base").orderBy("o.volume_no", "sha"))
     named = first.withColumn("nth", nth).withColumn(
         "merged_name", F.when(F.col("nth") == 1, F.col("o.name")).otherwise(F.regexp_replace("o.name", "(\\.[^./]*)?$", "")).cast("string")
     ).withColumn("merged_name", F.when(F.col("nth") == 1, F.col("merged_name")).otherwise(F.concat("merged_name", F.lit("_v"), F.col("o.volume_no").cast("string"), F.regexp_extract("o.name", "(\\.[^./]*)?$", 0))))
+    # two sheets of one volume can get one name: later ones are told apart by a further number
+    again = F.row_number().over(Window.partitionBy("merged_name").orderBy("o.volume_no", "sha"))
+    told = F.when(F.col("again") == 1, F.col("merged_name")).otherwise(F.concat(F.regexp_replace("merged_name", "(\\.[^./]*)?$", ""), F.lit("_"), F.col("again").cast("string"), F.regexp_extract("merged_name", "(\\.[^./]*)?$", 0)))
+    named = named.withColumn("again", again).withColumn("merged_name", told)
     return keyed.join(named.select("base", "sha", "merged_name"), ["base", "sha"]).select("volume_no", "name", "merged_name", "sha")
 
 

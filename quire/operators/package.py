@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.paths import fragment, relative, resolved
+from quire.functions.text import u
 
 #: Tokens with a reference, and the reference in a token.
-CSS = ("(?i)url\\(\\s*['\"]?[^'\")]+['\"]?\\s*\\)|@import\\s+(?:'[^']+'|\"[^\"]+\")", "(?i)^(?:url\\(\\s*['\"]?|@import\\s+['\"])([^'\")]+)")
-LINKS = ("(?i)(?<![\\w:-])(?:href|src)\\s*=\\s*(?:'[^']*'|\"[^\"]*\")", "['\"]([^'\"]*)['\"]$")
+CSS = tuple(map(u, ("(?i)url\\(\\s*['\"]?[^'\")]+['\"]?\\s*\\)|@import\\s+(?:'[^']+'|\"[^\"]+\")", "(?i)^(?:url\\(\\s*['\"]?|@import\\s+['\"])([^'\")]+)")))
+LINKS = tuple(map(u, ("(?i)(?<![\\w:-])(?:href|src)\\s*=\\s*(?:'[^']*'|\"[^\"]*\")", "['\"]([^'\"]*)['\"]$")))
 RESOURCE_TAGS = "(?is)<(?:img|image|link)\\b[^>]*>"
 # Markers of inline formats.
 MARKER = re.compile("⟦(?P<end>/?)(?P<name>[a-z]+)(?::(?P<value>[^⟧]*))?⟧")
@@ -71,10 +72,10 @@ def missing_resources(files: DataFrame, group: str) -> DataFrame:
     lower = F.lower("name")
     sheets = references(files.where(lower.endswith(".css")), group)
     tags = files.where(lower.rlike("\\.x?html?$")).select(group, "name", F.explode(F.regexp_extract_all("content", F.lit(RESOURCE_TAGS), F.lit(0))).alias("token"))
-    own = F.regexp_extract("token", "(?is)\\ssrc\\s*=\\s*['\"]([^'\"]*)", 1)
-    href = F.regexp_extract("token", "(?is)\\shref\\s*=\\s*['\"]([^'\"]*)", 1)
+    own = F.regexp_extract("token", u("(?is)\\ssrc\\s*=\\s*['\"]([^'\"]*)"), 1)
+    href = F.regexp_extract("token", u("(?is)\\shref\\s*=\\s*['\"]([^'\"]*)"), 1)
     image, link = F.col("token").rlike("(?i)^<img\\b"), F.col("token").rlike("(?i)^<link\\b")
-    tags = tags.where(~link | F.col("token").rlike("(?i)\\srel\\s*=\\s*['\"][^'\"]*\\bstylesheet\\b"))
+    tags = tags.where(~link | F.col("token").rlike(u("(?i)\\srel\\s*=\\s*['\"][^'\"]*\\bstylesheet\\b")))
     pages = tags.withColumn("target", resolved(F.col("name"), F.when(image, own).otherwise(href))).where("target IS NOT NULL")
     wanted = sheets.select(group, "name", "target").unionByName(pages.select(group, "name", "target")).distinct()
     return wanted.join(files.select(group, F.col("name").alias("target")), [group, "target"], "left_anti").select(group, "name", "target")
@@ -164,3 +165,37 @@ def migrated(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     both = both.withColumn("_at", place("_old", "paragraphs"))
     moved = F.transform("_at", lambda at, k: F.when(at < 0, F.get("paragraphs", k)).otherwise(F.get("_done", at)))
     return both.select(*keys, "paragraphs", moved.alias("translated"), F.col("_at").isNotNull().alias("safe"))
+
+
+def image_markers(paragraphs: Column, names: Column) -> Column:
+    """Paragraphs with the paths of image markers led to new names, given as a map; others stay."""
+    pattern = "⟦img:[^⟧]*⟧"
+
+    def led(p: Column) -> Column:
+        gaps, tokens = F.split(p, pattern, -1), F.regexp_extract_all(p, F.lit(f"({pattern})"), F.lit(1))
+        path = lambda t: F.substring(t, F.lit(6), F.length(t) - 6)
+        new = F.transform(tokens, lambda t: F.concat(F.lit("⟦img:"), F.coalesce(F.try_element_at(names, path(t)), path(t)), F.lit("⟧")))
+        return F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.transform(paragraphs, led)
+
+
+def images_in(paragraphs: Column, document: Column) -> Column:
+    """Paragraphs whose image markers hold package paths, with paths relative to their document instead."""
+    pattern = "⟦img:[^⟧]*⟧"
+
+    def led(p: Column) -> Column:
+        gaps, tokens = F.split(p, pattern, -1), F.regexp_extract_all(p, F.lit(f"({pattern})"), F.lit(1))
+        new = F.transform(tokens, lambda t: F.concat(F.lit("⟦img:"), relative(document, F.substring(t, F.lit(6), F.length(t) - 6)), F.lit("⟧")))
+        return F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.transform(paragraphs, led)
+
+
+def used_sheets(files: DataFrame, group: str) -> DataFrame:
+    """(group, name, css): style sheets that pages link, by package path, whether they are there or not."""
+    lower = F.lower("name")
+    tags = files.where(lower.rlike("\\.x?html?$")).select(group, "name", F.explode(F.regexp_extract_all("content", F.lit("(?is)<link\\b[^>]*>"), F.lit(0))).alias("token"))
+    tags = tags.where(F.col("token").rlike(u("(?i)\\srel\\s*=\\s*['\"][^'\"]*\\bstylesheet\\b")))
+    href = F.regexp_extract("token", u("(?is)\\shref\\s*=\\s*['\"]([^'\"]*)"), 1)
+    return tags.select(group, "name", resolved(F.col("name"), href).alias("css")).where("css IS NOT NULL").distinct()

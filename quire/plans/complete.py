@@ -159,11 +159,11 @@ def title_results(chapters: DataFrame, ledger: DataFrame, book: str) -> DataFram
                 except ValueError:
                     continue
                 titles = said.get("titles") if isinstance(said, dict) else None
-                rows += [{"book": name, "number": str(k), "title_zh": str(v).strip()} for k, v in titles.items() if v] if isinstance(titles, dict) else []
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("book", pa.string()), ("number", pa.string()), ("title_zh", pa.string())]))
+                rows += [{"_book": name, "_number": str(k), "_zh": str(v).strip()} for k, v in titles.items() if v] if isinstance(titles, dict) else []
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("_book", pa.string()), ("_number", pa.string()), ("_zh", pa.string())]))
 
-    done = latest(ledger, book).where(F.col("error").isNull()).select(F.col(book).cast("string").alias("book"), "reply")
-    found = done.mapInArrow(read, "book string, number string, title_zh string").where(strip(F.col("title_zh")) != "").dropDuplicates(["book", "number"]).withColumnRenamed("title_zh", "_zh")
+    done = latest(ledger, book).where(F.col("error").isNull()).select(F.col(book).cast("string").alias("_book"), "reply")
+    found = done.mapInArrow(read, "_book string, _number string, _zh string").where(strip(F.col("_zh")) != "").dropDuplicates(["_book", "_number"])
     said = (F.coalesce("title", F.lit("")) != "") & ~is_decorative(F.col("title"))
-    same = (F.col(book).cast("string") == F.col("book")) & (F.col("chapter_index").cast("string") == F.col("number"))
+    same = (F.col(book).cast("string") == F.col("_book")) & (F.col("chapter_index").cast("string") == F.col("_number"))
     return chapters.alias("c").join(found.alias("f"), same, "left").select("c.*", F.when(said, F.col("f._zh")).alias("title_zh"))
