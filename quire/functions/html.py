@@ -196,20 +196,20 @@ def skipped(name: str, page: Page) -> bool:
 
 
 def text_nodes(pages: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, node, block, tag, class, text): visible text nodes in order."""
+    """(key, node, block, tag, class, text, in_body): visible text nodes in order; those of the head are not in the body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for k, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, n in enumerate(read(html).nodes):
-                    for column, value in zip(rows, (k, i, n.block, n.tag, classify(n.tag, n.marks, n.text), n.text), strict=True):
+                    for column, value in zip(rows, (k, i, n.block, n.tag, classify(n.tag, n.marks, n.text), n.text, n.replaceable), strict=True):
                         column.append(value)
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [key, "node", "block", "tag", "class", "text"])
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [key, "node", "block", "tag", "class", "text", "in_body"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, content).mapInArrow(run, f"{key} {kind}, node int, block int, tag string, class string, text string")
+    return pages.select(key, content).mapInArrow(run, f"{key} {kind}, node int, block int, tag string, class string, text string, in_body boolean")
 
 
 def replaced_at(document: str, changes: list[tuple[int, int, str]]) -> str:
@@ -230,11 +230,12 @@ def spliced_blocks(document: str, blocks: dict[int, tuple[list[str], list[str]]]
     """The document with blocks (number: source texts, new texts) replaced whole, the blocks done, and those that differ from their source."""
     found: dict[int, list[Node]] = {}
     for n in read(document).nodes:
-        found.setdefault(n.block, []).append(n)
+        if n.replaceable:
+            found.setdefault(n.block, []).append(n)
     changes, done, differ = [], set(), set()
     for number, (source, new) in blocks.items():
         nodes = found.get(number, [])
-        if [n.text for n in nodes] != source or len(new) != len(nodes) or not all(n.replaceable for n in nodes):
+        if [n.text for n in nodes] != source or len(new) != len(nodes):
             differ.add(number)
             continue
         changes += [(n.start, n.end, x) for n, x in zip(nodes, new, strict=True)]

@@ -153,7 +153,7 @@ def organised(chapters: DataFrame, book: str, template: str, by_number: bool) ->
 def _with_references(resources: DataFrame) -> DataFrame:
     """Resources with `sha`: of their bytes, and for a style sheet also of the package's files that it refers to."""
     own = resources.withColumn("own", F.sha2("content", 256))
-    sheets = own.where(F.lower("name").endswith(".css")).select("volume_no", "name", F.decode("content", F.lit("UTF-8")).alias("content"))
+    sheets = own.where(F.lower("name").endswith(".css")).select("volume_no", "name", F.decode("content", "UTF-8").alias("content"))
     found = references(sheets, "volume_no").select("volume_no", "name", "target").distinct()
     known = found.join(own.select("volume_no", F.col("name").alias("target"), F.col("own").alias("theirs")), ["volume_no", "target"])
     refers = known.groupBy("volume_no", "name").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("target", "theirs")))), 256).alias("refers"))

@@ -65,13 +65,17 @@ class Options:
         return kind.isin(*(k for k, on in wanted.items() if on))
 
 
+def _body(nodes: DataFrame) -> DataFrame:
+    return nodes.where("in_body") if "in_body" in nodes.columns else nodes
+
+
 def blocks(nodes: DataFrame, file: str, options: Options) -> DataFrame:
-    """(file, block, class, segments, chars) of text nodes (file, node, block, tag, class, text).
+    """(file, block, class, segments, chars) of text nodes (file, node, block, tag, class, text), those of the body where nodes tell.
 
     Blocks keep the number that they have among all blocks of a file; those that are not
     rewritten are left out afterwards.  The class of a block is that of its first node.
     """
-    whole = nodes.groupBy(file, "block").agg(
+    whole = _body(nodes).groupBy(file, "block").agg(
         F.array_sort(F.collect_list(F.struct("node", "text"))).alias("_n"), F.min_by("class", "node").alias("class")
     )
     segments = F.transform("_n", lambda n: n["text"])
@@ -134,7 +138,7 @@ def progress(state_: DataFrame, file: str) -> DataFrame:
 
 def preview(blocks_: DataFrame, nodes: DataFrame, file: str, options: Options, samples: int = 5, chars: int = 180) -> DataFrame:
     """One row: how many blocks there are, how many are rewritten, and the first of these, given all blocks (of coverage) and text nodes."""
-    whole = nodes.groupBy(file, "block").agg(F.min_by("class", "node").alias("class"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda n: n["text"]), "").alias("text"))
+    whole = _body(nodes).groupBy(file, "block").agg(F.min_by("class", "node").alias("class"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda n: n["text"]), "").alias("text"))
     wanted = options.checked().eligible(F.col("class"))
     told = F.concat(F.lit("["), F.col(file).cast("string"), F.lit("] "), F.substring("text", 1, chars))
     first = whole.where(wanted).orderBy(file, "block").limit(samples).agg(F.transform(F.array_sort(F.collect_list(F.struct(file, "block", told.alias("t")))), lambda x: x["t"]).alias("samples"))

@@ -56,8 +56,8 @@ def merged_resources(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
     Style sheets refer to the new names; the cover is that of the first volume that has one.
     """
     names = shared_resources(resources.select("volume_no", "name", "content")).select("volume_no", "name", F.col("merged_name").alias("new_name"))
-    sheets = resources.where(F.lower("name").endswith(".css")).select("volume_no", "name", F.decode("content", F.lit("UTF-8")).alias("content"))
-    led = rewritten(sheets, names, "volume_no", CSS).select("volume_no", "name", F.encode("content", F.lit("UTF-8")).alias("_css"))
+    sheets = resources.where(F.lower("name").endswith(".css")).select("volume_no", "name", F.decode("content", "UTF-8").alias("content"))
+    led = rewritten(sheets, names, "volume_no", CSS).select("volume_no", "name", F.encode("content", "UTF-8").alias("_css"))
     both = resources.join(names, ["volume_no", "name"]).join(led, ["volume_no", "name"], "left")
     first = both.groupBy(F.col("new_name").alias("name")).agg(F.min_by(F.coalesce("_css", "content"), "volume_no").alias("content"), F.min(F.when(F.col("is_cover"), F.col("volume_no"))).alias("_v"))
     one = first.agg(F.min("_v").alias("_first"))
@@ -82,7 +82,7 @@ def corrected(chapters: DataFrame, pairs: list[tuple[str, str]], cleaning: Clean
 
 def texts(chapters: DataFrame, book_title: str) -> DataFrame:
     """(book_id, text): the book's title, and each chapter's title and paragraphs without markers, blank lines between."""
-    plain = F.filter(F.transform("paragraphs", without_markers), lambda p: p != "")
+    plain = F.filter(F.transform("paragraphs", lambda p: without_markers(p)), lambda p: p != "")
     part = F.concat_ws("\n\n", F.array("title"), plain)
     listed = chapters.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", part.alias("part")))).alias("c"))
     return listed.select("book_id", F.concat(F.lit(book_title + "\n\n"), F.array_join(F.transform("c", lambda x: x["part"]), "\n\n"), F.lit("\n")).alias("text"))
