@@ -1,19 +1,20 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
-Equal vectors form one class.  Every tree splits the classes recursively: a level has one
-random direction, every node its own median threshold, and vectors within the spill margin of a
-threshold go down both sides.  Trees grow in rounds: the first is fitted on a bounded sample of
-all classes, and while leaves hold more than twice `leaf` classes, each of these is split on by
-a subtree that is fitted on a bounded sample of its own members, with directions of its own.  A
-leaf that no direction splits stays as it is.  So leaves stay small however many vectors there
-are, and only ids travel until the leaves are final.
+Equal vectors form one class.  Every tree splits the classes recursively: a level has a few
+random directions, a node takes one of them and a threshold near its middle, where fewest of its
+members are near it, and vectors within the spill margin of the threshold go down both sides.
+Trees grow in rounds: the first is fitted on a bounded sample of all classes, and while leaves
+hold more than `SLACK` times `leaf` classes, each of these is split on by a subtree that is
+fitted on a bounded sample of its own members, with directions of its own.  A leaf that no
+direction splits stays as it is.  So leaves stay small however many vectors there are, and only
+ids travel until the leaves are final.
 
 Vectors that meet in a leaf of any tree are compared in double precision; a pair that meets in
 several leaves is counted in the first of them only.  Links of classes give components.
 
-The margin is half the distance that a pair at the link threshold has on a random direction, so
-it does not shrink with the data: what lies within link distance of itself stays together and a
-leaf can be as large as such a cluster.  Leaves beyond `BLOCK` classes are dealt as pairs of
+The margin is `SPILL` times the distance that a pair at the link threshold has on a random
+direction, so it does not shrink with the data: what lies within link distance of itself stays
+together and a leaf can be as large as such a cluster.  Leaves beyond `BLOCK` classes are dealt as pairs of
 blocks over many tasks; no pair is left out.
 
 Defined cases: vectors that are null, empty, zero, or have null or non-finite components link
@@ -40,7 +41,9 @@ from quire.llm.common import components, dealt_join, dropped, forest, written
 #: Classes on which the first round of a tree and each later subtree are fitted; every vector is indexed.
 FIT_SAMPLE, REFIT_SAMPLE = 16_384, 2_048
 TREES = 4
-LEAF = 64
+LEAF, SLACK = 128, 3
+#: Share of the link distance within which a vector goes down both sides; directions of a level, and places of a threshold.
+SPILL, CHOICES, PLACES = 0.3, 4, (0.5, 0.4, 0.6, 0.3, 0.7)
 #: Levels of a round, and directions that may pass without a split before it gives up.
 LEVELS, PASSES = 12, 4
 BLOCK = 2048
@@ -73,39 +76,44 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 @dataclass
 class Tree:
-    """Node thresholds of a (sub)tree: NaN marks a leaf, infinity a level that does not split the node."""
+    """Thresholds and directions of the nodes of a (sub)tree: NaN marks a leaf, infinity a level that does not split the node."""
 
     seed: int
     depth: int
     margin: float
     thresholds: np.ndarray
+    chosen: np.ndarray
 
     @classmethod
     def fit(cls, sample: np.ndarray, total: int, margin: float, leaf: int, seed: int) -> Tree:
         """For `total` rows of which unit vectors `sample` are some."""
         depth = min(LEVELS, int(np.ceil(np.log2(max(1, total) / leaf))) + PASSES) if total > leaf else 0
-        out = cls(seed, depth, margin, np.full(1 << depth, np.nan))
+        out = cls(seed, depth, margin, np.full(1 << depth, np.nan), np.zeros(1 << depth, np.int64))
         projected = sample @ out.directions(sample.shape[1])
         members = {1: np.arange(len(sample))}
         for level in range(depth):
             after = {}
             for node, rows in members.items():
-                p = projected[rows, level]
                 if len(rows) * total <= leaf * len(sample) or len(rows) < 8:
                     continue
-                if p.std() < 3 * margin:
+                p = projected[rows, level * CHOICES : (level + 1) * CHOICES]
+                wide = np.flatnonzero(p.std(0) >= 3 * margin)
+                if not len(wide):
                     out.thresholds[node] = np.inf
                     after[2 * node] = rows
                     continue
-                cut = float(np.median(p))
-                out.thresholds[node] = cut
+                cuts = np.quantile(p[:, wide], PLACES, axis=0)
+                near = (np.abs(p[:, None, wide] - cuts) <= margin).mean(0) + 0.1 * np.abs(np.array(PLACES) - 0.5)[:, None]
+                place, k = np.unravel_index(near.argmin(), near.shape)
+                cut, p = float(cuts[place, k]), p[:, wide[k]]
+                out.thresholds[node], out.chosen[node] = cut, wide[k]
                 after[2 * node] = rows[p <= cut + margin]
                 after[2 * node + 1] = rows[p >= cut - margin]
             members = after
         return out
 
     def directions(self, width: int) -> np.ndarray:
-        x = np.random.default_rng(self.seed & 0xFFFFFFFF).normal(size=(width, max(1, self.depth)))
+        x = np.random.default_rng(self.seed & 0xFFFFFFFF).normal(size=(width, max(1, self.depth * CHOICES)))
         return x / np.linalg.norm(x, axis=0)
 
     @property
@@ -113,12 +121,12 @@ class Tree:
         return bool(np.isfinite(self.thresholds).any())
 
     def pack(self) -> bytes:
-        return np.array([self.seed, self.depth], np.int64).tobytes() + np.array([self.margin]).tobytes() + self.thresholds.tobytes()
+        return np.array([self.seed, self.depth], np.int64).tobytes() + np.array([self.margin]).tobytes() + self.thresholds.tobytes() + self.chosen.tobytes()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Tree:
         seed, depth = np.frombuffer(raw, np.int64, 2).tolist()
-        return cls(seed, depth, float(np.frombuffer(raw, np.float64, 1, 16)[0]), np.frombuffer(raw, np.float64, -1, 24))
+        return cls(seed, depth, float(np.frombuffer(raw, np.float64, 1, 16)[0]), np.frombuffer(raw, np.float64, 1 << depth, 24), np.frombuffer(raw, np.int64, 1 << depth, 24 + (8 << depth)))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs, a row in one leaf at least; leaves are named by a hash of seed and node."""
@@ -131,7 +139,7 @@ class Tree:
             rows_out.append(rows[done])
             nodes_out.append(nodes[done])
             rows, nodes, cut = rows[~done], nodes[~done], cut[~done]
-            p = projected[rows, level]
+            p = projected[rows, level * CHOICES + self.chosen[nodes]]
             left, right = p <= cut + self.margin, p >= cut - self.margin
             rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
         rows, nodes = np.concatenate([*rows_out, rows]), np.concatenate([*nodes_out, nodes])
@@ -180,7 +188,7 @@ def _first_meeting(leaves: pa.ListArray, a: np.ndarray, b: np.ndarray, here: int
 def placed(classes: DataFrame, width: int, cosine: float, trees: int, leaf: int, fit_sample: int, refit_sample: int) -> DataFrame:
     """(id, leaf): every class in a leaf at least of every tree, from classes (id, vec) of one width."""
     total = classes.count()
-    margin = 0.5 * np.sqrt(2 - 2 * cosine) / np.sqrt(max(1, width))
+    margin = SPILL * np.sqrt(2 - 2 * cosine) / np.sqrt(max(1, width))
     chosen = classes.orderBy(F.xxhash64("id"), "id").limit(fit_sample).select("vec").toArrow()["vec"]
     sample = _unit(np.stack(_matrix(chosen)))
     shared = classes.sparkSession.sparkContext.broadcast([Tree.fit(sample, total, margin, leaf, -1 - t) for t in range(trees)])  # thresholds, 2 ** LEVELS a tree
@@ -195,7 +203,7 @@ def placed(classes: DataFrame, width: int, cosine: float, trees: int, leaf: int,
 
     now = written(classes.select("id", "vec").mapInArrow(grow, "id long, leaf long, open boolean"), "leaves")
     while True:
-        large = written(now.where("open").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "large")
+        large = written(now.where("open").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SLACK * leaf), "large")
         if large.isEmpty():
             return now.select("id", "leaf")
         after = written(_split(classes, now, large, margin, leaf, refit_sample), "leaves")
