@@ -47,6 +47,12 @@ def abnormal(rows: DataFrame, book: str, percent: float = 50) -> DataFrame:
     return rows.where("chars > 0").join(centre(rows, book), book).where(~near)
 
 
+def volume_chars(chapters: DataFrame, volume: str, a_minute: int = 400) -> DataFrame:
+    """(volume, chars, minutes, chapters, total): sizes of each volume and, with total 1 and no volume, of all together."""
+    sized = chapters.rollup(volume).agg(F.sum("chars").alias("chars"), F.count("*").alias("chapters"), F.grouping(volume).cast("long").alias("total"))
+    return sized.select(volume, "chars", F.floor(F.col("chars") / a_minute).alias("minutes"), "chapters", "total")
+
+
 def is_production(title: Column, paragraphs: Column) -> Column:
     body, hit = F.array_join(paragraphs, ""), F.coalesce(title, F.lit("")).contains(PRODUCTION_TITLE)
     for mark in PRODUCTION_MARKS:

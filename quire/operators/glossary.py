@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import occurrences, strip
+from quire.functions.text import strip
 
 SCHEMA = "ord int, ko string, zh string, kind string, note string, confirmed boolean, alternatives array<string>, replace_short boolean, zh_history array<string>"
 #: Shorter alternatives replace too much (fixed value).
@@ -56,11 +60,14 @@ def _with_history(history: Column, old: Column, new: Column) -> Column:
 def upserted(entries: DataFrame, changes: DataFrame) -> DataFrame:
     """Entries with the changes applied by ko (the last of each counts); a changed target goes to the history, replace_short stays."""
     last = changes.withColumn("_n", F.row_number().over(Window.partitionBy("ko").orderBy(F.desc("ord")))).where("_n = 1").drop("_n")
+    # new ones come after the others, in the order of the changes
+    end = entries.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_end"))
+    last = last.crossJoin(F.broadcast(end))  # one row
     both = entries.alias("e").join(last.alias("c"), "ko", "full_outer")
     old, new = F.col("e.ord").isNotNull(), F.col("c.ord").isNotNull()
     pick = lambda c: F.when(new, F.col(f"c.{c}")).otherwise(F.col(f"e.{c}")).alias(c)
     return both.select(
-        F.coalesce("e.ord", F.col("c.ord") + 1_000_000).cast("int").alias("ord"), "ko", pick("zh"), pick("kind"), pick("note"), pick("confirmed"), pick("alternatives"),
+        F.coalesce("e.ord", F.col("c.ord") + F.col("c._end") + 1).cast("int").alias("ord"), "ko", pick("zh"), pick("kind"), pick("note"), pick("confirmed"), pick("alternatives"),
         F.when(old, F.col("e.replace_short")).otherwise(F.col("c.replace_short")).alias("replace_short"),
         F.when(old & new, _with_history(F.col("e.zh_history"), F.col("e.zh"), F.col("c.zh"))).when(old, F.col("e.zh_history")).otherwise(F.col("c.zh_history")).alias("zh_history"),
     )
@@ -114,9 +121,35 @@ def collected(pairs_: DataFrame) -> list[tuple[str, str]]:
 
 
 def hits(paragraphs: DataFrame, pairs_: DataFrame, key: str) -> DataFrame:
-    """Every source found in every row of (key, text), with its occurrences (nested ones too)."""
-    found = paragraphs.join(pairs_, F.col("text").contains(F.col("src")))
-    return found.select(key, "src", "origin", occurrences(F.col("text"), F.col("src")).alias("occurrences"))
+    """Every source found in every row of (key, text), with its occurrences (nested ones too, not overlapping itself).
+
+    The sources, a list that people keep, are one automaton; each text is read once, however many
+    sources there are.
+    """
+    rows = [(r["src"], r["origin"]) for r in pairs_.groupBy("src").agg(F.min("origin").alias("origin")).collect() if r["src"]]
+    kind = paragraphs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for k, (src, _) in enumerate(rows):
+            automaton.add_word(src, k)
+        if rows:
+            automaton.make_automaton()
+        for batch in batches:
+            of, found, counts = [], [], []
+            for n, text in enumerate(batch.column(1).to_pylist() if rows else []):
+                ends: dict[int, list[int]] = {}
+                for end, k in automaton.iter(text or ""):
+                    seen = ends.setdefault(k, [0, -1])
+                    if end - len(rows[k][0]) >= seen[1]:
+                        seen[0], seen[1] = seen[0] + 1, end
+                for k, (count, _) in ends.items():
+                    of.append(n)
+                    found.append(k)
+                    counts.append(count)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array([rows[k][0] for k in found], pa.string()), pa.array([rows[k][1] for k in found], pa.string()), pa.array(counts, pa.int64())], [key, "src", "origin", "occurrences"])
+
+    return paragraphs.select(key, "text").mapInArrow(run, f"{key} {kind}, src string, origin string, occurrences long")
 
 
 def prompt_lines(entries: DataFrame) -> DataFrame:

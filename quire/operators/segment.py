@@ -6,6 +6,10 @@ shuffle, whatever the number of books.  Every list position becomes an explicit
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +36,9 @@ def lines(text: Column) -> Column:
 
 
 def is_heading(line: Column, patterns: tuple[str, ...] = HEADINGS) -> Column:
-    s = strip(line)
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | s.rlike(p)
-    return (F.length(s) > 0) & (F.length(s) <= HEADING_CHARS) & hit
+    """A line of at most HEADING_CHARS that matches a pattern; stripped once and matched once."""
+    either = "|".join(f"(?:{p})" for p in patterns) or "(?!)"
+    return let(strip(line), lambda s: (F.length(s) > 0) & (F.length(s) <= HEADING_CHARS) & s.rlike(either))
 
 
 def pack_starts(sizes: Column, most: int, extra: int = 1) -> Column:
@@ -154,10 +156,64 @@ def smart_split(text: Column, most: int) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+_SENTENCES = re.compile(f"(?<=[{SENTENCE_END}])")
+
+
+def text_pieces(text: str, most: int) -> list[str]:
+    """What `smart_split` gives, for use in Arrow batches."""
+    out: list[str] = []
+
+    def close(held: str) -> None:
+        out.extend(held[k : k + most].strip() for k in range(0, len(held), most))
+
+    for line in text.strip().split("\n"):
+        line, held = line.strip(), ""
+        if len(line) <= most:
+            out.append(line)
+            continue
+        for sentence in _SENTENCES.split(line):
+            longer = f"{held} {sentence}".strip()
+            if held and len(longer) > most:
+                close(held)
+                longer = sentence.strip()
+            held = longer
+        close(held)
+    return [p for p in out if p]
+
+
+def text_packs(pieces: list[str], most: int) -> list[list[str]]:
+    """What `packed` gives, for use in Arrow batches."""
+    out: list[list[str]] = []
+    room = 0
+    for p in pieces:
+        if not out or len(p) + 1 > room:
+            out.append([])
+            room = most
+        out[-1].append(p)
+        room -= len(p) + 1
+    return out
+
+
 def chunks(chapters_: DataFrame, chunk_chars: int = 1800, paragraph_chars: int = 2600, book: str = "book_id") -> DataFrame:
-    """Rows (book, chunk_id, chapter_index, title, chunk_index, paragraphs): pieces packed to `chunk_chars`, never across chapters."""
-    pieces = F.flatten(F.transform("paragraphs", lambda p: smart_split(p, min(chunk_chars, paragraph_chars))))
-    rows = chapters_.select(book, "chapter_index", "title", F.posexplode(packed(pieces, chunk_chars)).alias("chunk_index", "paragraphs"))
+    """Rows (book, chunk_id, chapter_index, title, chunk_index, paragraphs): pieces packed to `chunk_chars`, never across chapters.
+
+    A fold over sentences of unbounded texts is one Arrow-batched pass: as expressions it would copy
+    what is held at every step.
+    """
+    most = min(chunk_chars, paragraph_chars)
+    if most <= 0:
+        raise ValueError("chunks need a positive number of characters")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packs = [text_packs([q for p in paragraphs or [] for q in text_pieces(p or "", most)], chunk_chars) for paragraphs in batch.column("paragraphs").to_pylist()]
+            of = pa.array([k for k, found in enumerate(packs) for _ in found], pa.int64())
+            index = pa.array([i for found in packs for i in range(len(found))], pa.int32())
+            kept = [batch.column(c).take(of) for c in (book, "chapter_index", "title")]
+            yield pa.RecordBatch.from_arrays([*kept, index, pa.array([p for found in packs for p in found], pa.list_(pa.string()))], [book, "chapter_index", "title", "chunk_index", "paragraphs"])
+
+    kind = {c: chapters_.schema[c].dataType.simpleString() for c in (book, "chapter_index", "title")}
+    rows = chapters_.select(book, "chapter_index", "title", "paragraphs").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kind.items()) + ", chunk_index int, paragraphs array<string>")
     return rows.select(book, F.format_string("ch-%05d-%05d", "chapter_index", "chunk_index").alias("chunk_id"), "chapter_index", "title", "chunk_index", "paragraphs")
 
 

@@ -49,19 +49,6 @@ _LINES = f"""lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr
 paras AS (SELECT doc_id, ord, trim(raw, {_TRIM}) AS text FROM lines WHERE trim(raw, {_TRIM}) <> '')"""
 
 
-@query(f"""WITH {_LINES},
-flagged AS (SELECT doc_id, ord, text, length(text) <= 90 AND regexp_matches(text, '{LATIN}') AS h FROM paras),
-parts AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS part, bool_or(h) OVER (PARTITION BY doc_id) AS any_h FROM flagged)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS BIGINT) AS chapter_index, coalesce(max(CASE WHEN h THEN text END), '正文') AS title,
-  count(CASE WHEN NOT h THEN 1 END) AS n_paragraphs, CAST(coalesce(sum(CASE WHEN NOT h THEN length(text) END), 0) AS BIGINT) AS chars
-FROM parts WHERE any_h GROUP BY doc_id, part""")
-def chapter_segmentation(spark, sf):
-    d = documents(spark, sf).where(F.exists(segment.lines(F.col("text")), lambda x: segment.is_heading(x, (LATIN,))))
-    c = segment.chapters(d, (LATIN,), "doc_id")
-    body = F.transform("paragraphs", t.strip)
-    return c.select("doc_id", F.col("chapter_index").cast("long").alias("chapter_index"), "title", F.size("paragraphs").cast("long").alias("n_paragraphs"), segment.chars(body).alias("chars"))
-
-
 @query(f"""WITH RECURSIVE {_LINES},
 flagged AS (SELECT doc_id, ord, text, length(text) <= 90 AND regexp_matches(text, '{LATIN}') AS h FROM paras),
 parts AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS part, bool_or(h) OVER (PARTITION BY doc_id) AS any_h FROM flagged),
@@ -72,7 +59,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS
   count(CASE WHEN NOT h THEN 1 END) AS n_paragraphs, CAST(coalesce(sum(CASE WHEN NOT h THEN length(text) END), 0) AS BIGINT) AS chars
 FROM parts WHERE any_h GROUP BY doc_id, part
 UNION ALL SELECT doc_id, CAST(pack AS BIGINT), '第 ' || (pack + 1) || ' 节', count(*), CAST(sum(len) AS BIGINT) FROM f GROUP BY doc_id, pack""")
-def all_chapters(spark, sf):
+def chapter_segmentation(spark, sf):
     """Chapters of every document: by headings, or packed by size where a text has none."""
     c = segment.chapters(documents(spark, sf), (LATIN,), "doc_id")
     body = F.transform("paragraphs", t.strip)
@@ -196,7 +183,7 @@ def glossary_override(spark, sf):
 
 
 @query(f"""WITH {_values('g', _TERMS)}, {_values('c', _COMMON)}, e AS (SELECT * FROM g WHERE ord <> 3)
-SELECT CAST(coalesce(e.ord, c.ord + 1000000) AS INT) AS ord, ko, coalesce(c.zh, e.zh) AS zh,
+SELECT CAST(coalesce(e.ord, c.ord + (SELECT max(ord) FROM e) + 1) AS INT) AS ord, ko, coalesce(c.zh, e.zh) AS zh,
  array_to_string(CASE WHEN e.ord IS NOT NULL AND c.ord IS NOT NULL AND e.zh <> c.zh AND e.zh <> '' AND NOT list_contains(e.zh_history, e.zh) THEN list_append(e.zh_history, e.zh) ELSE coalesce(e.zh_history, c.zh_history) END, ',') AS history
 FROM e FULL OUTER JOIN c USING (ko)""")
 def glossary_upsert(spark, sf):
@@ -248,18 +235,9 @@ def pending_chunks(spark, sf):
 
 
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, unnest(string_split(text, chr(10))) AS text FROM documents),
-a AS (SELECT doc_id, string_agg(CASE WHEN ord % 3 <> 0 THEN left(text, 40) ELSE text END, chr(10) ORDER BY ord) AS s, sum((ord % 3 <> 0)::INT) AS n FROM l GROUP BY doc_id)
+a AS (SELECT doc_id, string_agg(CASE WHEN ord % 3 <> 0 THEN text || '*' ELSE text END, chr(10) ORDER BY ord) AS s, sum((ord % 3 <> 0)::INT) AS n FROM l GROUP BY doc_id)
 SELECT doc_id, sha256(s) AS sha, CAST(n AS BIGINT) AS translated FROM a""")
 def assembled_books(spark, sf):
-    rows = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
-    done = rows.where("ord % 3 <> 0").select("doc_id", "ord", F.substring("text", 1, 40).alias("text"))
-    out = archive.assembled(rows, done, "doc_id", "ord").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "final"))).alias("l"), F.sum(F.col("translated").cast("long")).alias("translated"))
-    return out.select("doc_id", F.sha2(F.array_join(F.transform("l", lambda x: x["final"]), "\n"), 256).alias("sha"), "translated")
-
-
-@query(ORACLE["assembled_books"].replace("left(text, 40)", "text || '*'"))
-def assembled_whole_lines(spark, sf):
-    """As assembled_books, with whole lines as the results."""
     rows = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))
     done = rows.where("ord % 3 <> 0").select("doc_id", "ord", F.concat("text", F.lit("*")).alias("text"))
     out = archive.assembled(rows, done, "doc_id", "ord").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "final"))).alias("l"), F.sum(F.col("translated").cast("long")).alias("translated"))
@@ -272,13 +250,13 @@ def pattern_audit(spark, sf):
     return archive.matching(rows, "[0-9a-f]{16,}").select("doc_id", F.lit(True).alias("hit"))
 
 
-@query("""WITH ch AS (SELECT source, CAST(doc_id AS BIGINT) AS i, left(text, 3) AS title FROM documents), sv AS (SELECT source, i + 1 AS k, trim(title, chr(32)||chr(9)||chr(10)||chr(13)) AS title, 'z' || i AS zh FROM ch WHERE trim(title, chr(32)||chr(9)||chr(10)||chr(13)) <> ''),
+@query("""WITH ch AS (SELECT source, CAST(doc_id AS BIGINT) AS i, string_split(text, chr(10))[1] AS title FROM documents), sv AS (SELECT source, i + 1 AS k, trim(title, chr(32)||chr(9)||chr(10)||chr(13)) AS title, 'z' || i AS zh FROM ch WHERE trim(title, chr(32)||chr(9)||chr(10)||chr(13)) <> ''),
 ex AS (SELECT ch.source, ch.i, ch.title, sv.zh, sv.k FROM ch JOIN sv ON sv.source = ch.source AND sv.k = ch.i AND sv.title = ch.title),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, title ORDER BY i) AS n FROM ch WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.source = ch.source AND ex.i = ch.i) AND title <> ''),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, title ORDER BY k) AS n FROM sv WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.source = sv.source AND ex.k = sv.k))
 SELECT source, i AS chapter_index, title, zh FROM ex UNION ALL SELECT r.source, r.i, r.title, f.zh FROM r JOIN f ON r.source = f.source AND r.title = f.title AND r.n = f.n""")
 def matched_titles(spark, sf):
-    rows = documents(spark, sf).select("source", F.col("doc_id").alias("chapter_index"), F.substring("text", 1, 3).alias("title"))
+    rows = documents(spark, sf).select("source", F.col("doc_id").alias("chapter_index"), F.split("text", "\n", -1)[0].alias("title"))
     saved = rows.select("source", (F.col("chapter_index") + 1).alias("key"), F.col("title").alias("ko"), F.concat(F.lit("z"), "chapter_index").alias("zh"))
     return archive.matched_titles(saved, rows, "source")
 
@@ -341,8 +319,7 @@ def text_predicates(spark, sf):
 
 @query("""SELECT source, sum(n_chars) AS chars, sum(n_chars) // 400 AS minutes, count(*) AS chapters, grouping(source) AS total FROM documents GROUP BY ROLLUP (source)""")
 def volume_chars(spark, sf):
-    out = documents(spark, sf).rollup("source").agg(F.sum("n_chars").alias("chars"), F.floor(F.sum("n_chars") / 400).alias("minutes"), F.count("*").alias("chapters"), F.grouping("source").cast("long").alias("total"))
-    return out.select("source", "chars", "minutes", "chapters", "total")
+    return books.volume_chars(documents(spark, sf).select("source", F.col("n_chars").alias("chars")), "source")
 
 
 @query()
@@ -376,10 +353,11 @@ def common_titles(spark, sf):
     return books.common_title(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_nationkey").alias("series"), F.col("c_name").alias("title")), "series")
 
 
-@query("""WITH t AS (SELECT source, trim(left(text, 5)) AS title, min(doc_id) AS position FROM documents WHERE trim(left(text, 5)) <> '' GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS n FROM t) SELECT source, position, title FROM k WHERE n <= 80""".replace("trim(left(text, 5))", f"trim(left(text, 5), {_TRIM})"))
+@query(f"""WITH t AS (SELECT source, trim(string_split(text, chr(10))[1], {_TRIM}) AS title, min(doc_id) AS position FROM documents GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY position) AS n FROM t WHERE title <> '' AND length(title) <= 60) SELECT source, position, title FROM k WHERE n <= 80""")
 def distinct_titles(spark, sf):
-    rows = documents(spark, sf).select("source", F.col("doc_id").alias("position"), F.substring("text", 1, 5).alias("title"))
+    """First lines as titles; the operator leaves out those over 60 characters."""
+    rows = documents(spark, sf).select("source", F.col("doc_id").alias("position"), F.split("text", "\n", -1)[0].alias("title"))
     return sample.distinct_titles(rows, "source")
 
 
@@ -419,18 +397,3 @@ def narrator_progress(spark, sf):
     edits = blocks.where("block % 3 = 1").select("page_id", "block", F.lit(2).alias("seq"), F.transform("segments", F.upper).alias("segments"))
     events = narrator.failures(blocks, errors, "page_id").unionByName(narrator.manual(blocks, edits, "page_id").where("problem IS NULL").drop("problem"))
     return narrator.progress(narrator.state(blocks, events, "page_id"), "page_id")
-
-
-@query(ORACLE["matched_titles"].replace("left(text, 3)", "string_split(text, chr(10))[1]"))
-def matched_first_lines(spark, sf):
-    """As matched_titles, with whole first lines as titles."""
-    rows = documents(spark, sf).select("source", F.col("doc_id").alias("chapter_index"), F.split("text", "\n", -1)[0].alias("title"))
-    saved = rows.select("source", (F.col("chapter_index") + 1).alias("key"), F.col("title").alias("ko"), F.concat(F.lit("z"), "chapter_index").alias("zh"))
-    return archive.matched_titles(saved, rows, "source")
-
-
-@query(ORACLE["distinct_titles"].replace("<> '' GROUP BY", f"<> '' AND length(trim(left(text, 5), {_TRIM})) <= 60 GROUP BY").replace("left(text, 5)", "string_split(text, chr(10))[1]"))
-def distinct_first_lines(spark, sf):
-    """As distinct_titles, with whole first lines as titles; the operator leaves out those over 60 characters."""
-    rows = documents(spark, sf).select("source", F.col("doc_id").alias("position"), F.split("text", "\n", -1)[0].alias("title"))
-    return sample.distinct_titles(rows, "source")

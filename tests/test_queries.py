@@ -35,11 +35,11 @@ def test_query(spark, duck, name):
         assert rows(got, df.columns) == rows(want.fetchall(), [d[0] for d in want.description])
 
 
-def test_all_chapters_cover_documents_without_headings(spark, duck):
-    found = queries.QUERIES["all_chapters"](spark, SF).collect()
+def test_chapters_cover_documents_without_headings(spark, duck):
+    found = queries.QUERIES["chapter_segmentation"](spark, SF).collect()
     filled = {r[0] for r in duck.execute("SELECT doc_id FROM documents WHERE trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) <> ''").fetchall()}
     assert {r["doc_id"] for r in found} == filled
-    headed = {r["doc_id"] for r in queries.QUERIES["chapter_segmentation"](spark, SF).collect()}
+    headed = {r[0] for r in duck.execute(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) <= 90 AND regexp_matches(trim(line), '{queries.LATIN}')").fetchall()}
     packed = [r for r in found if r["doc_id"] not in headed]
     assert packed and all(r["title"] == f"第 {r['chapter_index'] + 1} 节" for r in packed)
     assert any(r["chapter_index"] > 0 for r in packed)
@@ -60,7 +60,7 @@ def test_whole_lines_reach_the_archive_and_title_operators(spark, duck):
 
     texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
     want = {i: hashlib.sha256("\n".join(x + "*" * (n % 3 > 0) for n, x in enumerate(t.split("\n"))).encode()).hexdigest() for i, t in texts.items()}
-    assert {r["doc_id"]: r["sha"] for r in queries.QUERIES["assembled_whole_lines"](spark, SF).collect()} == want
-    titles = queries.QUERIES["distinct_first_lines"](spark, SF).collect()
+    assert {r["doc_id"]: r["sha"] for r in queries.QUERIES["assembled_books"](spark, SF).collect()} == want
+    titles = queries.QUERIES["distinct_titles"](spark, SF).collect()
     assert all(r["title"] == texts[r["position"]].split("\n")[0].strip() for r in titles)
     assert any(len(r["title"]) > 5 for r in titles)
