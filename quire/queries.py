@@ -397,3 +397,6 @@ def narrator_progress(spark, sf):
     edits = blocks.where("block % 3 = 1").select("page_id", "block", F.lit(2).alias("seq"), F.transform("segments", F.upper).alias("segments"))
     events = narrator.failures(blocks, errors, "page_id").unionByName(narrator.manual(blocks, edits, "page_id").where("problem IS NULL").drop("problem"))
     return narrator.progress(narrator.state(blocks, events, "page_id"), "page_id")
+
+
+from quire import queries_books  # noqa: E402, F401  registers its queries here
