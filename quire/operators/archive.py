@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.replies import normalised
 from quire.functions.text import hangul_count, is_decorative, numbered_title, strip, u
 
 
@@ -76,6 +77,21 @@ def malformed_issue(raw: Column, parsed: Column, status: Column) -> Column:
     )
 
 
+def malformed(completed: DataFrame, chunks: DataFrame, *keys: str) -> DataFrame:
+    """Completed chunks (keys, values) that are not simply fine: (keys, values, source, chapter_index, title, known, parsed, status, issue, repairable, repaired).
+
+    `chunks` has (keys, chapter_index, title, paragraphs); a completed chunk that is no longer among
+    them has no source and no expected number.  `repaired` fills gaps from the source.
+    """
+    both = completed.join(chunks.select(*keys, "chapter_index", "title", F.col("paragraphs").alias("source"), F.lit(True).alias("known")), list(keys), "left").where("values IS NOT NULL")
+    own = F.coalesce("source", F.array().cast("array<string>"))
+    expected = F.when(F.col("known"), F.size("source"))
+    rows = both.withColumn("n", normalised(F.col("values"), expected, own)).select("*", F.col("n.paragraphs").alias("parsed"), F.col("n.status").alias("status")).where("status <> 'ok'").drop("n")
+    told = rows.withColumn("issue", malformed_issue(F.col("values"), F.col("parsed"), F.col("status"))).withColumn("repairable", repairable(F.col("parsed"), F.col("status")))
+    filled = normalised(F.col("values"), expected, own, fill=True)["paragraphs"]
+    return told.withColumn("known", F.coalesce("known", F.lit(False))).withColumn("source", own).withColumn("repaired", F.when(F.col("repairable") & F.col("known"), filled).otherwise(F.array().cast("array<string>")))
+
+
 def repairable(parsed: Column, status: Column) -> Column:
     """Whether at least two paragraphs were recovered."""
     return (F.size(F.filter(parsed, lambda p: strip(p) != "")) >= 2) & status.isin("recovered", "cleaned")
@@ -128,3 +144,11 @@ def matched_titles(saved: DataFrame, chapters: DataFrame, book: str) -> DataFram
     rest = rest.withColumn("nth", F.row_number().over(Window.partitionBy(book, "title").orderBy("chapter_index")))
     free = free.withColumn("nth", F.row_number().over(Window.partitionBy(book, "title").orderBy(number, "key")))
     return exact.select(book, "chapter_index", "title", "zh").unionByName(rest.join(free, [book, "title", "nth"]).select(book, "chapter_index", "title", "zh"))
+
+
+def missing_titles(saved: DataFrame, chapters: DataFrame, book: str) -> DataFrame:
+    """(book, chapter_index, ko, zh): chapters with a title that is no decoration, whose saved title is blank, of another text, or not there."""
+    plain = chapters.where((F.coalesce("title", F.lit("")) != "") & ~is_decorative(F.col("title")))
+    found = matched_titles(saved, chapters, book).select(book, "chapter_index", "zh")
+    both = plain.select(book, "chapter_index", F.col("title").alias("ko")).join(found, [book, "chapter_index"], "left")
+    return both.where(F.coalesce("zh", F.lit("")) == "").select(book, "chapter_index", "ko", F.coalesce("zh", F.lit("")).alias("zh"))

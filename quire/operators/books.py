@@ -12,22 +12,27 @@ from quire.operators.package import references
 from quire.operators.segment import remapped
 
 
-def merged_volumes(chapters: DataFrame, title: str = "") -> DataFrame:
-    """One book of volumes (volume_no, chapter_index, title, heading_level, parent_index): a node before each volume, levels one deeper (6 at most), parents kept or set to the node."""
+def merged_volumes(chapters: DataFrame, title: str = "", series: str | None = None) -> DataFrame:
+    """One book of volumes (volume_no, chapter_index, title, heading_level, parent_index): a node before each volume, levels one deeper (6 at most), parents kept or set to the node.
+
+    With `series`, a column, one book for each of its values.
+    """
+    of = [series] if series else []
     prefix = f"{title.strip()} " if title.strip() else ""
-    nodes = chapters.select("volume_no").distinct().select(
-        "volume_no", F.lit(None).cast("int").alias("old_index"), F.concat(F.lit(f"{prefix}第"), F.col("volume_no").cast("string"), F.lit("卷")).alias("title"),
+    nodes = chapters.select(*of, "volume_no").distinct().select(
+        *of, "volume_no", F.lit(None).cast("int").alias("old_index"), F.concat(F.lit(f"{prefix}第"), F.col("volume_no").cast("string"), F.lit("卷")).alias("title"),
         F.lit(1).alias("heading_level"), F.lit(None).cast("int").alias("old_parent"), F.lit(True).alias("is_section"),
     )
-    bodies = chapters.select("volume_no", F.col("chapter_index").cast("int").alias("old_index"), "title", F.least(F.col("heading_level") + 1, F.lit(6)).alias("heading_level"), F.col("parent_index").cast("int").alias("old_parent"), F.lit(False).alias("is_section"))
+    bodies = chapters.select(*of, "volume_no", F.col("chapter_index").cast("int").alias("old_index"), "title", F.least(F.col("heading_level") + 1, F.lit(6)).alias("heading_level"), F.col("parent_index").cast("int").alias("old_parent"), F.lit(False).alias("is_section"))
     # volumes are numbered by their sizes, so no task orders all chapters of all volumes
-    sizes = bodies.groupBy("volume_no").agg((F.count("*") + 1).alias("size"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(Window.orderBy("volume_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("volume_no").orderBy(F.col("old_index").asc_nulls_first())
-    placed = nodes.unionByName(bodies).join(starts, "volume_no").withColumn("chapter_index", (F.col("start") + F.row_number().over(inside) - 1).cast("int"))
-    parents = placed.where(~F.col("is_section")).select("volume_no", F.col("old_index").alias("old_parent"), F.col("chapter_index").alias("found"))
-    return placed.join(parents, ["volume_no", "old_parent"], "left").select(
-        "chapter_index", "volume_no", "title", "heading_level", F.when(~F.col("is_section"), F.coalesce("found", F.col("start").cast("int"))).alias("parent_index"), "is_section"
+    sizes = bodies.groupBy(*of, "volume_no").agg((F.count("*") + 1).alias("size"))
+    before = Window.partitionBy(*of).orderBy("volume_no") if of else Window.orderBy("volume_no")  # a row a volume
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = Window.partitionBy(*of, "volume_no").orderBy(F.col("old_index").asc_nulls_first())
+    placed = nodes.unionByName(bodies).join(starts, [*of, "volume_no"]).withColumn("chapter_index", (F.col("start") + F.row_number().over(inside) - 1).cast("int"))
+    parents = placed.where(~F.col("is_section")).select(*of, "volume_no", F.col("old_index").alias("old_parent"), F.col("chapter_index").alias("found"))
+    return placed.join(parents, [*of, "volume_no", "old_parent"], "left").select(
+        *of, "chapter_index", "volume_no", "title", "heading_level", F.when(~F.col("is_section"), F.coalesce("found", F.col("start").cast("int"))).alias("parent_index"), "is_section"
     )
 
 
@@ -156,6 +161,13 @@ def organised(chapters: DataFrame, book: str, template: str, by_number: bool) ->
     return rows.select(book, "new_index", "chapter_index", F.when(F.col("heading_level") == 1, strip(F.coalesce("title", F.lit("")))).otherwise(new).alias("new_title"))
 
 
+def put_in_order(chapters: DataFrame, book: str, template: str, by_number: bool) -> DataFrame:
+    """Chapters in the order of `organised` with its titles, numbered from 1, parents mapped along; `changed` tells new titles."""
+    new = organised(chapters, book, template, by_number)
+    both = chapters.join(new, [book, "chapter_index"]).withColumn("changed", ~F.col("title").eqNullSafe(F.col("new_title"))).withColumn("title", F.col("new_title")).drop("new_title")
+    return remapped(both, book)
+
+
 def _with_references(resources: DataFrame) -> DataFrame:
     """Resources with `sha`: of their bytes, and for a style sheet also of the package's files that it refers to."""
     own = resources.withColumn("own", F.sha2("content", 256))

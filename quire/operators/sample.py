@@ -72,6 +72,28 @@ def sampled_text(chosen: DataFrame, paragraphs: DataFrame, book: str, budget_cha
     return cut.select(book, "position", "ord", F.expr("substring(text, 1, int(take))").alias("text"))
 
 
+def chosen(rows: DataFrame, book: str, total_chars: int, regions: int | None = 3, each: int | None = 2, count: int = 6, round_: int = 0, least: int = 300) -> DataFrame:
+    """Chapters by regions, more for a longer book and others in a later round, where regions are set; else by equal buckets."""
+    if regions is None or each is None:
+        return strided(rows, book, count, least)
+    spend = min(60_000, max(30_000, 30_000 + 20_000 * (total_chars // 100_000)))
+    regions, each = region_plan(spend, regions, each, count)
+    return regional(rows, book, regions, each, least, skip=round_ * each)
+
+
+def report_text(report_: DataFrame, chosen_: DataFrame, book: str) -> DataFrame:
+    """(book, text): a report in one line: chapters, characters where the book is long, positions, progress and how well it is covered."""
+    positions = chosen_.groupBy(book).agg(F.array_join(F.transform(F.array_sort(F.collect_list("position")), lambda p: p.cast("string")), ",").alias("_at"))
+    percent = lambda c: F.concat(F.floor(F.col(c) * 100).cast("string"), F.lit("%"))
+    size = F.when(F.col("total_chars") >= 10_000, F.concat(F.least("budget_chars", "total_chars").cast("string"), F.lit("/"), F.col("total_chars").cast("string"))).otherwise(F.col("budget_chars").cast("string"))
+    state = F.when(F.col("all_chapters"), "all chapters").when(F.col("spans_whole"), "start, middle and end covered").otherwise("not covered, sample more chapters")
+    text = F.concat(
+        F.col("sample_chapters").cast("string"), F.lit("/"), F.col("valid_chapters").cast("string"), F.lit(" chapters, "), size, F.lit(" characters, at ["), "_at", F.lit("], "),
+        percent("first_progress"), F.lit(" to "), percent("last_progress"), F.lit(", "), state,
+    )
+    return report_.join(positions, book).select(book, text.alias("text"))
+
+
 def report(rows: DataFrame, chosen: DataFrame, book: str, least: int = 300) -> DataFrame:
     """How well the chosen chapters cover each book."""
     whole = rows.groupBy(book).agg(F.count("*").alias("total_chapters"), F.sum("chars").alias("total_chars"), F.sum((F.col("chars") >= least).cast("long")).alias("long_chapters"))

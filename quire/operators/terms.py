@@ -120,6 +120,39 @@ def enriched(entries: DataFrame, suggested: DataFrame) -> DataFrame:
     return both.select(*rest, F.when(more, merged).otherwise(F.col("alternatives")).alias("alternatives"), F.when(noted, F.col("_note")).otherwise(F.col("note")).alias("note"), F.coalesce(more, F.lit(False)).alias("changed_alternatives"), F.coalesce(noted, F.lit(False)).alias("changed_note"))
 
 
+def enrich_prompt(entries: DataFrame, instruction: str) -> DataFrame:
+    """One row (prompt): all valid entries with what is known of them, for suggestions; none for an empty glossary."""
+    line = F.concat(F.lit("- ko="), "ko", F.lit(" | zh="), "zh", F.lit(" | kind="), "kind", F.lit(" | note="), F.coalesce("note", F.lit("")), F.lit(" | alts="), F.array_join("alternatives", ","))
+    return _listed(valid(entries), line, instruction)
+
+
+def nickname_prompt(entries: DataFrame, instruction: str) -> DataFrame:
+    """One row (prompt): the persons of a glossary, for their short names; none without persons."""
+    line = F.concat(F.lit("- ko="), "ko", F.lit(" | zh="), "zh", F.lit(" | note="), F.coalesce("note", F.lit("")))
+    return _listed(valid(entries).where("kind = 'person'"), line, instruction)
+
+
+def _listed(entries: DataFrame, line: Column, instruction: str) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"])
+    head = F.lit(f"{instruction}\nAnswer with one JSON object; the ko of every entry must be as given.\n\n")
+    return entries.agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("l")).where("n > 0").select(F.concat(head, "l").alias("prompt"))
+
+
+def improved(entries: DataFrame, texts: DataFrame, ask, nick: str = "Which short names do these persons have?", alts: str = "Which other spellings do these entries have?") -> DataFrame:
+    """Entries with new nicknames that the texts bear out, and then suggestions for all, the new ones too.
+
+    `ask` takes a row (prompt) and gives a row (reply); a glossary without persons skips the first step.
+    """
+    from quire.operators.glossary import appended
+
+    names = nickname_prompt(entries, nick)
+    if not names.isEmpty():
+        found = nickname_entries(nicknames(entries, said_nicknames(ask(names)), texts))
+        entries = appended(entries, found.select(*entries.columns))
+    reply = ask(enrich_prompt(entries, alts))
+    return enriched(entries, parsed(reply.select(F.lit(0).alias("k"), "reply"), "k").where("problem IS NULL").drop("k", "problem"))
+
+
 def without_name(text: Column, name: Column) -> Column:
     """A text without a full name and the particle that may follow it."""
     pattern = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?:{'|'.join(quoted(p) for p in PARTICLES)})?"))

@@ -167,3 +167,19 @@ def title_results(chapters: DataFrame, ledger: DataFrame, book: str) -> DataFram
     said = (F.coalesce("title", F.lit("")) != "") & ~is_decorative(F.col("title"))
     same = (F.col(book).cast("string") == F.col("_book")) & (F.col("chapter_index").cast("string") == F.col("_number"))
     return chapters.alias("c").join(found.alias("f"), same, "left").select("c.*", F.when(said, F.col("f._zh")).alias("title_zh"))
+
+
+def assembled_chapters(chapters: DataFrame, done: DataFrame, book: str) -> DataFrame:
+    """Chapters with the paragraphs of their finished chunks (book, chapter_index, chunk_index, final) in order; those without chunks keep their own."""
+    listed = done.groupBy(book, "chapter_index").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "final"))), lambda x: x["final"])).alias("_p"))
+    both = chapters.join(listed, [book, "chapter_index"], "left")
+    return both.withColumn("paragraphs", F.when(F.coalesce(F.size("_p"), F.lit(0)) > 0, F.col("_p")).otherwise(F.col("paragraphs"))).select(*chapters.columns)
+
+
+def translated_books(spark: SparkSession, chapters: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], book: str = "book_id", pairs: list[tuple[str, str]] | None = None, chunk_chars: int = 1800, paragraph_chars: int = 2600, **options) -> DataFrame:
+    """Chapters put through the service chunk by chunk, with the ledger in `folder`; what fails three rounds stays in the source language."""
+    from quire.operators.segment import chunks
+
+    cut = chunks(chapters, chunk_chars, paragraph_chars, book).withColumn("_chunk", F.col("chunk_id")).withColumn("chunk_id", F.concat_ws(":", F.col(book).cast("string"), "chunk_id"))
+    ledger = rounds(spark, cut, folder, instruction, factory, **options)
+    return assembled_chapters(chapters, results(cut, ledger, pairs), book)

@@ -289,3 +289,57 @@ def glossary_to_json(entries: DataFrame, source_text: str = "", raw_response: st
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("e")))), lambda x: x["e"])
     whole = F.struct(F.lit(source_text).alias("source_text"), F.lit(raw_response).alias("raw_response"), F.lit(sample_chars).alias("sample_chars"), F.col("entries"))
     return entries.agg(listed.alias("entries")).select(F.to_json(whole, {"pretty": "true"}).alias("content"))
+
+
+PERSON = "archive string, mode string, source_path string, source_fingerprint string, output_path string, options string, blocks map<string,struct<file:string,index:int,class:string,segments:array<string>,translated:array<string>,status:string,error:string>>, problem string"
+
+
+def person_from_json(rows: DataFrame) -> DataFrame:
+    """Archives of person rewriting of rows (archive, content); `problem` names what is missing: the kind, a path, the options or the blocks."""
+
+    def block(b: dict) -> dict:
+        segments = b.get("source_segments") or [str(b.get("source", ""))]
+        return {"file": str(b.get("file", "")), "index": _number(b.get("index")) or 0, "class": str(b.get("classification", "narration")), "segments": [str(x) for x in segments], "translated": [str(x) for x in b.get("translated_segments") or []], "status": str(b.get("status", "pending")), "error": str(b.get("error", ""))}
+
+    def one(name: str, content: str) -> dict:
+        try:
+            data = json.loads(content)
+        except ValueError:
+            data = None
+        said = data if isinstance(data, dict) else {}
+        options, blocks = said.get("options"), said.get("blocks")
+        wrong = (("not an object", not isinstance(data, dict)), ("kind", said.get("mode") != "first_to_third"), ("source_path", not str(said.get("source_path") or "").strip()), ("output_path", not str(said.get("output_path") or "").strip()), ("options", not isinstance(options, dict)), ("blocks", not isinstance(blocks, dict)))
+        text = lambda k: str(said[k]) if said.get(k) is not None else None
+        return {
+            "archive": name, "mode": text("mode"), "source_path": text("source_path"), "source_fingerprint": text("source_fingerprint"), "output_path": text("output_path"), "options": json.dumps(options, ensure_ascii=False) if isinstance(options, dict) else None,
+            "blocks": [(str(k), block(b)) for k, b in blocks.items() if isinstance(b, dict)] if isinstance(blocks, dict) else [], "problem": next((w for w, bad in wrong if bad), None),
+        }
+
+    held = pa.struct([("file", pa.string()), ("index", pa.int32()), ("class", pa.string()), ("segments", pa.list_(pa.string())), ("translated", pa.list_(pa.string())), ("status", pa.string()), ("error", pa.string())])
+    kinds = pa.schema([*((c, pa.string()) for c in ("archive", "mode", "source_path", "source_fingerprint", "output_path", "options")), ("blocks", pa.map_(pa.string(), held)), ("problem", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one(a, c or "") for a, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], kinds)
+
+    return rows.select("archive", "content").mapInArrow(run, PERSON)
+
+
+def person_to_json(archives: DataFrame) -> DataFrame:
+    """(archive, content): the JSON that `person_from_json` reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                blocks = {k: {"file": b["file"], "index": b["index"], "classification": b["class"], "source": "".join(b["segments"]), "source_segments": b["segments"], "translated_segments": b["translated"], "status": b["status"], "error": b["error"]} for k, b in r["blocks"] or []}
+                out.append(json.dumps({k: r[k] for k in ("mode", "source_path", "source_fingerprint", "output_path")} | {"options": json.loads(r["options"] or "{}"), "blocks": blocks}, ensure_ascii=False, indent=2))
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), pa.array(out, pa.string())], ["archive", "content"])
+
+    return archives.mapInArrow(run, "archive string, content string")
+
+
+def forget(spark: SparkSession, path: str) -> bool:
+    """Delete a stored state; whether there was one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True))

@@ -133,3 +133,32 @@ def test_names_and_audits(spark, name, value):
     assert {tuple(r) for r in archive.title_audit(titles, "archive").collect()} == {("a", 2, 1, 1), ("c", 1, 0, 1)}
     chunks, done = (spark.createDataFrame(x, "id string") for x in ([("a",), ("b",)], [("b",), ("c",)]))
     assert archive.same_structure(chunks, done, "id") and not archive.same_structure(chunks, done.where("id = 'c'"), "id") and archive.same_structure(chunks, done.limit(0), "id")
+
+
+def test_patterns_are_asked_for(spark):
+    df = chapters(spark, [(k, f"EP.{k}", 2, None, ["本章字数: 3", f"标题{k}", "文"]) for k in range(30)] + [(40, "真", 2, None, ["x"])])
+    asked = corrections.placeholder_prompt(sample.distinct_titles(df.withColumn("position", F.col("chapter_index")), "book"), "book").first()["prompt"]
+    assert asked.endswith("- 真") and "- EP.0\n- EP.1" in asked
+    heads = corrections.body_title_prompt(df, "book", lines=1, count=3).first()["prompt"]
+    assert heads.endswith("[Chapter: EP.0]\n  标题0\n\n[Chapter: EP.14]\n  标题14\n\n[Chapter: EP.29]\n  标题29")
+    said_ = lambda x: tuple(spark.range(1).select(corrections.said_pattern(F.lit(x)).alias("p")).first()["p"])
+    assert [said_(x) for x in ('{"pattern": " ^a ", "found": false}', 'so {"pattern": "b"}', "{}", "no")] == [("^a", False), ("b", True), ("", False), ("", False)]
+
+
+def test_books_are_put_in_order(spark):
+    df = spark.createDataFrame([("b", 1, None, 1, "卷"), ("b", 2, 1, 2, "EP.9 末"), ("b", 3, 1, 2, "EP.2 初")], "book string, chapter_index long, parent_index long, heading_level int, title string")
+    made = books.put_in_order(df, "book", "第 {n} 章", by_number=True).orderBy("chapter_index").collect()
+    assert [(r["chapter_index"], r["parent_index"], r["title"], r["changed"]) for r in made] == [(1, None, "卷", False), (2, 1, "第 2 章 初", True), (3, 1, "第 9 章 末", True)]
+    two = spark.createDataFrame([("s", 1, 0, "a", 1, None), ("t", 1, 0, "b", 6, None), ("s", 2, 0, "c", 1, None)], "series string, volume_no int, chapter_index int, title string, heading_level int, parent_index int")
+    got = sorted((r["series"], r["chapter_index"], r["title"], r["heading_level"], r["parent_index"]) for r in books.merged_volumes(two, "书", "series").collect())
+    assert got == [("s", 0, "书 第1卷", 1, None), ("s", 1, "a", 2, 0), ("s", 2, "书 第2卷", 1, None), ("s", 3, "c", 2, 2), ("t", 0, "书 第1卷", 1, None), ("t", 1, "b", 6, 0)]
+
+
+def test_samples_are_chosen_and_told(spark):
+    rows = spark.createDataFrame([("b", p, 5000 + p) for p in range(30)], "book string, position int, chars long")
+    positions = lambda df: sorted(r["position"] for r in df.collect())
+    assert positions(sample.chosen(rows, "book", 150_000, regions=None)) == positions(sample.strided(rows, "book")) == [4, 9, 14, 19, 24, 29]
+    first, second = positions(sample.chosen(rows, "book", 150_000)), positions(sample.chosen(rows, "book", 150_000, round_=1))
+    assert len(first) == 12 and not set(first) & set(second)
+    chosen = sample.strided(rows, "book")
+    assert sample.report_text(sample.report(rows, chosen, "book"), chosen, "book").first()["text"] == "6/30 chapters, 50000/150435 characters, at [4,9,14,19,24,29], 13% to 100%, start, middle and end covered"

@@ -179,3 +179,54 @@ def test_rounds_stop_when_nothing_is_pending(spark, tmp_path):
         complete.JsonRequired(type("S", (), {"complete": lambda s, p: "plain"})()).complete("x")
     none = complete.completed(complete.prompts(chunks, "do"), Flaky, stop=lambda: True)
     assert none.count() == 0
+
+
+def test_malformed_chunks_are_found_with_their_source(spark):
+    from quire.operators import archive
+
+    chunks = spark.createDataFrame([(f"c{k}", 1, "T", ["源一", "源二"]) for k in range(4)], "chunk_id string, chapter_index int, title string, paragraphs array<string>")
+    done = spark.createDataFrame([("c0", ["好", "了"]), ("c1", ['{"paragraphs": ["甲甲", "乙乙"]}', ""]), ("c2", ["", ""]), ("c9", ['"a" b "c"', "走"]), ("c3", None)], "chunk_id string, values array<string>")
+    got = {r["chunk_id"]: (r["status"], r["issue"], r["repairable"], r["repaired"], r["known"]) for r in archive.malformed(done, chunks, "chunk_id").collect()}
+    assert got == {"c1": ("recovered", "one blob", True, ["甲甲", "乙乙"], True), "c2": ("unresolved", "missing paragraphs", False, [], True), "c9": ("cleaned", "other", True, [], False)}
+    saved = spark.createDataFrame([("b", "0", "하나", "一"), ("b", "1", "둘", ""), ("b", "2", "다른", "x")], "book string, key string, ko string, zh string")
+    chapters = spark.createDataFrame([("b", 0, "하나"), ("b", 1, "둘"), ("b", 2, "셋"), ("b", 3, "")], "book string, chapter_index int, title string")
+    assert [tuple(r) for r in archive.missing_titles(saved, chapters, "book").orderBy("chapter_index").collect()] == [("b", 1, "둘", ""), ("b", 2, "셋", "")]
+
+
+def test_glossaries_are_improved_in_two_steps(spark):
+    rows = [(0, "최범진", "崔范镇", "person", "", True, [], False, []), (1, "달", "月", "term", "", False, [], False, [])]
+    entries = spark.createDataFrame(rows, ENTRIES)
+    prompts = []
+
+    def ask(row):
+        prompts.append(row.first()["prompt"])
+        short = {"entries": [{"ko": "최범진", "nicknames": [{"ko": "범진", "zh": "范镇"}]}]}
+        return spark.createDataFrame([(json.dumps(short if len(prompts) == 1 else {"entries": [{"ko": "범진", "zh": "范镇", "alts": "范真", "note": "x"}, {"ko": "달", "zh": "月", "note": "天"}]}),)], "reply string")
+
+    got = {r["ko"]: (r["kind"], r["alternatives"], r["note"]) for r in terms.improved(entries, spark.createDataFrame([("범진아 달",)], "text string"), ask).collect()}
+    assert got == {"최범진": ("person", [], ""), "달": ("term", [], "天"), "범진": ("person-nickname", ["范真"], "崔范镇的昵称")}
+    assert "달" not in prompts[0] and "- ko=범진 | zh=范镇 | kind=person-nickname | note=崔范镇的昵称 | alts=" in prompts[1]
+
+
+def test_books_are_translated_by_chunks(spark, tmp_path):
+    class Upper:
+        def complete(self, prompt):
+            if "bad" in prompt:
+                raise OSError("no")
+            return json.dumps([x.split("] ", 1)[1].upper() for x in prompt.split("\n") if x.startswith("[")])
+
+    chapters = spark.createDataFrame([("b", 0, "T", ["aa", "bb", "cc"]), ("b", 1, "U", []), ("c", 0, "V", ["bad"])], "book_id string, chapter_index int, title string, paragraphs array<string>")
+    done = complete.translated_books(spark, chapters, str(tmp_path / "l"), "do", Upper, pairs=[("BB", "ß")], chunk_chars=6, retries=1, delay=0)
+    assert {(r["book_id"], r["chapter_index"]): r["paragraphs"] for r in done.collect()} == {("b", 0): ["AA", "ß", "CC"], ("b", 1): [], ("c", 0): ["bad"]}
+
+
+def test_person_archives_are_read_and_written(spark, tmp_path):
+    good = {"mode": "first_to_third", "source_path": "/a", "source_fingerprint": "f", "output_path": "/b", "options": {"name": "林"}, "blocks": {"x#1": {"file": "x", "index": 1, "source_segments": ["s"], "status": "failed", "error": "e"}, "x#2": 3}}
+    cases = {"good": good, "kind": good | {"mode": "z"}, "options": good | {"options": []}, "blocks": good | {"blocks": None}, "source_path": good | {"source_path": " "}}
+    rows = archives.person_from_json(spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()] + [("not an object", "[")], "archive string, content string"))
+    assert {r["archive"]: r["problem"] for r in rows.collect()} == {k: None if k == "good" else k for k in [*cases, "not an object"]}
+    back = json.loads(archives.person_to_json(rows.where("archive = 'good'")).first()["content"])
+    assert back["options"] == {"name": "林"} and back["blocks"] == {"x#1": {"file": "x", "index": 1, "classification": "narration", "source": "s", "source_segments": ["s"], "translated_segments": [], "status": "failed", "error": "e"}}
+    path = tmp_path / "s.json"
+    path.write_text("{}")
+    assert archives.forget(spark, str(path)) and not archives.forget(spark, str(path)) and not path.exists()
