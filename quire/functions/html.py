@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 from quire.functions.text import DIALOGUE
 
 # Tags and markers of the documents that are read.
-BLOCKS = frozenset("p div li blockquote h1 h2 h3 h4 h5 h6 td th dd dt figcaption pre section article".split())
+BLOCKS = frozenset("p li blockquote pre td th dt dd figcaption h1 h2 h3 h4 h5 h6".split())
+LOOSE_BLOCKS = frozenset(("div", "section", "article"))
+#: Tags before which a paragraph that is left open ends.
+ENDS_PARAGRAPH = BLOCKS | LOOSE_BLOCKS | frozenset("ul ol dl table hr aside main figure".split())
 SILENT = frozenset(("script", "style", "noscript"))
 RAW_SILENT = SILENT | {"head", "title"}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -100,8 +103,8 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._mark()
-        if tag == "p" and any(e.tag == "p" for e in (self.at, *self.at.ancestors())):
-            self._leave("p")  # a new paragraph ends one left open
+        if tag in ENDS_PARAGRAPH and any(e.tag == "p" for e in (self.at, *self.at.ancestors())):
+            self._leave("p")  # a new block ends a paragraph left open
         element = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(element)
         if tag not in VOID:
@@ -138,13 +141,34 @@ def tree(content: str | None) -> Element:
     return _Builder(content or "").root
 
 
+def blocks(root: Element) -> list[Element]:
+    """The blocks of a page in order: outermost paragraphs, list items, quotes, cells and headings; without any, outermost divisions; without these, the body."""
+    kinds = next((k for k in (BLOCKS, LOOSE_BLOCKS) if any(e.tag in k and e.text().strip() for e in root.elements())), frozenset(("body",)))
+    return [e for e in root.elements() if e.tag in kinds and not any(a.tag in kinds for a in e.ancestors()) and any(_visible(t) for t in e.texts())]
+
+
+def _tags(t: Text) -> list[str]:
+    return [e.tag for e in (t.parent, *t.parent.ancestors())] if t.parent.parent is not None else []
+
+
+def _visible(t: Text) -> bool:
+    return bool(t.value.strip()) and not SILENT.intersection(_tags(t))
+
+
+def _marks(element: Element) -> str:
+    """Classes, ids and roles of an element and all around it, and which of these are quotes."""
+    chain = [element, *element.ancestors()] if element.parent is not None else []
+    said = " ".join(v for e in reversed(chain) for k, v in e.attrs.items() if k in ("class", "id", "role", "epub:type"))
+    return said + "".join(f" <{e.tag}>" for e in reversed(chain) if e.tag in QUOTES)
+
+
 @dataclass(frozen=True)
 class Node:
-    """A visible text with the block that it stands in (0: none) and the marks of its ancestors."""
+    """A visible text with the number and tag of its block (0, body: none), the block's class, and its place in the source."""
 
     block: int
     tag: str
-    marks: str
+    kind: str
     text: str
     start: int
     end: int
@@ -162,31 +186,29 @@ class Page:
 
 
 def read(content: str | None) -> Page:
+    """A page with its visible texts; a text outside of all blocks is classified by itself."""
     root = tree(content)
-    number = {id(e): n for n, e in enumerate((e for e in root.elements() if e.tag in BLOCKS), 1)}
+    found = {id(e): (n, e.tag, classify(e.tag, _marks(e), e.text())) for n, e in enumerate(blocks(root), 1)}
     nodes = []
-    for t in root.texts():
-        chain = [t.parent, *t.parent.ancestors()] if t.parent.parent is not None else []
-        tags = [e.tag for e in chain]
-        if not t.value.strip() or SILENT.intersection(tags):
-            continue
-        block = next((e for e in chain if e.tag in BLOCKS), None)
-        marks = " ".join(v for e in reversed(chain) for k, v in e.attrs.items() if k in ("class", "id", "role", "epub:type"))
-        marks += "".join(f" <{x}>" for x in reversed(tags) if x in QUOTES)
-        nodes.append(Node(number[id(block)] if block else 0, block.tag if block else "body", marks, t.value, t.start, t.end, not RAW_SILENT.intersection(tags)))
+    for t in filter(_visible, root.texts()):
+        chain = (t.parent, *t.parent.ancestors()) if t.parent.parent is not None else ()
+        number, tag, kind = next((found[id(e)] for e in chain if id(e) in found), None) or (0, "body", classify("body", _marks(t.parent), t.value))
+        nodes.append(Node(number, tag, kind, t.value, t.start, t.end, not RAW_SILENT.intersection(_tags(t))))
     return Page(root, nodes)
 
 
 def classify(tag: str, marks: str, text: str) -> str:
-    """heading, letter, monologue, dialogue or narration."""
+    """heading, code, letter, dialogue, monologue or narration."""
     if re.fullmatch("h[1-6]", tag):
         return "heading"
+    if tag in ("pre", "code"):
+        return "code"
     if LETTER.search(marks) or any(f"<{q}>" in marks for q in QUOTES):
         return "letter"
-    spoken = bool(re.search(DIALOGUE, text))
-    if INNER.search(marks) or (re.fullmatch(r"[（(].*[）)]", text.strip(), re.S) and not spoken):
-        return "monologue"
-    return "dialogue" if spoken else "narration"
+    core = text.strip()
+    if re.search(DIALOGUE, core):
+        return "dialogue"
+    return "monologue" if INNER.search(marks) or re.fullmatch(r"（.*）|\(.*\)", core, re.S) else "narration"
 
 
 def skipped(name: str, page: Page) -> bool:
@@ -203,7 +225,7 @@ def text_nodes(pages: DataFrame, key: str, content: str) -> DataFrame:
             rows: list[list] = [[] for _ in range(7)]
             for k, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, n in enumerate(read(html).nodes):
-                    for column, value in zip(rows, (k, i, n.block, n.tag, classify(n.tag, n.marks, n.text), n.text, n.replaceable), strict=True):
+                    for column, value in zip(rows, (k, i, n.block, n.tag, n.kind, n.text, n.replaceable), strict=True):
                         column.append(value)
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], [key, "node", "block", "tag", "class", "text", "in_body"])
