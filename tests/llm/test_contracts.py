@@ -177,3 +177,27 @@ def test_queries_over_empty_tables(spark, empty, name):
 
 def test_pipeline_over_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pipeline_takes_unlike_rows_of_one_id_one_by_one(spark, tmp_path):
+    rng = np.random.default_rng(24)
+    one, two, three, four = (" ".join(rng.choice(WORDS, 70)) for _ in range(4))
+    rows = [(1, one), (2, one), (2, two), (2, three + " leaked " + BENCHMARK[0][1]), (3, two), (3, four), (3, four), (4, four[40:] + " and " + one[:150]), (None, two), (None, three), (5, None), (5, "end")]
+    sf = stored(spark, tmp_path, documents=[(i, t, "en", "s", None if t is None else len(t), 1, 2, 3, 4, 0.5) for i, t in rows], benchmark=BENCHMARK)
+    named = [(i, t) for i, t in rows if i is not None]
+    prints = [fingerprint(t) for _, t in named]
+    label = components(dict(enumerate(prints)))
+    least = {c: min(i for (i, _), m in zip(named, label.values(), strict=True) if m == c) for c in set(label.values())}
+    kept = [r for r, c in zip(named, label.values(), strict=True) if least[c] == r[0]] + [r for r in rows if r[0] is None]
+    hashes = {t: spark.createDataFrame([(t,)], "t string").selectExpr("xxhash64(t)").first()[0] for _, t in kept}
+    order = sorted(set(kept), key=lambda r: (-1 if r[0] is None else r[0], hashes[r[1]]))
+    cut = {}
+    for n, (words, mask) in repeats([(k, t) for k, (_, t) in enumerate(order)], bytes.split, 20).items():
+        cut[order[n]] = b" ".join(w for w, gone in zip(words, mask, strict=True) if not gone).decode() if mask.any() else order[n][1]
+    last = [(i, cut[i, t]) for i, t in kept if cut[i, t] or not t]
+    want = sorted(((i, t or "") for i, t in last if not hit(t)), key=repr)
+    assert len(want) < len(last) < len(rows) and any(cut[r] != r[1] for r in kept)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, sf), name)
+    assert sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=repr) == want

@@ -501,26 +501,38 @@ def test_toxicity_scores_are_those_of_a_double_loop(spark):
 
 def test_quality_scores_are_those_of_a_plain_measurement(spark):
     rng = np.random.default_rng(23)
-    rows = [(i, "  ".join(w.title() if k % 5 == 0 else w + "#" * (i % 2) for k, w in enumerate(rng.choice(WORDS, 20))) + "\n42, ok!") for i in range(120)] + [(900, None), (901, ""), (902, "Long | word\n" * 30_000), (902, "one")]
+    rows = [(i, "  ".join(w.title() if k % 5 == 0 else w + "#" * (i % 2) for k, w in enumerate(rng.choice(WORDS, 20))) + "\n42, ok!") for i in range(120)] + [(900, None), (901, ""), (902, "Long | word\n" * 3_000), (902, "one")]
     docs = frame(spark, rows)
     ranking = quality.learn(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int"))
 
     def measured(text):
         data = (text or "").encode()
         if not data:
-            return [0.0] * len(quality.NAMES)
+            return [0.0] * len(quality.COLUMNS)
         share = [sum(bool(member[b]) for b in data) / len(data) for member in quality._CLASSES.values()]
         words, n = data.split(), len(data.split())
         low, mark, upper = [w.lower() for w in words], set(b"#$%&*+=<>@^_`{|}~\\/[]()!"), set(range(65, 91))
         lines = data.count(b"\n") + 1
         rest = [np.log1p(n) / 10, sum(map(len, words)) / n / 10, sum(len(w) > 12 for w in words) / n, sum(len(w) < 3 for w in words) / n, len(set(low)) / n,
                 sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, np.log1p(n / lines) / 10, sum(w[-1] in mark for w in words) / n, sum(w[0] in upper for w in words) / n, sum(len(w) > 1 and w[0] in upper and w[1] in upper for w in words) / n]
-        return [*share, np.log1p(len(data)) / 10, *rest]
+        hashed = [int(toxicity.tb.mix(toxicity.tb.ranged(toxicity.tb.prefix(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)])))[0]) % quality.BUCKETS for w in low]
+        return [*share, np.log1p(len(data)) / 10, *rest, *(hashed.count(k) / n for k in range(quality.BUCKETS))]
 
     want = []
     for i, text in rows:
         z = np.clip((np.array(measured(text)) - ranking.mean) / ranking.scale, -6, 6)
-        strength = sum(a * w for a, w in zip([*z, *abs(z)], ranking.weights, strict=True))
+        strength = sum(a * w for a, w in zip([*z, *abs(z[: len(quality.NAMES)])], ranking.weights, strict=True))
         want.append((i, 1 / (1 + np.exp(-np.clip(ranking.slope * (strength - ranking.threshold) + np.log(0.3 / 0.7), -40, 40)))))
     got = sorted((r["doc_id"], r["score"]) for r in quality.score(docs, ranking).collect())
     assert np.allclose(got, sorted(want))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_joins_with_hot_keys_are_joins(spark, rows):
+    from quire.llm.common import dealt_join
+
+    many = spark.createDataFrame([(k % 40 if k % 2 else 3, k) for k in range(400)] + [(None, 900), (77, 901)], "key long, x long")
+    one_ = spark.createDataFrame([(k, f"v{k}") for k in range(60) if k != 9], "key long, y string")
+    for how in ("inner", "left"):
+        plain = sorted(map(tuple, many.join(one_, "key", how).select("key", "x", "y").collect()), key=repr)
+        assert sorted(map(tuple, dealt_join(many, one_, "key", how, rows).select("key", "x", "y").collect()), key=repr) == plain
