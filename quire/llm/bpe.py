@@ -17,6 +17,7 @@ one block whole; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 from collections.abc import Iterator
@@ -37,8 +38,10 @@ from quire.llm.windows import unpacked
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 1 << 16
-#: Bytes of texts that one task holds together.
-BLOCK_BYTES = 16 << 20
+#: About the bytes of texts that one task holds together; smaller blocks send a common word to more of them.
+BLOCK_BYTES = 20 << 20
+#: Blocks up to which each has a name that spreads them evenly.
+NAMED_BLOCKS = 10_000
 
 
 def vocabulary(path: str) -> str:
@@ -94,23 +97,43 @@ class Decoder:
         return self.data[ragged(self.starts[ids], self.sizes[ids])].tobytes()
 
 
-def _labels(spark, n: int) -> list[int]:
-    """For each of n partitions a number that Spark's hash partitioning deals there, so that blocks spread evenly."""
-    label = F.col("id").cast("int")
-    rows = spark.range(40 * n).groupBy(F.pmod(F.hash(label), F.lit(n)).alias("p")).agg(F.min(label).alias("label")).collect()
-    found = {r["p"]: r["label"] for r in rows}
-    return [found.get(p, -1 - p) for p in range(n)]
+def _labels(spark, n: int, count: int) -> list[int]:
+    """For each of `count` blocks a number, so that Spark's hash partitioning deals the blocks over n partitions in turn."""
+    label, each = F.col("id").cast("int"), -(-count // n)
+    rows = spark.range(40 * n * each).groupBy(F.pmod(F.hash(label), F.lit(n)).alias("p")).agg(F.slice(F.sort_array(F.collect_list(label)), 1, each).alias("labels")).collect()
+    found = {r["p"]: r["labels"] for r in rows}
+    return [(found.get(k % n, [])[k // n :] or [-1 - k])[0] for k in range(count)]
+
+
+def _with_places(keyed: DataFrame, count: int, total: int) -> DataFrame:
+    """Rows (doc_id, text, _key) with the `_place` of their block: by the key, but texts over an eighth of a mean block each to the block with the least of such.
+
+    There are at most 8 * count of these, whatever the table.
+    """
+    by_key = F.pmod(F.col("_key"), F.lit(count))
+    size = F.octet_length("text")
+    long = keyed.where(size > max(1, total // (8 * count))).groupBy("_key").agg(F.sum(size).alias("size")).collect()
+    loads, places = [(0, k) for k in range(count)], []
+    for r in sorted(long, key=lambda r: (-r["size"], r["_key"])):
+        load, k = heapq.heappop(loads)
+        places.append((r["_key"], k))
+        heapq.heappush(loads, (load + r["size"], k))
+    if not places:
+        return keyed.withColumn("_place", by_key)
+    own = keyed.sparkSession.createDataFrame(places, "_key long, _own long")
+    return keyed.join(F.broadcast(own), "_key", "left").withColumn("_place", F.coalesce("_own", by_key))
 
 
 def _blocks(documents: DataFrame) -> DataFrame:
-    """doc_id, block and compressed text, dealt by block; blocks have about BLOCK_BYTES, or less where shuffle partitions are more."""
+    """doc_id, block and compressed text, dealt by block; blocks have about BLOCK_BYTES, half as much again at the most, or less where shuffle partitions are more."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = max(n, -(-int(total) // BLOCK_BYTES))
+    count = n * max(1, round(int(total) / (BLOCK_BYTES * n)))  # as many in every partition
     # rows that share an id, or have none, are dealt by their text
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))
+    key = F.xxhash64("doc_id", "text")
+    placed = _with_places(documents.select("doc_id", "text", key.alias("_key")), count, int(total))
     # few blocks are spread evenly by name, many by chance
-    block = F.element_at(F.lit(_labels(documents.sparkSession, n)), place.cast("int") + 1) if count == n else place
+    block = F.element_at(F.lit(_labels(documents.sparkSession, n, count)), F.col("_place").cast("int") + 1) if count <= NAMED_BLOCKS else F.col("_place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -121,7 +144,7 @@ def _blocks(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(z, pa.binary())], ["doc_id", "block", "z"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    keyed = documents.select("doc_id", "text", block.cast("int").alias("block"))
+    keyed = placed.select("doc_id", "text", block.cast("int").alias("block"))
     return keyed.mapInArrow(run, f"doc_id {kind}, block int, z binary").repartition(n, "block")
 
 
