@@ -71,6 +71,12 @@ class Machine:
 PIECE = 200_000
 
 
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values begins, and its value."""
+    begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    return begins, sorted_[begins]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
@@ -98,34 +104,34 @@ def fit(doc: np.ndarray, term: np.ndarray, y: np.ndarray, *, terms: int = 4096,
     place[chosen] = np.arange(len(chosen))
     kept = place[index] >= 0
     at, of = place[index][kept], doc[kept]
-    # documents in pieces of bounded size, so that a round holds the factors of one piece at a time
+    # documents in pieces of bounded size, so that a round holds the factors of one piece at a time;
+    # each piece by document for the scores, and by term for the gradients
     first = np.searchsorted(of, np.arange(n + 1))
     pieces, low = [], 0
     while low < n:
-        high = max(low + 1, int(np.searchsorted(first, first[low] + PIECE, "right")) - 1)
-        pieces.append((low, min(high, n)))
-        low = min(high, n)
+        high = min(n, max(low + 1, int(np.searchsorted(first, first[low] + PIECE, "right")) - 1))
+        t, d = at[first[low] : first[high]].astype(np.int32), (of[first[low] : first[high]] - low).astype(np.int32)
+        order = np.argsort(t, kind="stable")
+        pieces.append((low, high, t, *_runs(d), d[order], *_runs(t[order])))
+        low = high
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), rank)), base
     moments = [[np.zeros_like(np.asarray(p, float)), np.zeros_like(np.asarray(p, float))] for p in (w, v, b)]
     for step in range(1, rounds + 1):
         gradient_w, gradient_v, gradient_b = linear_decay * w, factor_decay * v, 0.0
-        for low, high in pieces:
-            t, d = at[first[low] : first[high]], of[first[low] : first[high]] - low
-            logit = np.full(high - low, b)
+        own = 0.5 * (v**2).sum(1)
+        for low, high, t, begins, docs, by_term, starts, present in pieces:
+            logit, sums = np.full(high - low, b), np.zeros((high - low, rank))
             if len(t):
-                begins = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                lengths = np.diff(np.append(begins, len(d)))
-                rows = v[t]
-                sums = np.add.reduceat(rows, begins, axis=0)
-                logit[d[begins]] += np.add.reduceat(w[t], begins) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((rows**2).sum(1), begins))
+                sums[docs] = np.add.reduceat(v[t], begins, axis=0)
+                logit[docs] += np.add.reduceat((w - own)[t], begins) + 0.5 * (sums[docs] ** 2).sum(1)
             error = (sigmoid(logit) - y[low:high]) / n
             gradient_b += error.sum()
             if len(t):
-                each = np.repeat(error[d[begins]], lengths)
-                gradient_w = gradient_w + np.bincount(t, each, len(chosen))
-                pull = each[:, None] * (np.repeat(sums, lengths, axis=0) - rows)
-                gradient_v = gradient_v + np.stack([np.bincount(t, pull[:, k], len(chosen)) for k in range(rank)], 1)
+                # a term's factors are pulled by the sums of its documents without its own share
+                total = np.add.reduceat(error[by_term], starts)
+                gradient_w[present] += total
+                gradient_v[present] += np.add.reduceat((error[:, None] * sums)[by_term], starts, axis=0) - total[:, None] * v[present]
         gradients = (gradient_w, gradient_v, gradient_b)
         new = []
         for p, g, m in zip((w, v, b), gradients, moments, strict=True):
