@@ -136,6 +136,7 @@ def _blocks(documents: DataFrame) -> DataFrame:
     block = F.element_at(F.lit(_labels(documents.sparkSession, n, count)), F.col("_place").cast("int") + 1) if count <= NAMED_BLOCKS else F.col("_place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.trim()  # what earlier stages left to this worker
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data, offsets = tb.flat(batch.column("text"))

@@ -63,6 +63,7 @@ def passages(repeats: DataFrame, width: int) -> DataFrame:
                 for column, value in zip(out, (np.full(len(new), doc), doc0[new], low0[new], end - low[new]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in out], ["doc", "doc0", "low0", "size"])
+        tb.trim()
 
     grouped = repeats.groupBy("doc").agg(F.collect_list(F.struct("at", "doc0", "at0")).alias("rows"))
     return grouped.mapInArrow(run, "doc long, doc0 long, low0 long, size long")
@@ -82,6 +83,7 @@ def worded(wanted: DataFrame, texts: DataFrame) -> DataFrame:
                     out += [(doc[k], c["low0"], c["size"], b" ".join(words[c["low0"] : c["low0"] + c["size"]])) for c in cuts[k]]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], ["doc0", "low0", "size", "phrase"])
+        tb.trim()
 
     return texts.join(lists, "doc").select("doc", "z", "cuts").mapInArrow(run, "doc0 long, low0 long, size long, phrase binary")
 

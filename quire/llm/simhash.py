@@ -242,6 +242,7 @@ def linked(classes: DataFrame, distance: int = 4) -> DataFrame:
                 yield out(keys[:cut], values[:cut])
                 keys, values = keys[cut:], values[cut:]
         yield out(keys, values)
+        tb.trim()
 
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 

@@ -256,6 +256,7 @@ def settled(batches: Iterator[pa.RecordBatch], whole: list[str], last: bool) ->
         x = [np.concatenate(c) for c in zip(*parts, strict=True)]
         if len(x[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["doc", "at", "doc0", "at0", "open"])
+    tb.trim()
 
 
 def identified(documents: DataFrame) -> DataFrame:
