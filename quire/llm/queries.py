@@ -5,15 +5,18 @@ from __future__ import annotations
 from quire.llm.bpe import op6_bpe
 from quire.llm.chat import op10_chat
 from quire.llm.decontaminate import op3_decontaminate
+from quire.llm.divergence import op12_divergence
 from quire.llm.embedding import op8_embedding
+from quire.llm.imatch import op13_imatch
 from quire.llm.langid import op2_langid
 from quire.llm.phrases import op7_phrases
 from quire.llm.quality import op5_quality
 from quire.llm.simhash import op9_simhash
 from quire.llm.suffix import op1_suffix
 from quire.llm.toxicity import op4_toxicity
+from quire.llm.whitening import op11_whitening
 
-QUERIES = {f.__name__: f for f in (op1_suffix, op2_langid, op3_decontaminate, op4_toxicity, op5_quality, op6_bpe, op7_phrases, op8_embedding, op9_simhash, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_suffix, op2_langid, op3_decontaminate, op4_toxicity, op5_quality, op6_bpe, op7_phrases, op8_embedding, op9_simhash, op10_chat, op11_whitening, op12_divergence, op13_imatch)}
 ORACLE: dict[str, str] = {}
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -62,3 +65,14 @@ f AS (SELECT *, length(x) + len(regexp_extract_all(x, '\\|</?s>|\[/?(?:INST|ROLE
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id"""
+
+ORACLE["op12_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d), g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3), a AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT *, CAST(1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM a),
+l AS (SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (sum(n) + 1) // (sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM a GROUP BY lang, term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+v AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM v) SELECT * FROM o WHERE part = 'pair' OR rank <= 200"""
