@@ -25,7 +25,7 @@ long; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.llm.common import HOT_KEYS, HOT_ROWS, written
@@ -171,12 +171,13 @@ def with_next(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = firsts.select(F.size("firsts").alias("m"), F.posexplode("firsts").alias("r", "key"))  # a row a range
     edges = rows.join(F.broadcast(starts), "key").groupBy("key", "r", "m").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     edges = edges.select("doc_id", "text", "key", F.pmod(F.col("r") - 1, "m").alias("range"), F.lit(True).alias("last"))
-    beside = ranged.unionByName(edges).withColumn("next", F.lead("text").over(_ORDER))
+    beside = ranged.unionByName(edges).withColumn("next", F.lead("text").over(_order()))
     return beside, gathered.select("doc_id", "text", (F.col("n") - 1).alias("copies"))
 
 
-#: The row of the next range stands behind all others, although in the last range its key is the first of all.
-_ORDER = Window.partitionBy("range").orderBy("last", "key")
+def _order() -> WindowSpec:
+    # the row of the next range stands behind all others, although in the last range its key is the first of all
+    return Window.partitionBy("range").orderBy("last", "key")
 
 
 def _as_often(rows: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
@@ -207,7 +208,7 @@ def op13_imatch(spark, sf_dir: str) -> DataFrame:
 
     mine, theirs = F.get("marks", F.lit(0)), F.get("marks", F.lit(1))
     beside, repeated = with_next(documents)
-    told = marked(beside, "range", "key", "last").withColumn("following", F.lead(mine).over(_ORDER)).where("NOT last")
+    told = marked(beside, "range", "key", "last").withColumn("following", F.lead(mine).over(_order())).where("NOT last")
     again = _as_often(marked(repeated.withColumn("next", F.col("text")), "copies").withColumn("following", mine))
     rows = told.drop("range", "key", "last").unionByName(again)
     return rows.select(
