@@ -226,8 +226,8 @@ def _kept(words: list[bytes], mask: np.ndarray) -> bytes:
     return b" ".join([w for w, gone in zip(words, mask.tolist(), strict=True) if not gone] if mask.any() else words)
 
 
-def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents with repeated passages cut out, and n_removed.
+def cut(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(document, n_removed): the documents as structs, repeated passages cut out of their texts.
 
     A text that loses nothing stays as it is; of any other the words that stay are joined by one space.
     """
@@ -236,8 +236,13 @@ def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         return (_kept(words, mask) if mask.any() else text).decode("utf-8", "replace"), int(mask.sum())
 
     found = _applied(located(documents, width, carry=True), make, "kept string, n_removed long", [pa.string(), pa.int64()])
-    others = [F.col(f"rest.`{c}`") for c in documents.columns if c not in ("doc_id", "text")]
-    return found.select("doc_id", F.col("kept").alias("text"), *others, "n_removed")
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    return found.select(F.struct(*(own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in documents.columns)).alias("document"), "n_removed")
+
+
+def deduplicated(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents of `cut`, and n_removed; for tables without a column of that name."""
+    return cut(documents, width).select("document.*", "n_removed")
 
 
 def op7_phrases(spark, sf_dir: str) -> DataFrame:

@@ -276,7 +276,8 @@ def deduplicated(documents: DataFrame, distance: int = 4, width: int = 4) -> Dat
     found = _named(prints.where("doc_id IS NOT NULL"), distance)
     gone = written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_id"), "_h").distinct(), "copies")
     # rows of one id and equal hash have equal texts but for a collision of 64 bits under one id
-    return documents.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    same = (F.col("d.doc_id") == F.col("g._id")) & (F.xxhash64("d.text") == F.col("g._h"))
+    return documents.alias("d").join(gone.alias("g"), same, "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

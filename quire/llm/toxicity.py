@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,10 +215,12 @@ def accepted(documents: DataFrame, machine: Machine, threshold: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, batch.column("text")) < threshold))
+            yield batch.filter(pa.array(_scores(shared.value, pc.struct_field(batch.column("document"), "text")) < threshold))
         tb.trim()
 
-    return documents.mapInArrow(run, documents.schema)
+    whole = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"))  # names may hold dots
+    kept = whole.mapInArrow(run, whole.schema)
+    return kept.select(*(F.col(f"document.`{c}`").alias(c) for c in documents.columns))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

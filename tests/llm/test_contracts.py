@@ -13,7 +13,7 @@ import corpus_pipeline
 from quire.llm import queries, toxicity
 from tests.llm.test_operators import WORDS, repeats, texts
 
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, rest int, doc int, z int, kept int, score double"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, rest int, doc int, z int, kept int, score double, _id int, _h int, n_removed int, `a.b` int"
 TABLES = {
     "documents": DOCUMENTS, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string",
     "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string",
@@ -42,7 +42,7 @@ def stored(spark, root, **tables):
 
 @pytest.fixture(scope="module")
 def sf(spark, tmp_path_factory):
-    rows = [(i, t, "en", "hot", None if t is None else len(t), 1, 2, 3, 4, 0.5) for i, t in documents()]
+    rows = [(i, t, "en", "hot", None if t is None else len(t), 1, 2, 3, 4, 0.5, 5, 6, 7, 8) for i, t in documents()]
     labels = [(i, int(i % 3 > 0), int(i >= 300)) for i, _ in documents() if i is not None] + [(None, 1, 1), (7, None, None)]
     return stored(spark, tmp_path_factory.mktemp("tables"), documents=rows, labels=labels, benchmark=BENCHMARK)
 
@@ -109,7 +109,7 @@ def test_pipeline_is_its_brute_force(spark, sf):
     assert len(want[-1]) < len(cut)
     for (name, stage), rows in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
         docs = corpus_pipeline.written(stage(spark, docs, sf), name)
-        assert [f.name for f in docs.schema] == [x.split()[0] for x in DOCUMENTS.split(", ")], name
+        assert [f.name for f in docs.schema] == [x.split()[0].strip("`") for x in DOCUMENTS.split(", ")], name
         got = [(r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect()]
         plain = lambda rs: sorted(((i, t or "", c or 0) for i, t, c in rs), key=key)
         assert plain(got) == plain(rows), name
@@ -183,7 +183,7 @@ def test_pipeline_takes_unlike_rows_of_one_id_one_by_one(spark, tmp_path):
     rng = np.random.default_rng(24)
     one, two, three, four = (" ".join(rng.choice(WORDS, 70)) for _ in range(4))
     rows = [(1, one), (2, one), (2, two), (2, three + " leaked " + BENCHMARK[0][1]), (3, two), (3, four), (3, four), (4, four[40:] + " and " + one[:150]), (None, two), (None, three), (5, None), (5, "end")]
-    sf = stored(spark, tmp_path, documents=[(i, t, "en", "s", None if t is None else len(t), 1, 2, 3, 4, 0.5) for i, t in rows], benchmark=BENCHMARK)
+    sf = stored(spark, tmp_path, documents=[(i, t, "en", "s", None if t is None else len(t), 1, 2, 3, 4, 0.5, 5, 6, 7, 8) for i, t in rows], benchmark=BENCHMARK)
     named = [(i, t) for i, t in rows if i is not None]
     prints = [fingerprint(t) for _, t in named]
     label = components(dict(enumerate(prints)))
