@@ -51,9 +51,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     one id come in the order of a hash; equal rows count as one document and are cut alike.  A cut
     text is its other words joined by one space, with n_chars counted anew.
     """
-    found = phrases.deduplicated(docs).where("n_removed = 0 OR text <> ''")
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length).select(*docs.columns)
+    found = phrases.cut(docs).where("n_removed = 0 OR document.text <> ''")
+    length = F.when(F.col("n_removed") > 0, F.length("document.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("document.n_chars"))
+    return found.select(*((length if c == "n_chars" else F.col(f"document.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
