@@ -4,6 +4,11 @@ The service is any object with complete(prompt: str) -> str, made once a task by
 Every piece of work gets a completed or a failed entry; a failure never stops the others, and a
 later run works on what is still pending.  Entries are appended to a ledger, never rewritten.
 
+Chunks of books are known by their content (`addressed`): the key of an entry is the digest of
+all that is asked, so that a run with other sizes, another instruction or an edited text finds
+the entries of what is unchanged and asks for the rest, whatever the places of chunks, and equal
+chunks are asked for once.  Digests of chapters and books (`structure`) tell what has changed.
+
 Translation, titles, glossaries and rewriting differ in their prompts and in how a reply is
 read; the calls themselves are `asked`.
 """
@@ -12,15 +17,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.functions.replies import json_value, translated
 from quire.functions.text import is_decorative, one_pass, strip
 from quire.operators.archive import latest, pending
+from quire.sources.archives import ARCHIVE
 
 LEDGER = "chunk_id string, reply string, error string, attempts int, seq long"
 #: Entries that a task hands on together.
@@ -48,10 +55,44 @@ def numbered(paragraphs: Column) -> Column:
     return F.array_join(F.transform(paragraphs, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n")
 
 
+def _prompt(chunks: DataFrame, instruction: str) -> Column:
+    head = [F.concat(F.lit("Chapter: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Paragraphs: "), F.size("paragraphs").cast("string"))] if "title" in chunks.columns else []
+    return F.concat_ws("\n", F.lit(instruction), *head, numbered(F.col("paragraphs")))
+
+
 def prompts(chunks: DataFrame, instruction: str) -> DataFrame:
     """chunk_id and a prompt with numbered paragraphs; with the title and the number of paragraphs where chunks have a title."""
-    head = [F.concat(F.lit("Chapter: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Paragraphs: "), F.size("paragraphs").cast("string"))] if "title" in chunks.columns else []
-    return chunks.select("chunk_id", F.concat_ws("\n", F.lit(instruction), *head, numbered(F.col("paragraphs"))).alias("prompt"))
+    return chunks.select("chunk_id", _prompt(chunks, instruction).alias("prompt"))
+
+
+def addressed(chunks: DataFrame, instruction: str) -> DataFrame:
+    """Chunks with the digest of what is asked for them as chunk_id; `place` is the id that they had."""
+    return chunks.withColumn("place", F.col("chunk_id")).withColumn("chunk_id", F.sha2(_prompt(chunks, instruction), 256))
+
+
+def structure(addressed_: DataFrame, book: str) -> DataFrame:
+    """(book, chapter_index, chunks, digest): digests of chapters from those of their chunks, and of whole books, with a null chapter_index, from those of their chapters."""
+
+    def rows(parts: DataFrame, keys: list[str], order: str, part: str) -> DataFrame:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(part).alias("d")))), lambda x: x["d"])
+        return parts.groupBy(*keys).agg(F.sum("chunks").alias("chunks"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+
+    chapters = rows(addressed_.withColumn("chunks", F.lit(1).cast("long")), [book, "chapter_index"], "chunk_index", "chunk_id")
+    whole = rows(chapters, [book], "chapter_index", "digest").withColumn("chapter_index", F.lit(None).cast(chapters.schema["chapter_index"].dataType))
+    return chapters.unionByName(whole)
+
+
+def changed(now: DataFrame, before: DataFrame, book: str) -> DataFrame:
+    """(book, chapter_index, change) of two structures: new, gone or changed chapters and books; chapters of books with equal digests are not compared."""
+    keys = [book, "digest"]
+    whole = lambda s: s.where("chapter_index IS NULL").select(*keys)
+    same = whole(now).join(whole(before), keys).select(book)
+    left = lambda s, name: s.join(same, book, "left_anti").select(book, "chapter_index", F.col("digest").alias(name))
+    a, b = left(now, "_now").alias("a"), left(before, "_before").alias("b")
+    both = a.join(b, (F.col(f"a.{book}") == F.col(f"b.{book}")) & F.col("a.chapter_index").eqNullSafe(F.col("b.chapter_index")), "full")
+    change = F.when(F.col("_before").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("_before"), "changed")
+    found = both.select(F.coalesce(f"a.{book}", f"b.{book}").alias(book), F.coalesce("a.chapter_index", "b.chapter_index").alias("chapter_index"), change.alias("change"))
+    return found.where("change IS NOT NULL")
 
 
 def asked(work: DataFrame, key: str, factory: Callable[[], Completer], seq: int = 0, retries: int = 4, delay: float = 3.0, tasks: int | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
@@ -112,7 +153,7 @@ def rounds(spark: SparkSession, chunks: DataFrame, folder: str, instruction: str
 
     Each round appends a file set, so that a run that is broken off loses its own round alone.
     """
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(folder)
+    ledger = _stored(spark, folder, LEDGER)
     for _ in range(most):
         ledger = spark.read.schema(LEDGER).parquet(folder)
         done = latest(ledger, "chunk_id").where(F.col("error").isNull())
@@ -176,10 +217,94 @@ def assembled_chapters(chapters: DataFrame, done: DataFrame, book: str) -> DataF
     return both.withColumn("paragraphs", F.when(F.coalesce(F.size("_p"), F.lit(0)) > 0, F.col("_p")).otherwise(F.col("paragraphs"))).select(*chapters.columns)
 
 
-def translated_books(spark: SparkSession, chapters: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], book: str = "book_id", pairs: list[tuple[str, str]] | None = None, chunk_chars: int = 1800, paragraph_chars: int = 2600, **options) -> DataFrame:
-    """Chapters put through the service chunk by chunk, with the ledger in `folder`; what fails three rounds stays in the source language."""
+class Structural(ValueError):
+    """A run over other chapters or chunks than the run before it, where that is not wanted."""
+
+
+def _stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+class Run(NamedTuple):
+    """A finished run: chapters in the target language, the chunks with `place` and final paragraphs, their ledger, and what has changed since the run before."""
+
+    chapters: DataFrame
+    chunks: DataFrame
+    ledger: DataFrame
+    changes: DataFrame
+
+
+def run(
+    spark: SparkSession, chapters: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], book: str = "book_id",
+    pairs: list[tuple[str, str]] | None = None, chunk_chars: int = 1800, paragraph_chars: int = 2600, refuse: bool = False, title_instruction: str | None = None, **options,
+) -> Run:
+    """Chapters put through the service chunk by chunk, with ledgers and structures in `folder`; what fails three rounds stays in the source language.
+
+    A later run over the same folder, with whatever sizes, reuses the entries of unchanged chunks
+    and asks for all others.  With `refuse` it raises Structural instead, before any call, where
+    books that were there before have other chapters or chunks; new books are no change.  With
+    `title_instruction` titles are asked for too, a book at a time, and chapters get title_zh.
+    """
     from quire.operators.segment import chunks
 
-    cut = chunks(chapters, chunk_chars, paragraph_chars, book).withColumn("_chunk", F.col("chunk_id")).withColumn("chunk_id", F.concat_ws(":", F.col(book).cast("string"), "chunk_id"))
-    ledger = rounds(spark, cut, folder, instruction, factory, **options)
-    return assembled_chapters(chapters, results(cut, ledger, pairs), book)
+    cut = addressed(chunks(chapters, chunk_chars, paragraph_chars, book), instruction)
+    kind = chapters.schema[book].dataType.simpleString()
+    index = cut.schema["chapter_index"].dataType.simpleString()
+    stored = _stored(spark, f"{folder}/structure", f"{book} {kind}, chapter_index {index}, chunks long, digest string, run long")
+    at = (stored.agg(F.max("run")).first()[0] or 0) + 1
+    before = stored.where(F.col("run") == at - 1)  # the files that were there when `stored` was read
+    now = structure(cut, book)
+    changes = changed(now, before, book)
+    if refuse:
+        known = changes.join(before.where("chapter_index IS NULL").select(book), book).where("chapter_index IS NULL")
+        others = [r[0] for r in known.select(book).limit(5).collect()]
+        if others:
+            raise Structural(f"other chapters or chunks than in the run before, in books {others}")
+    now.withColumn("run", F.lit(at).cast("long")).write.mode("append").parquet(f"{folder}/structure")
+
+    ledger = rounds(spark, cut.dropDuplicates(["chunk_id"]), f"{folder}/ledger", instruction, factory, **options)
+    done = results(cut, ledger, pairs)
+    finished = assembled_chapters(chapters, done, book)
+    if title_instruction is not None:
+        work = title_prompts(chapters, book, title_instruction)
+        keyed = work.withColumn("chunk_id", F.sha2("prompt", 256))
+        said = titled(spark, keyed, f"{folder}/titles", factory, **options)
+        answers = keyed.select(book, "chunk_id").join(said, "chunk_id").drop("chunk_id")
+        finished = title_results(finished, answers, book)
+    return Run(finished, done, ledger, changes)
+
+
+def titled(spark: SparkSession, keyed: DataFrame, folder: str, factory: Callable[[], Completer], **options) -> DataFrame:
+    """The ledger in `folder` with an entry for every (chunk_id, prompt) that it did not have yet."""
+    ledger = _stored(spark, folder, LEDGER)
+    done = latest(ledger, "chunk_id").where(F.col("error").isNull())
+    seq = (ledger.agg(F.max("seq")).first()[0] or 0) + 1
+    own = {k: v for k, v in options.items() if k != "most"}
+    completed(pending(keyed.dropDuplicates(["chunk_id"]), done, "chunk_id"), factory, seq=seq, **own).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def translated_books(spark: SparkSession, chapters: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], **options) -> DataFrame:
+    """The chapters of `run`."""
+    return run(spark, chapters, folder, instruction, factory, **options).chapters
+
+
+def archived(run_: Run, sources: DataFrame, book: str = "book_id", chunk_chars: int = 1800, paragraph_chars: int = 2600) -> DataFrame:
+    """An archive a book (book, source) in the form that `archives.to_json` writes, with completed and failed chunks by their places and titles where the run has some.
+
+    An archive is one row a book, since it is one file.
+    """
+    last = latest(run_.ledger, "chunk_id").select("chunk_id", "error", F.col("reply").isNotNull().alias("_ok"))
+    each = run_.chunks.join(last, "chunk_id", "left")
+    entry = F.struct("error", F.col("chapter_index").cast("int").alias("chapter_index"), F.col("title").alias("chapter_title"), F.col("chunk_index").cast("int").alias("chunk_index"), "paragraphs")
+    pick = lambda when, value: F.map_from_entries(F.array_compact(F.collect_list(F.when(when, F.struct("place", value.alias("v"))))))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", "chunk_index", "place"))), lambda x: x["place"])
+    rows = each.groupBy(book).agg(F.count("*").cast("int").alias("total_chunks"), F.sha2(F.array_join(order, "\n"), 256).alias("chunk_signature"), pick(F.col("_ok"), F.col("final")).alias("completed"), pick(F.col("error").isNotNull(), entry).alias("failed"))
+    if "title_zh" in run_.chapters.columns:
+        named = run_.chapters.where("title_zh IS NOT NULL").groupBy(book).agg(F.map_from_entries(F.collect_list(F.struct(F.col("chapter_index").cast("string"), F.struct(F.col("title").alias("ko"), F.col("title_zh").alias("zh"))))).alias("titles"))
+        rows = rows.join(named, book, "left")
+    both = sources.select(F.col(book).cast("string").alias("archive"), "source", F.col(book).alias("_book")).join(rows, F.col("_book") == F.col(book), "left")
+    columns = {"chunk_chars": F.lit(chunk_chars), "max_paragraph_chars": F.lit(paragraph_chars)}
+    fields = StructType.fromDDL(ARCHIVE).fields
+    return both.select(*((columns.get(f.name) if f.name in columns else F.col(f.name) if f.name in both.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))

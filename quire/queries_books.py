@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import replies
 from quire.functions import text as t
 from quire.operators import archive, books, corrections, glossary, narrator, package, sample, segment, terms
+from quire.plans import complete
 from quire.queries import _LINES, _TRIM, LATIN, ORACLE, _as_chapters, _paragraphs, documents, query
+from quire.sources.files import shared_folder
 
 #: Strips white space of every script (RE2 has no such class of its own).
 _WIDE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -279,3 +283,35 @@ w AS (SELECT doc_id, ci, n, len, len + 1 AS held, 0 AS chunk FROM pc WHERE n = 1
 ck AS (SELECT doc_id, CAST(ci AS INT) AS chapter_index, CAST(chunk AS INT) AS chunk_index, count(*) AS pieces, CAST(sum(len) AS BIGINT) AS chars, printf('ch-%05d-%05d', ci, chunk) AS chunk_id FROM w GROUP BY doc_id, ci, chunk)"""
 ORACLE["chunks"] = f"WITH RECURSIVE {_LINES}, {_SPLIT} SELECT doc_id, chunk_id, chapter_index, chunk_index, pieces, chars FROM ck"
 ORACLE["chunk_signatures"] = f"WITH RECURSIVE {_LINES}, {_SPLIT} SELECT doc_id, sha256(string_agg(chunk_id, chr(10) ORDER BY chapter_index, chunk_index)) AS signature, count(*) AS total_chunks FROM ck GROUP BY doc_id"
+
+
+class _Capitals:
+    """Stands in for a completion service: the paragraphs of a prompt in capitals."""
+
+    def complete(self, prompt: str) -> str:
+        said = [line.split("] ", 1)[1] for line in prompt.split("\n") if line.startswith("[") and "] " in line]
+        return json.dumps({"paragraphs": [p.upper() if p.isascii() else p for p in said]})
+
+
+@query(f"""WITH {_LINES}, d AS (SELECT doc_id, list(text ORDER BY ord) AS p FROM paras GROUP BY doc_id), k AS (SELECT *, lang || chr(10) || array_to_string(p, chr(10)) AS k, list_sum(list_transform(p, lambda x: length(x) + 1)) AS size FROM d JOIN documents USING (doc_id))
+SELECT doc_id, sha256(regexp_replace(array_to_string(p, ''), '\\s+', '', 'g')) AS source_sha, size <= 400 AND k IN (SELECT k FROM k WHERE doc_id % 2 = 0) AS reused FROM k""")
+def resumed_books(spark, sf):
+    """Documents with even ids in chunks of 400 characters, then all of them in chunks of 900 over the same ledger: nothing is lost, and chunks that are the same are not asked for again."""
+    rows = _paragraphs(spark, sf).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("paragraphs"))
+    books_ = rows.join(documents(spark, sf).select("doc_id", F.col("lang").alias("title")), "doc_id").select("doc_id", F.lit(0).alias("chapter_index"), "title", "paragraphs")
+    folder = shared_folder(spark, "resumed")
+    options = {"book": "doc_id", "delay": 0.0, "retries": 1}
+    first = complete.run(spark, books_.where("doc_id % 2 = 0"), folder, "Translate.", _Capitals, chunk_chars=400, **options)
+    known = first.ledger.select("chunk_id").distinct().withColumn("known", F.lit(True))
+    second = complete.run(spark, books_, folder, "Translate.", _Capitals, chunk_chars=900, **options)
+    reused = second.chunks.join(known, "chunk_id", "left").groupBy("doc_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("reused"), F.bool_and(_said_in_capitals()).alias("done"))
+    bare = lambda c: F.regexp_replace(F.array_join(c, ""), "\\s+", "")
+    both = second.chapters.withColumnRenamed("paragraphs", "final").join(books_.select("doc_id", "paragraphs"), "doc_id").join(reused, "doc_id")
+    kept = F.col("done") & (F.upper(bare("final")) == F.upper(bare("paragraphs")))
+    return both.select("doc_id", F.when(kept, F.sha2(bare("paragraphs"), 256)).alias("source_sha"), "reused")
+
+
+def _said_in_capitals():
+    """Whether every final paragraph of a chunk is what the service says for the source."""
+    said = F.transform("paragraphs", lambda p: F.when(F.octet_length(p) == F.length(p), F.upper(p)).otherwise(p))
+    return F.col("final") == said

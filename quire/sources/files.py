@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import io
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -28,6 +30,17 @@ def decode(data: bytes) -> str:
     return epub.decode(data)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that the driver and all executors share; a temporary one only for local masters that name none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quire-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
