@@ -293,22 +293,6 @@ def valid_pattern(pattern: str) -> bool:
     return True
 
 
-def one_pass(c: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Replace every source by its target in one pass, longest source first; what is put in is not looked at again.
-
-    Of pairs with one source the first counts.
-    """
-    table: dict[str, str] = {}
-    for source, target in pairs:
-        if source:
-            table.setdefault(source, target)
-    if not table:
-        return c
-    pattern = "|".join(quoted(s) for s in sorted(table, key=lambda s: (-len(s), s)))
-    target = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    return F.array_join(F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), lambda a, b: F.concat(a, F.coalesce(F.element_at(target, b), F.lit("")))), "")
-
-
 def quoted(text: str) -> str:
     """A literal for Java's regular expressions."""
     return re.sub(r"([\\.\[\]{}()*+?^$|/#&~\-])", r"\\\1", text)

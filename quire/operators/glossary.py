@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.replace import GLOSSARY_CHARS
 from quire.functions.text import strip
 
 SCHEMA = "ord int, ko string, zh string, kind string, note string, confirmed boolean, alternatives array<string>, replace_short boolean, zh_history array<string>"
@@ -115,7 +116,10 @@ def merged_pairs(dedicated: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def collected(pairs_: DataFrame) -> list[tuple[str, str]]:
-    """Pairs on the driver, longest source first, for `one_pass`: a glossary is a list that people keep."""
+    """Pairs on the driver, longest source first, for `one_pass`: a glossary is a list that people keep, and a larger one is refused."""
+    size = pairs_.agg(F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0))).first()[0]
+    if size > GLOSSARY_CHARS:
+        raise ValueError(f"a glossary of {size} characters is more than the {GLOSSARY_CHARS} that go with a task")
     rows = pairs_.orderBy(F.desc(F.length("src")), "src", "dst").collect()
     return [(r["src"], r["dst"]) for r in rows]
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.html import read, skipped, spliced_blocks
 from quire.functions.replies import json_value
-from quire.functions.text import edge_whitespace_kept, one_pass, strip
+from quire.functions.replace import one_pass_each
+from quire.functions.text import edge_whitespace_kept, strip
 from quire.operators.archive import latest
 from quire.operators.glossary import valid
 from quire.operators.segment import pack_starts
@@ -244,7 +245,7 @@ def events(replies: DataFrame, numbered: DataFrame, blocks_: DataFrame, file: st
 
     rows = both.withColumn("seq", F.col("seq").cast("long")).mapInArrow(run, f"{file} {kind}, block long, seq long, status string, segments array<string>, error string")
     rows = rows.withColumn("block", F.col("block").cast(number))
-    return rows.withColumn("segments", F.transform("segments", lambda s: one_pass(s, pairs))) if pairs else rows
+    return rows.withColumn("segments", one_pass_each(F.col("segments"), pairs)) if pairs else rows
 
 
 def rendered(pages: DataFrame, state_: DataFrame, file: str) -> DataFrame:

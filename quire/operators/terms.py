@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.replace import GLOSSARY_CHARS
 from quire.functions.replies import json_value
 from quire.functions.text import quoted, strip
 from quire.operators.glossary import LEAST_ALTERNATIVE, clean_alternatives, given, merged_alternatives, valid
@@ -159,6 +162,41 @@ def without_name(text: Column, name: Column) -> Column:
     return F.regexp_replace(text, pattern, F.lit(""))
 
 
+def said_outside(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct (person, ko) of `names` for which some row of texts (text) holds ko, and still does without the person's full name and the particle that may follow it.
+
+    One automaton finds full and short names in one reading of a text; a full name is taken out
+    only in a text that holds both.  The names come from replies: their size is checked.
+    """
+    size = names.agg(F.coalesce(F.sum(F.length("person") + F.length("ko")), F.lit(0))).first()[0]
+    if size > GLOSSARY_CHARS:
+        raise ValueError(f"names of {size} characters are more than the {GLOSSARY_CHARS} that go with a task")
+    persons: dict[str, list[str]] = {}
+    for r in names.select("person", "ko").distinct().collect():
+        persons.setdefault(r["ko"], []).append(r["person"])
+    particle = f"(?:{'|'.join(map(re.escape, PARTICLES))})?"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for name in {*persons, *(p for listed in persons.values() for p in listed)} - {""}:
+            automaton.add_word(name, name)
+        if len(automaton):
+            automaton.make_automaton()
+        seen: set[tuple[str, str]] = set()
+        for batch in batches:
+            new = []
+            for text in batch.column(0).to_pylist() if len(automaton) else []:
+                held = {name for _, name in automaton.iter(text or "")}
+                for ko in held & persons.keys():
+                    for person in persons[ko]:
+                        if (person, ko) not in seen and (person not in held or ko in re.sub(re.escape(person) + particle, "", text)):
+                            seen.add((person, ko))
+                            new.append((person, ko))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.string()) for i in (0, 1)], ["person", "ko"])
+
+    return texts.select("text").mapInArrow(run, "person string, ko string").distinct()
+
+
 def nicknames(entries: DataFrame, said: DataFrame, texts: DataFrame) -> DataFrame:
     """Verdicts (ord, person, ko, zh, verdict) on nicknames (ord, person, ko, zh) of persons: added, skipped or not_found.
 
@@ -172,7 +210,7 @@ def nicknames(entries: DataFrame, said: DataFrame, texts: DataFrame) -> DataFram
     rows = rows.join(known, "ko", "left")
     bad = (F.col("ko") == "") | (F.col("zh") == "") | (F.length("ko") < LEAST_ALTERNATIVE) | (F.col("ko") == F.col("person")) | (F.col("zh") == F.col("person_zh")) | F.col("_known").isNotNull()
     open_ = rows.where(~F.coalesce(bad, F.lit(False))).select("person", "ko").distinct()
-    hit = texts.join(F.broadcast(open_), F.col("text").contains(F.col("ko"))).where(without_name(F.col("text"), F.col("person")).contains(F.col("ko"))).select("person", F.col("ko")).distinct().withColumn("_hit", F.lit(True))
+    hit = said_outside(open_, texts).withColumn("_hit", F.lit(True))
     judged = rows.join(hit, ["person", "ko"], "left").withColumn("_bad", F.coalesce(bad, F.lit(False)))
     found = ~F.col("_bad") & F.col("_hit").isNotNull()
     first = F.min(F.when(found, F.col("ord"))).over(Window.partitionBy("ko"))

@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quire.functions.replace import one_pass_each
 from quire.functions.replies import json_value, translated
-from quire.functions.text import is_decorative, one_pass, strip
+from quire.functions.text import is_decorative, strip
 from quire.operators.archive import latest, pending
 from quire.sources.archives import ARCHIVE
 
@@ -176,7 +177,7 @@ def results(chunks: DataFrame, ledger: DataFrame, pairs: list[tuple[str, str]] |
     done = latest(ledger, "chunk_id").where(F.col("error").isNull()).select("chunk_id", "reply")
     both = chunks.join(done, "chunk_id", "left")
     fitted = translated(F.col("reply"), F.size("paragraphs"))
-    fitted = F.transform(fitted, lambda p: one_pass(p, pairs)) if pairs else fitted
+    fitted = one_pass_each(fitted, pairs) if pairs else fitted
     return both.withColumn("final", F.when(F.col("reply").isNotNull(), fitted).otherwise(F.col("paragraphs"))).drop("reply")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.html import spliced
-from quire.functions.text import Cleaning, one_pass, without_markers
+from quire.functions.replace import Replacer, one_pass_each
+from quire.functions.text import Cleaning, without_markers
 from quire.operators.books import shared_resources
 from quire.operators.package import CSS, image_markers, rewritten
 from quire.sources import epub
@@ -76,7 +77,7 @@ def with_new_images(volumes: DataFrame, names: DataFrame) -> DataFrame:
 
 def corrected(chapters: DataFrame, pairs: list[tuple[str, str]], cleaning: Cleaning | None = None) -> DataFrame:
     """Chapters with terms replaced in one pass, and cleaned on demand; cleaning leaves places of paragraphs, blank ones too, so that styles still fit."""
-    fixed = F.transform("paragraphs", lambda p: one_pass(p, pairs)) if pairs else F.col("paragraphs")
+    fixed = one_pass_each(F.col("paragraphs"), pairs) if pairs else F.col("paragraphs")
     return chapters.withColumn("paragraphs", F.transform(fixed, cleaning) if cleaning else fixed)
 
 
@@ -96,18 +97,9 @@ def exported(volumes: DataFrame, resources: DataFrame, pairs: list[tuple[str, st
     return texts(chapters, title), epub.to_packages(chapters, shared.withColumn("book_id", F.lit(title)), titled)
 
 
-def _replacer(pairs: list[tuple[str, str]]):
-    table: dict[str, str] = {}
-    for source, target in pairs:
-        if source:
-            table.setdefault(source, target)
-    pattern = re.compile("|".join(map(re.escape, sorted(table, key=lambda s: (-len(s), s)))) or r"(?!)")
-    return lambda t: pattern.sub(lambda m: table[m[0]], t)
-
-
 def fixed_packages(files: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(path, content, changed): packages (path, content) with terms replaced in the texts of their pages; `changed` counts pages, other bytes stay."""
-    change = _replacer(pairs)
+    change = Replacer(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +115,7 @@ def fixed_packages(files: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def package_hits(files: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(path, name, src, dst, hits): what `fixed_packages` would replace in each page; nothing is written."""
-    table = {s: t for s, t in reversed(pairs) if s}
-    pattern = re.compile("|".join(map(re.escape, sorted(table, key=lambda s: (-len(s), s)))) or r"(?!)")
+    replacer = Replacer(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +124,12 @@ def package_hits(files: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
                 seen: dict[str, int] = {}
 
                 def count(text: str, seen: dict[str, int] = seen) -> str:
-                    for m in pattern.finditer(text):
-                        seen[m[0]] = seen.get(m[0], 0) + 1
+                    for source, n in replacer.counted(text)[1].items():
+                        seen[source] = seen.get(source, 0) + n
                     return text
 
                 spliced(epub.declared(page)[0], count)
-                rows += [{"path": path, "name": name, "src": s, "dst": table[s], "hits": n} for s, n in seen.items()]
+                rows += [{"path": path, "name": name, "src": s, "dst": replacer.table[s], "hits": n} for s, n in seen.items()]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("name", pa.string()), ("src", pa.string()), ("dst", pa.string()), ("hits", pa.int64())]))
 
     return epub.page_entries(files).mapInArrow(run, "path string, name string, src string, dst string, hits long")

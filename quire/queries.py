@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as t
+from quire.functions.replace import one_pass, replacements
 from quire.operators import archive, books, glossary, narrator, sample, segment
 
 #: Headings in the stand-in corpus: a line of one or two words with a full stop.
@@ -201,10 +202,26 @@ SELECT doc_id, length(out) AS new_chars, sha256(out) AS sha FROM (SELECT doc_id,
  FROM (SELECT doc_id, regexp_split_to_array(text, re) AS s, regexp_extract_all(text, re) AS h, mp FROM documents, r))""")
 def replacement_apply(spark, sf):
     pairs = glossary.collected(glossary.merged_pairs(_entries(spark, _TERMS), _entries(spark, _COMMON)))
-    out = documents(spark, sf).select("doc_id", t.one_pass(F.col("text"), pairs).alias("out"))
+    out = documents(spark, sf).select("doc_id", one_pass(F.col("text"), pairs).alias("out"))
     return out.select("doc_id", F.length("out").cast("long").alias("new_chars"), F.sha2("out", 256).alias("sha"))
 
 
+_SOME = "list_distinct(regexp_extract_all(text, '[a-z]+'))"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest({_SOME}) AS src FROM documents), g AS (SELECT src FROM w WHERE length(src) BETWEEN 2 AND 5 AND (src LIKE 's%' OR src LIKE 'an%')),
+r AS (SELECT string_agg(src, '|' ORDER BY length(src) DESC, src) AS re FROM g), h AS (SELECT doc_id, regexp_split_to_array(text, re) AS s, regexp_extract_all(text, re) AS h FROM documents, r)
+SELECT doc_id, CAST(len(h) AS BIGINT) AS replaced, CAST(len(list_distinct(h)) AS BIGINT) AS sources, sha256(list_reduce(list_transform(range(len(s)), lambda i: s[i + 1] || coalesce('<' || upper(h[i + 1]) || '>', '')), lambda a, b: a || b)) AS sha FROM h""")
+def glossary_replacements(spark, sf):
+    """Short words of the documents as a glossary of some thousand terms, nested in each other and in longer words: replaced in one pass, and counted as replaced."""
+    d = documents(spark, sf)
+    words = d.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("src")).where("length(src) BETWEEN 2 AND 5 AND (src LIKE 's%' OR src LIKE 'an%')").distinct()
+    pairs = glossary.collected(words.select("src", F.concat(F.lit("<"), F.upper("src"), F.lit(">")).alias("dst")))
+    counts = replacements(d, "doc_id", pairs).groupBy("doc_id").agg(F.sum("replaced").alias("replaced"), F.count("*").alias("sources"))
+    both = d.select("doc_id", F.sha2(one_pass(F.col("text"), pairs), 256).alias("sha")).join(counts, "doc_id", "left")
+    return both.select("doc_id", F.coalesce("replaced", F.lit(0)).alias("replaced"), F.coalesce("sources", F.lit(0)).alias("sources"), "sha")
+
+
 @query(f"""WITH {_MERGED}, {_LINES} SELECT src, origin, count(*) AS paragraphs, CAST(sum((length(text) - length(replace(text, src, ''))) // length(src)) AS BIGINT) AS occurrences
 FROM paras JOIN m ON contains(text, src) GROUP BY src, origin""")
 def replacement_preview(spark, sf):
