@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources import epub
+from quire.sources import epub, packages
 
 KINDS = {".txt": "txt", ".epub": "epub"}
 
@@ -129,3 +131,41 @@ def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 __all__ = ["decode", "entries", "epub_bytes", "epub_chapters", "epubs", "load", "texts", "written_epubs", "written_texts"]
+
+
+def books(spark: SparkSession, path: str, heading_patterns: tuple[str, ...] | None = None, drop_zero: bool = False) -> DataFrame:
+    """Chapters (book_id, chapter_index, title, heading_level, parent_index, paragraphs) of all books under a path, text files and packages by their suffixes.
+
+    A single file of another kind is refused; in folders other files are left out.  With
+    `drop_zero` chapters without text go and the others are numbered anew.
+    """
+    from quire.operators.segment import HEADINGS, chapters, without_empty
+
+    ending = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ending and ending not in KINDS and not path.endswith("/") and "*" not in path:
+        raise ValueError(f"unknown kind of book: {path}")
+    names = ("book_id", "chapter_index", "title", "heading_level", "parent_index", "paragraphs")
+    parts = []
+    if KINDS.get(ending, "txt") == "txt":
+        cut = chapters(texts(spark, path), heading_patterns or HEADINGS)
+        parts.append(cut.withColumns({"heading_level": F.lit(1), "parent_index": F.lit(None).cast("int")}).select(*names))
+    if KINDS.get(ending, "epub") == "epub":
+        parts.append(epub.load(spark, path).select(*names))
+    found = reduce(DataFrame.unionByName, parts)
+    return without_empty(found) if drop_zero else found
+
+
+def save_texts(chapters: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Books as text files `book_id.txt` under a folder."""
+    packages.publish(written_texts(chapters).select(F.concat(F.col("book_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), folder, overwrite)
+
+
+def save_packages(chapters: DataFrame, folder: str, resources: DataFrame | None = None, titles: DataFrame | None = None, overwrite: bool = False) -> None:
+    """Books as packages `book_id.epub` under a folder."""
+    made = epub.to_packages(chapters, resources, titles)
+    packages.publish(made.select(F.concat(F.col("book_id").cast("string"), F.lit(".epub")).alias("name"), "content"), folder, overwrite)
+
+
+def save_json(rows: DataFrame, key: str, folder: str, overwrite: bool = False) -> None:
+    """Archives or glossaries (key, content) as files `key.json` under a folder."""
+    packages.publish(rows.select(F.concat(F.col(key).cast("string"), F.lit(".json")).alias("name"), F.col("content").cast("binary").alias("content")), folder, overwrite)
