@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import PRODUCTION_MARKS, PRODUCTION_TITLE, format_prefix, is_word_count_line, number_of, strip, u
 from quire.operators.package import references
 from quire.operators.segment import remapped
+from quire.operators.tree import preorder
+from quire.sources.files import stored
 
 
 def merged_volumes(chapters: DataFrame, title: str = "", series: str | None = None) -> DataFrame:
@@ -111,51 +111,16 @@ def title_records(chapters: DataFrame) -> DataFrame:
     )
 
 
-def _tree_places(index: list, parent: list, number: list, by_number: bool) -> tuple[list[int], list[int]]:
-    """For each chapter of a book its place (from 1) in the order of the tree and among its siblings."""
-    up = {i: p for i, p in zip(index, parent, strict=True)}
-    seen: dict = {}
-    cut = set()
-    for start in up:
-        node, way = start, []
-        while node in up and node not in seen:
-            seen[node] = start
-            way.append(node)
-            node = up[node]
-        if node in up and seen[node] == start:  # the way ran into itself
-            cut.add(min(way[way.index(node) :]))
-    children: dict = {}
-    for row, (i, p) in enumerate(zip(index, parent, strict=True)):
-        children.setdefault(None if p not in up or i in cut else p, []).append(row)
-    place, seq = [0] * len(index), [0] * len(index)
-    for group in children.values():
-        numbered = by_number and all(number[r] is not None for r in group)
-        group.sort(key=lambda r: (number[r] if numbered else 0, index[r]))
-        for n, r in enumerate(group, 1):
-            seq[r] = n
-    left, n = children.pop(None, [])[::-1], 0
-    while left:
-        row = left.pop()
-        n += 1
-        place[row] = n
-        left += children.pop(index[row], [])[::-1]
-    return place, seq
-
-
 def organised(chapters: DataFrame, book: str, template: str, by_number: bool) -> DataFrame:
     """New order and titles of a tree of chapters (book, chapter_index, parent_index, heading_level, title).
 
     Siblings are ordered by their numbers if all have one, else as they stand; the order is the
     tree's, parents first, whatever its depth; titles of level 1 stay.  The smallest chapter of a
-    cycle of parents counts as one without a parent.  A book's titles are one group of one task.
+    cycle of parents counts as one without a parent.
     """
-
-    def placed(table: pa.Table) -> pa.Table:
-        place, seq = _tree_places(*(table[c].to_pylist() for c in ("chapter_index", "parent_index", "number")), by_number)
-        return table.append_column("new_index", pa.array(place, pa.int64())).append_column("seq", pa.array(seq, pa.int64()))
-
-    rows = title_records(chapters.select(book, "chapter_index", "parent_index", "heading_level", "title"))
-    rows = rows.groupBy(book).applyInArrow(placed, StructType([*rows.schema.fields, StructField("new_index", LongType()), StructField("seq", LongType())]))
+    rows = stored(title_records(chapters.select(book, "chapter_index", "parent_index", "heading_level", "title")), "titles")
+    placed = preorder(rows, book, "chapter_index", "parent_index", "number" if by_number else None)
+    rows = rows.join(placed.select(book, F.col("node").alias("chapter_index"), F.col("place").alias("new_index"), "seq"), [book, "chapter_index"])
     use = F.lit(by_number) & F.col("number").isNotNull()
     new = strip(F.concat(F.when(use, format_prefix(template, F.col("number"))).otherwise(format_prefix(template, F.col("seq"))), strip(F.when(use, F.col("content")).otherwise(F.coalesce("title", F.lit(""))))))
     return rows.select(book, "new_index", "chapter_index", F.when(F.col("heading_level") == 1, strip(F.coalesce("title", F.lit("")))).otherwise(new).alias("new_title"))
