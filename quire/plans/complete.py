@@ -15,6 +15,7 @@ read; the calls themselves are `asked`.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
@@ -31,8 +32,8 @@ from quire.operators.archive import latest, pending
 from quire.sources.archives import ARCHIVE
 
 LEDGER = "chunk_id string, reply string, error string, attempts int, seq long"
-#: Entries that a task hands on together.
-HELD = 16
+#: Entries that a task hands on together, and seconds between two looks at whether to stop.
+HELD, POLL = 16, 0.2
 
 
 class Completer(Protocol):
@@ -96,11 +97,64 @@ def changed(now: DataFrame, before: DataFrame, book: str) -> DataFrame:
     return found.where("change IS NOT NULL")
 
 
-def asked(work: DataFrame, key: str, factory: Callable[[], Completer], seq: int = 0, retries: int = 4, delay: float = 3.0, tasks: int | None = None, stop: Callable[[], bool] | None = None) -> DataFrame:
+class Stopped(Exception):
+    """The run was stopped while a call was under way."""
+
+
+class Watched:
+    """Counts of a run that grow while it goes on, as its tasks end; a task that is run again counts again."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.completed, self.failed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def __call__(self) -> tuple[int, int]:
+        """(completed, failed) so far."""
+        return self.completed.value, self.failed.value
+
+
+def _waited(seconds: float, stop: Callable[[], bool] | None, over: Callable[[float], bool]) -> None:
+    """Until over(seconds to wait for it) says so or the time is up; looks at `stop` every POLL seconds."""
+    until = time.monotonic() + seconds
+    while (left := until - time.monotonic()) > 0 and not over(min(left, POLL) if stop is not None else left):
+        if stop is not None and stop():
+            raise Stopped
+
+
+def _called(service: Completer, prompt: str, stop: Callable[[], bool] | None) -> str:
+    """The reply; where `stop` says so, the call is left to itself in its thread and Stopped is raised."""
+    if stop is None:
+        return service.complete(prompt)
+    said: list[tuple[str | None, Exception | None]] = []
+
+    def work() -> None:
+        try:
+            said.append((service.complete(prompt), None))
+        except Exception as e:  # noqa: BLE001  handed on below
+            said.append((None, e))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+
+    def over(wait: float) -> bool:
+        thread.join(wait)
+        return not thread.is_alive()
+
+    _waited(float("inf"), stop, over)
+    reply, error = said[0]
+    if error is not None:
+        raise error
+    return reply
+
+
+def asked(
+    work: DataFrame, key: str, factory: Callable[[], Completer], seq: int = 0, retries: int = 4, delay: float = 3.0, tasks: int | None = None,
+    stop: Callable[[], bool] | None = None, watched: Watched | None = None,
+) -> DataFrame:
     """A ledger entry (with `key` for chunk_id) for every row (key, prompt).
 
     Waits double after each failure, and `tasks` bounds the calls at a time.  Where `stop` is
-    given and says so, the rest of the work gets no entry and stays pending.
+    given and says so, a call or wait under way is given up within POLL seconds, and it and the
+    rest of the work get no entry and stay pending; what was finished is handed on.
     """
     schema = pa.schema([(key, pa.string()), ("reply", pa.string()), ("error", pa.string()), ("attempts", pa.int32()), ("seq", pa.int64())])
 
@@ -108,14 +162,16 @@ def asked(work: DataFrame, key: str, factory: Callable[[], Completer], seq: int
         error = None
         for attempt in range(1, retries + 1):
             try:
-                reply = service.complete(prompt)
+                reply = _called(service, prompt, stop)
                 if reply is None:
                     raise ValueError("empty reply")
                 return reply, None, attempt
+            except Stopped:
+                raise
             except Exception as e:  # noqa: BLE001  a service fails in its own ways
                 error = f"{type(e).__name__}: {e}"
                 if attempt < retries:
-                    time.sleep(delay * 2 ** (attempt - 1))
+                    _waited(delay * 2 ** (attempt - 1), stop, lambda wait: bool(time.sleep(wait)))
         return None, error, retries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +182,12 @@ def asked(work: DataFrame, key: str, factory: Callable[[], Completer], seq: int
                 if stop is not None and stop():
                     break
                 service = service or factory()
-                reply, error, attempts = one(service, prompt)
+                try:
+                    reply, error, attempts = one(service, prompt)
+                except Stopped:
+                    break
+                if watched is not None:
+                    (watched.completed if error is None else watched.failed).add(1)
                 held.append({key: name, "reply": reply, "error": error, "attempts": attempts, "seq": seq})
                 if len(held) == HELD:
                     yield pa.RecordBatch.from_pylist(held, schema)

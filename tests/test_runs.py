@@ -1,6 +1,9 @@
 """Runs that go on after another: nothing is lost, unchanged chunks are reused, structures are compared."""
 
 import json
+import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +106,66 @@ def test_a_whole_run_gives_titles_and_archives(spark, tmp_path):
     assert {r["archive"]: r["problem"] for r in read.collect()}["a"] is None
     signed = rows.where("archive = 'a'").select("archive", "chunk_signature", "total_chunks", F.lit(1800).alias("chunk_chars"), F.lit(2600).alias("max_paragraph_chars"), F.map_keys("completed").alias("chunk_ids"))
     assert archives.resume_problem(read.where("archive = 'a'"), signed).first()["problem"] is None
+
+
+def test_a_hanging_call_is_given_up_and_what_is_finished_stays(spark, tmp_path):
+    flag = str(tmp_path / "stop")
+
+    class Hangs:
+        def complete(self, prompt):
+            import time
+
+            if "hang" in prompt:
+                time.sleep(600)
+            return "done"
+
+    def stop():
+        import os
+
+        return os.path.exists(flag)
+
+    work = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "hang"), ("d", "z")], "chunk_id string, prompt string").coalesce(1)
+    timer = threading.Timer(3, lambda: open(flag, "w").close())
+    timer.start()
+    began = time.monotonic()
+    entries = complete.asked(work, "chunk_id", Hangs, stop=stop, delay=0).collect()
+    assert [r["chunk_id"] for r in entries] == ["a", "b"] and time.monotonic() - began < 20 and os.path.exists(flag)
+    started = time.monotonic()
+    with pytest.raises(complete.Stopped):
+        complete._called(Hangs(), "hang", lambda: time.monotonic() - started > 0.3)
+    assert time.monotonic() - started < 1.5
+    with pytest.raises(complete.Stopped):
+        complete._waited(60, lambda: True, lambda wait: bool(time.sleep(wait)))
+
+
+def test_counts_arrive_while_a_run_goes_on(spark):
+    class Some:
+        def complete(self, prompt):
+            import time
+
+            time.sleep(4 if prompt == "slow" else 0)
+            if prompt == "bad":
+                raise RuntimeError("bad")
+            return "fine"
+
+    watched = complete.Watched(spark)
+    work = spark.createDataFrame([("a", "quick"), ("b", "bad"), ("c", "slow")], "chunk_id string, prompt string").repartitionByRange(3, "chunk_id")
+    seen = []
+    thread = threading.Thread(target=lambda: complete.asked(work, "chunk_id", Some, retries=1, delay=0, watched=watched).collect())
+    thread.start()
+    while thread.is_alive():
+        seen.append(watched())
+        time.sleep(0.1)
+    assert watched() == (2, 1) and (1, 1) in seen
+
+
+def test_calls_with_a_stop_give_replies_and_errors_as_without(spark):
+    class Service:
+        def complete(self, prompt):
+            if prompt == "bad":
+                raise KeyError("bad")
+            return None if prompt == "none" else prompt.upper()
+
+    work = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", "none")], "chunk_id string, prompt string")
+    plain, watched = (sorted(map(tuple, complete.asked(work, "chunk_id", Service, retries=2, delay=0.01, stop=s).collect())) for s in (None, lambda: False))
+    assert plain == watched == [("a", "X", None, 1, 0), ("b", None, "KeyError: 'bad'", 2, 0), ("c", None, "ValueError: empty reply", 2, 0)]
