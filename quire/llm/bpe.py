@@ -124,11 +124,11 @@ def _with_places(keyed: DataFrame, count: int, total: int) -> DataFrame:
     return keyed.join(F.broadcast(own), "_key", "left").withColumn("_place", F.coalesce("_own", by_key))
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """doc_id, block and compressed text, dealt by block; blocks have about BLOCK_BYTES, half as much again at the most, or less where shuffle partitions are more."""
+def _blocks(documents: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id, block and compressed text, dealt by block; blocks have about `block_bytes`, half as much again at the most, or less where shuffle partitions are more."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = n * max(1, round(int(total) / (BLOCK_BYTES * n)))  # as many in every partition
+    count = n * max(1, round(int(total) / (block_bytes * n)))  # as many in every partition
     # rows that share an id, or have none, are dealt by their text
     key = F.xxhash64("doc_id", "text")
     placed = _with_places(documents.select("doc_id", "text", key.alias("_key")), count, int(total))
@@ -219,7 +219,7 @@ def _encoded(words: DataFrame, content) -> DataFrame:
     return table.mapInArrow(run, "block int, blob binary")
 
 
-def _assembled(documents: DataFrame, path: str, make, columns: str, kinds: list[pa.DataType]) -> DataFrame:
+def _assembled(documents: DataFrame, path: str, make, columns: str, kinds: list[pa.DataType], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Apply make(ids, decoder) to the token ids of every document."""
     spark = documents.sparkSession
     text = vocabulary(path)
@@ -257,7 +257,7 @@ def _assembled(documents: DataFrame, path: str, make, columns: str, kinds: list[
         tb.trim()
         return pa.table([left.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names)
 
-    blocks = _blocks(documents)
+    blocks = _blocks(documents, block_bytes)
     kind = documents.schema["doc_id"].dataType.simpleString()
     back = _encoded(_words(blocks, special), content)
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {columns}")
@@ -290,11 +290,11 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     )
 
 
-def tokens(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digest of the text decoded from the ids."""
+def tokens(documents: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digest of the text decoded from the ids; smaller blocks take less memory in a task and more room in the shuffle."""
     return _assembled(
         documents, path, lambda ids, decoder: (len(ids), ids.astype(np.int32), hashlib.sha256(decoder(ids).decode("utf-8", "replace").encode()).hexdigest()),
-        "n_tokens long, ids array<int>, decoded_sha256 string", [pa.int64(), pa.list_(pa.int32()), pa.string()],
+        "n_tokens long, ids array<int>, decoded_sha256 string", [pa.int64(), pa.list_(pa.int32()), pa.string()], block_bytes,
     )
 
 
