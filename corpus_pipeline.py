@@ -22,6 +22,8 @@ from quire.llm.common import release, written
 
 #: The vocabulary of the last stage.
 TOKENIZER = "byte_bpe_50k.json"
+#: Bytes of texts that a task of it holds: fewer than by default, beside what workers keep of the stages before.
+BLOCK_BYTES = 6 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens; repeated rows are encoded one by one.
     """
-    return bpe.tokens(docs, public_tokenizers.path(TOKENIZER))
+    return bpe.tokens(docs, public_tokenizers.path(TOKENIZER), BLOCK_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
