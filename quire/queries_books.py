@@ -128,25 +128,25 @@ def recut_books(spark, sf):
     return made.select("book", F.col("chapter_index").cast("long").alias("chapter_index"), "title", F.sha2(F.array_join("paragraphs", "\n"), 256).alias("sha"))
 
 
-@query(f"""WITH {_BOOKS}, c AS (SELECT bk.book, bk.chapter_index AS i, coalesce(x.n, 0) AS n FROM bk LEFT JOIN (SELECT book, chapter_index, sum(length(text)) AS n FROM bp WHERE length(text) < 300 GROUP BY 1, 2) x USING (book, chapter_index)),
+@query(f"""WITH {_BOOKS}, c AS (SELECT bk.book, bk.chapter_index AS i, CASE WHEN bk.chapter_index % 7 = 3 THEN 0 ELSE coalesce(x.n, 0) END AS n FROM bk LEFT JOIN (SELECT book, chapter_index, sum(length(text)) AS n FROM bp GROUP BY 1, 2) x USING (book, chapter_index)),
 k AS (SELECT book, i, n, row_number() OVER (PARTITION BY book ORDER BY i) - 1 AS new FROM c WHERE n > 0)
 SELECT k.book, k.new AS chapter_index, p.new AS parent_index, 'EP.' || k.i AS title FROM k LEFT JOIN k p ON p.book = k.book AND p.i = k.i - (k.i - 1) % 5 AND p.i <> k.i""")
 def filled_chapters(spark, sf):
-    """Chapters without long lines, those that are empty then dropped and the others numbered anew."""
-    df = _books(spark, sf).withColumn("paragraphs", F.filter("paragraphs", lambda p: F.length(p) < 300))
+    """One of seven chapters loses its text; those without any are dropped and the others numbered anew."""
+    df = _books(spark, sf).withColumn("paragraphs", F.when(F.col("chapter_index") % 7 == 3, F.array().cast("array<string>")).otherwise(F.col("paragraphs")))
     return segment.without_empty(df, "book").select("book", F.col("chapter_index").cast("long").alias("chapter_index"), F.col("parent_index").cast("long").alias("parent_index"), "title")
 
 
-@query("""WITH d AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE n_chars >= 500), a AS (SELECT source AS book, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS j, n_chars FROM documents),
-k AS (SELECT book, j, row_number() OVER (PARTITION BY book ORDER BY j) AS new FROM a WHERE n_chars >= 500)
+@query("""WITH a AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS j FROM documents),
+k AS (SELECT book, j, row_number() OVER (PARTITION BY book ORDER BY j) AS new FROM a WHERE j % 7 <> 3 AND j % 10 <> 1)
 SELECT k.book, k.new AS chapter_index, p.new AS parent_index FROM k LEFT JOIN k p ON p.book = k.book AND p.j = k.j - (k.j - 1) % 5 AND p.j <> k.j""")
 def renumbered_chapters(spark, sf):
-    """Chapters that are left after short documents are taken out, numbered from 1."""
+    """Chapters that are left after some, parents too, are taken out, numbered from 1."""
     from pyspark.sql import Window
 
-    d = documents(spark, sf).select(F.col("source").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_index"), "n_chars")
+    d = documents(spark, sf).select(F.col("source").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("chapter_index"))
     top = F.col("chapter_index") - (F.col("chapter_index") - 1) % 5
-    d = d.withColumn("parent_index", F.when(F.col("chapter_index") != top, top)).where("n_chars >= 500").drop("n_chars")
+    d = d.withColumn("parent_index", F.when(F.col("chapter_index") != top, top)).where("chapter_index % 7 <> 3 AND chapter_index % 10 <> 1")
     return segment.renumbered(d, "book").select("book", F.col("chapter_index").cast("long").alias("chapter_index"), F.col("parent_index").cast("long").alias("parent_index"))
 
 
@@ -228,10 +228,10 @@ def merged_resources(spark, sf):
     return books.shared_resources(rows).select("volume_no", "name", "merged_name")
 
 
-@query(f"""WITH {_LINES} SELECT doc_id, CAST(ord AS BIGINT) AS ord, text = upper(text) AND FALSE AS x, (length(text) <= 60 AND (regexp_matches(text, '“[^”]*”') OR regexp_matches(text, '"[^"]+"') OR regexp_matches(text, '''[^'']+''') OR regexp_matches(text, '‘[^’]*’|「[^」]*」|『[^』]*』'))) AS spoken FROM paras""")
+@query(f"""WITH {_LINES} SELECT doc_id, CAST(ord AS BIGINT) AS ord, regexp_matches(text, '“[^”]*”') OR regexp_matches(text, '"[^"]+"') OR regexp_matches(text, '''[^'']+''') OR regexp_matches(text, '‘[^’]*’|「[^」]*」|『[^』]*』') AS spoken FROM paras""")
 def spoken_lines(spark, sf):
-    """Short lines with direct speech."""
-    return _paragraphs(spark, sf).select("doc_id", F.col("ord").cast("long").alias("ord"), F.lit(False).alias("x"), ((F.length("text") <= 60) & t.has_dialogue(F.col("text"))).alias("spoken"))
+    """Lines with direct speech, whatever their length."""
+    return _paragraphs(spark, sf).select("doc_id", F.col("ord").cast("long").alias("ord"), t.has_dialogue(F.col("text")).alias("spoken"))
 
 
 @query("""WITH d AS (SELECT source, doc_id AS position, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents), c AS (SELECT * FROM d WHERE k <= 5),
