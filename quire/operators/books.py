@@ -37,12 +37,21 @@ def merged_volumes(chapters: DataFrame, title: str = "", series: str | None = No
 
 
 def centre(rows: DataFrame, book: str, size: str = "chars") -> DataFrame:
-    """(book, content_count, centre): the mean without the smallest and largest tenth, or the median where the two differ by more than twice."""
-    of_book = Window.partitionBy(book)
-    ranked = rows.where(F.col(size) > 0).withColumn("n", F.count("*").over(of_book)).withColumn("r", F.row_number().over(of_book.orderBy(size)))
-    k = F.floor(F.col("n") * 0.1)
-    inside = (F.col("r") > k) & (F.col("r") <= F.col("n") - k)
-    out = ranked.groupBy(book).agg(F.count("*").alias("content_count"), F.avg(F.when(inside, F.col(size))).alias("mean"), F.median(size).alias("median"))
+    """(book, content_count, centre): the mean without the smallest and largest tenth, or the median where the two differ by more than twice.
+
+    Worked out from the counts of distinct sizes: no task has all chapters of a book.
+    """
+    counts = rows.where(F.col(size) > 0).groupBy(book, F.col(size).alias("_v")).agg(F.count("*").alias("_c"))
+    totals = counts.groupBy(book).agg(F.sum("_c").alias("n"))
+    ahead = Window.partitionBy(book).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)  # a row a distinct size
+    placed = counts.withColumn("_low", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).join(totals, book)
+    high, k = F.col("_low") + F.col("_c"), F.floor(F.col("n") * 0.1)
+    inside = F.greatest(F.lit(0), F.least(high, F.col("n") - k) - F.greatest("_low", k))
+    at = lambda rank: F.max(F.when((F.col("_low") < rank) & (rank <= high), F.col("_v")))
+    out = placed.groupBy(book).agg(
+        F.max("n").alias("content_count"), (F.sum(F.col("_v") * inside) / F.sum(inside)).alias("mean"),
+        ((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor((F.col("n") + 2) / 2))) / 2).alias("median"),
+    )
     return out.select(book, "content_count", F.when((F.col("median") > 0) & ~F.col("mean").between(F.col("median") * 0.5, F.col("median") * 2), F.col("median")).otherwise(F.col("mean")).alias("centre"))
 
 
@@ -52,10 +61,21 @@ def abnormal(rows: DataFrame, book: str, percent: float = 50) -> DataFrame:
     return rows.where("chars > 0").join(centre(rows, book), book).where(~near)
 
 
+def _minutes(a_minute: int) -> Column:
+    return F.bround(F.col("chars") / a_minute).cast("long").alias("minutes")
+
+
 def volume_chars(chapters: DataFrame, volume: str, a_minute: int = 400) -> DataFrame:
-    """(volume, chars, minutes, chapters, total): sizes of each volume and, with total 1 and no volume, of all together."""
+    """(volume, chars, minutes, chapters, total): sizes of each volume and, with total 1 and no volume, of all together; minutes are rounded, halves to even."""
     sized = chapters.rollup(volume).agg(F.sum("chars").alias("chars"), F.count("*").alias("chapters"), F.grouping(volume).cast("long").alias("total"))
-    return sized.select(volume, "chars", F.floor(F.col("chars") / a_minute).alias("minutes"), "chapters", "total")
+    return sized.select(volume, "chars", _minutes(a_minute), "chapters", "total")
+
+
+def char_tree(chapters: DataFrame, volume: str, chapter: str, a_minute: int = 400) -> DataFrame:
+    """(volume, chapter, level, chars, minutes): level 0 is every chapter, 1 every volume, 2 all together."""
+    level = (F.grouping(volume) + F.grouping(chapter)).cast("int").alias("level")
+    sized = chapters.rollup(volume, chapter).agg(F.sum("chars").alias("chars"), level)
+    return sized.select(volume, chapter, "level", "chars", _minutes(a_minute))
 
 
 def is_production(title: Column, paragraphs: Column) -> Column:
@@ -162,4 +182,4 @@ def shared_resources(resources: DataFrame) -> DataFrame:
     return keyed.join(named.select("base", "sha", "merged_name"), ["base", "sha"]).select("volume_no", "name", "merged_name", "sha")
 
 
-__all__ = ["abnormal", "centre", "format_report", "is_production", "merged_volumes", "organised", "remapped", "shared_resources", "title_records", "with_word_counts", "without_format"]
+__all__ = ["abnormal", "centre", "char_tree", "format_report", "is_production", "merged_volumes", "organised", "remapped", "shared_resources", "title_records", "volume_chars", "with_word_counts", "without_format"]

@@ -334,11 +334,16 @@ def text_predicates(spark, sf):
     return documents(spark, sf).select("doc_id", F.length(t.replaced(c, "[^a-e]")).cast("long").alias("a_to_e"), t.has_han(c).alias("han"), t.is_weak_title(c).alias("weak"))
 
 
-@query("""SELECT source, sum(n_chars) AS chars, sum(n_chars) // 400 AS minutes, count(*) AS chapters, grouping(source) AS total FROM documents GROUP BY ROLLUP (source)""")
+@query("""SELECT source, sum(n_chars) AS chars, CAST(round_even(sum(n_chars) / 400.0, 0) AS BIGINT) AS minutes, count(*) AS chapters, grouping(source) AS total FROM documents GROUP BY ROLLUP (source)""")
 def volume_chars(spark, sf):
     return books.volume_chars(documents(spark, sf).select("source", F.col("n_chars").alias("chars")), "source")
 
 
+@query("""SELECT source, doc_id, CAST(grouping(source) + grouping(doc_id) AS INT) AS level, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(round_even(sum(n_chars) / 400.0, 0) AS BIGINT) AS minutes FROM documents GROUP BY ROLLUP (source, doc_id)""")
+def char_tree(spark, sf):
+    return books.char_tree(documents(spark, sf).select("source", "doc_id", F.col("n_chars").alias("chars")), "source", "doc_id")
+
+
 @query()
 def html_text_nodes(spark, sf):
     from quire.functions.html import text_nodes
