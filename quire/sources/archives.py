@@ -223,33 +223,58 @@ def state_file(folder: str, name: Column, kind: str = "translation_state") -> Co
     return F.concat(F.lit(folder.rstrip("/") + "/."), name, F.lit(f".{kind}.json"))
 
 
-def encoded_metadata(metadata: dict) -> dict:
-    """Metadata of a book for JSON: resources as (name, base64), lists of styles by document, and the document structure."""
-    out = {}
-    for key in ("css_resources", "images"):
-        if metadata.get(key):
-            raw = [(str(r.get("name", "")), r.get("content", b"")) for r in metadata[key]]
-            out[key] = [{"name": n, "content_b64": base64.b64encode(c.encode() if isinstance(c, str) else bytes(c)).decode()} for n, c in raw]
-    out |= {key: {str(k): list(v) for k, v in metadata[key].items()} for key in ("doc_inline_css", "chapter_css") if metadata.get(key)}
-    return out | ({"document_structure": metadata["document_structure"]} if metadata.get("document_structure") else {})
+class _Files:
+    """Named contents: bytes in a book, base64 text in JSON."""
 
+    @staticmethod
+    def to_json(files: list[dict]) -> list[dict]:
+        raw = [(f.get("content") or b"") for f in files]
+        return [{"name": str(f.get("name", "")), "content_b64": base64.b64encode(c.encode() if isinstance(c, str) else c).decode()} for f, c in zip(files, raw, strict=True)]
 
-def decoded_metadata(data: dict | None) -> dict:
-    """The inverse of `encoded_metadata`; what is no base64 is taken as the bytes of its text."""
+    @classmethod
+    def from_json(cls, files: list[dict]) -> list[dict]:
+        return [{"name": str(f.get("name", "")), "content": cls._bytes(f.get("content_b64") or f.get("content") or "")} for f in files]
 
-    def content(resource: dict) -> bytes:
-        said = resource.get("content_b64") or resource.get("content") or b""
-        if not isinstance(said, str):
-            return bytes(said)
+    @staticmethod
+    def _bytes(said: str | bytes) -> bytes:
         try:
-            return base64.b64decode(said)
-        except binascii.Error:
+            return base64.b64decode(said) if isinstance(said, str) else bytes(said)
+        except binascii.Error:  # written before contents were encoded
             return said.encode()
 
-    data = data or {}
-    out = {key: [{"name": str(r.get("name", "")), "content": content(r)} for r in data[key]] for key in ("css_resources", "images") if data.get(key)}
-    out |= {key: {str(k): list(v) for k, v in data[key].items()} for key in ("doc_inline_css", "chapter_css") if data.get(key)}
-    return out | ({"document_structure": data["document_structure"]} if data.get("document_structure") else {})
+
+class _Lists:
+    """Lists by document."""
+
+    @staticmethod
+    def to_json(lists: dict) -> dict:
+        return {str(k): list(v) for k, v in lists.items()}
+
+    from_json = to_json
+
+
+class _Same:
+    """What JSON has too."""
+
+    @staticmethod
+    def to_json(value: dict) -> dict:
+        return value
+
+    from_json = to_json
+
+
+#: The parts of a book's metadata that its archive keeps, and how each is written and read.
+METADATA = {"css_resources": _Files, "images": _Files, "doc_inline_css": _Lists, "chapter_css": _Lists, "document_structure": _Same}
+
+
+def encoded_metadata(metadata: dict) -> dict:
+    """Metadata of a book for JSON: the parts of METADATA that it has."""
+    return {part: kind.to_json(metadata[part]) for part, kind in METADATA.items() if metadata.get(part)}
+
+
+def decoded_metadata(data: dict | None) -> dict:
+    """The inverse of `encoded_metadata`; contents that are no base64 are the bytes of their text."""
+    return {part: kind.from_json(data[part]) for part, kind in METADATA.items() if data.get(part)} if data else {}
 
 
 def glossary_from_json(rows: DataFrame) -> DataFrame:
