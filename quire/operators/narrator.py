@@ -20,6 +20,7 @@ from quire.functions.replace import one_pass_each
 from quire.functions.text import edge_whitespace_kept, strip
 from quire.operators.archive import latest
 from quire.operators.glossary import valid
+from quire.operators.packs import packs
 from quire.operators.segment import pack_starts
 from quire.sources.epub import declared
 
@@ -27,6 +28,8 @@ from quire.sources.epub import declared
 STYLES = ("pronoun", "full_name", "short_name")
 STRATEGIES = ("conservative", "coverage")
 MODE = "first_to_third"
+#: Blocks of a file whose numbers and sizes are gathered in one row.
+GATHERED = 10_000
 _MARKUP = re.compile(r"<\s*/?\s*[A-Za-z!][^>]*>")
 
 
@@ -85,11 +88,22 @@ def blocks(nodes: DataFrame, file: str, options: Options) -> DataFrame:
     return out.where(options.checked().eligible(F.col("class")))
 
 
-def batches(blocks_: DataFrame, file: str, most: int) -> DataFrame:
+def batches(blocks_: DataFrame, file: str, most: int, gathered: int = GATHERED) -> DataFrame:
     """Blocks (file, block, chars) with the `batch` of their file: greedy, an empty block counts as one character.
 
-    Only numbers and sizes of a file's blocks are gathered; texts stay where they are.
+    Only numbers and sizes are moved; texts stay where they are.  Files of at most `gathered`
+    blocks are folded in a row of their own, larger ones are packed in parallel (`packs`).
     """
+    counts = blocks_.groupBy(F.struct(F.col(file).alias("f")).alias("_f")).count().where(F.col("count") > gathered)
+    keyed = blocks_.select(file, "block", "chars", F.struct(F.col(file).alias("f")).alias("_f"))
+    if counts.isEmpty():
+        return _folded(blocks_, file, most)
+    large = packs(keyed.join(counts.select("_f"), "_f", "left_semi"), file, "block", "chars", most).select(file, "batch", "block")
+    small = keyed.join(counts.select("_f"), "_f", "left_anti")
+    return _folded(small, file, most).unionByName(large)
+
+
+def _folded(blocks_: DataFrame, file: str, most: int) -> DataFrame:
     sizes = blocks_.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("block", F.greatest("chars", F.lit(1)).alias("n")))).alias("_b"))
     starts = sizes.withColumn("_s", pack_starts(F.transform("_b", lambda b: b["n"]), most, 0))
     numbered = starts.select(file, F.posexplode("_s").alias("batch", "_at"), F.slice("_s", F.col("batch") + 2, 1).alias("_next"), "_b")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.functions.replace import one_pass, replacements
-from quire.operators import archive, books, glossary, narrator, sample, segment
+from quire.operators import archive, books, glossary, narrator, packs, sample, segment
 
 #: Headings in the stand-in corpus: a line of one or two words with a full stop.
 LATIN = "^[^ ]+\\.$|^[^ ]+ [^ ]+\\.$"
@@ -405,7 +405,7 @@ WITH RECURSIVE f AS (SELECT file, k, n AS held, 0 AS batch FROM b WHERE k = 1 UN
 SELECT file, CAST(batch AS INT) AS batch, block FROM r JOIN b USING (file, k)""")
 def block_batches(spark, sf):
     rows = documents(spark, sf).select(F.col("source").alias("file"), F.col("doc_id").alias("block"), F.col("n_chars").alias("chars"))
-    return narrator.batches(rows, "file", 3000)
+    return packs.packs(rows, "file", "block", "chars", 3000).select("file", "batch", "block")  # a source may hold a third of all rows
 
 
 @query()

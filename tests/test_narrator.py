@@ -31,6 +31,17 @@ def test_batches(spark):
     assert narrator.batches(spark.createDataFrame([], BLOCK), "file", 10).count() == 0
 
 
+def test_batches_of_large_files_are_those_of_the_fold(spark):
+    rows = [(f, i, "narration", [], (i * 7919 + i * i) % 23 * (i % 5 > 0) + 60 * (i % 97 == 5)) for f, n in (("a", 900), (None, 120), ("c", 1), ("d", 7)) for i in range(n)]
+    blocks = spark.createDataFrame(rows, BLOCK)
+    read = lambda most, **o: sorted((str(r["file"]), r["block"], r["batch"]) for r in narrator.batches(blocks, "file", most, **o).collect())
+    for most in (50, 5000):
+        folded = read(most)
+        assert len(folded) == len(rows) and read(most, gathered=0) == folded
+    assert read(50, gathered=10) == read(50)
+    assert narrator.batches(blocks.where("false"), "file", 10, gathered=0).count() == 0
+
+
 def test_ledger(spark):
     blocks = spark.createDataFrame([("a", 0, "narration", [" x ", "y"], 4), ("a", 1, "narration", ["z"], 1), ("a", 2, "narration", ["w"], 1)], BLOCK)
     edits = spark.createDataFrame(
