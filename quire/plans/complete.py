@@ -15,8 +15,10 @@ read; the calls themselves are `asked`.
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
@@ -32,6 +34,7 @@ from quire.operators.archive import latest, pending
 from quire.sources.archives import ARCHIVE
 
 LEDGER = "chunk_id string, reply string, error string, attempts int, seq long"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Entries that a task hands on together, and seconds between two looks at whether to stop.
 HELD, POLL = 16, 0.2
 
@@ -215,15 +218,36 @@ def rounds(spark: SparkSession, chunks: DataFrame, folder: str, instruction: str
 
     Each round appends a file set, so that a run that is broken off loses its own round alone.
     """
+    return _rounds(spark, chunks, folder, instruction, factory, most, **options)[0]
+
+
+def _rounds(spark: SparkSession, chunks: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], most: int = 3, **options) -> tuple[DataFrame, bool]:
+    """The ledger of `rounds`, and whether it was seen to have a reply for every chunk."""
     ledger = _stored(spark, folder, LEDGER)
     for _ in range(most):
         ledger = spark.read.schema(LEDGER).parquet(folder)
         done = latest(ledger, "chunk_id").where(F.col("error").isNull())
-        if pending(chunks, done, "chunk_id").isEmpty():
-            break
-        seq = (ledger.agg(F.max("seq")).first()[0] or 0) + 1
-        resumed(chunks, ledger, instruction, factory, seq=seq, **options).write.mode("append").parquet(folder)
-    return spark.read.schema(LEDGER).parquet(folder)
+        with _shuffles_removed(spark):
+            if pending(chunks, done, "chunk_id").isEmpty():
+                return ledger, ledger.where("error IS NULL AND reply IS NULL").isEmpty()
+            seq = (ledger.agg(F.max("seq")).first()[0] or 0) + 1
+            _append(resumed(chunks, ledger, instruction, factory, seq=seq, **options), folder)
+    return spark.read.schema(LEDGER).parquet(folder), False
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Files of shuffles go when the query that made them ends: else those of all rounds stay until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def _append(df: DataFrame, folder: str) -> None:
+    df.write.mode("append").option("compression", "zstd").parquet(folder)
 
 
 def progress(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -242,6 +266,14 @@ def results(chunks: DataFrame, ledger: DataFrame, pairs: list[tuple[str, str]] |
     return both.withColumn("final", F.when(F.col("reply").isNotNull(), fitted).otherwise(F.col("paragraphs"))).drop("reply")
 
 
+def _replies(chunks: DataFrame, ledger: DataFrame, pairs: list[tuple[str, str]] | None, book: str) -> DataFrame:
+    """(book, chapter_index, chunk_index, final) as in `results` where every chunk has a reply: no source text is shuffled."""
+    done = latest(ledger, "chunk_id").where(F.col("error").isNull()).select("chunk_id", "reply")
+    places = chunks.select("chunk_id", book, "chapter_index", "chunk_index", F.size("paragraphs").alias("_n"))
+    fitted = translated(F.col("reply"), F.col("_n"))
+    return places.join(done, "chunk_id").select(book, "chapter_index", "chunk_index", (one_pass_each(fitted, pairs) if pairs else fitted).alias("final"))
+
+
 def title_prompts(chapters: DataFrame, book: str, instruction: str, glossary: str = "none") -> DataFrame:
     """(book, prompt): all titles of a book that are no decoration, with the numbers of their chapters, in one piece of work."""
     plain = chapters.where((F.coalesce("title", F.lit("")) != "") & ~is_decorative(F.col("title")))
@@ -299,7 +331,8 @@ class Run(NamedTuple):
 
 def run(
     spark: SparkSession, chapters: DataFrame, folder: str, instruction: str, factory: Callable[[], Completer], book: str = "book_id",
-    pairs: list[tuple[str, str]] | None = None, chunk_chars: int = 1800, paragraph_chars: int = 2600, refuse: bool = False, title_instruction: str | None = None, **options,
+    pairs: list[tuple[str, str]] | None = None, chunk_chars: int = 1800, paragraph_chars: int = 2600, refuse: bool = False, title_instruction: str | None = None,
+    keep: bool = False, **options,
 ) -> Run:
     """Chapters put through the service chunk by chunk, with ledgers and structures in `folder`; what fails three rounds stays in the source language.
 
@@ -307,6 +340,8 @@ def run(
     and asks for all others.  With `refuse` it raises Structural instead, before any call, where
     books that were there before have other chapters or chunks; new books are no change.  With
     `title_instruction` titles are asked for too, a book at a time, and chapters get title_zh.
+    With `keep` the finished chunks are written to `folder` before they are put together, so that
+    the shuffles of ledger and of chapters do not stand on disks at once.
     """
     from quire.operators.segment import chunks
 
@@ -314,20 +349,31 @@ def run(
     kind = chapters.schema[book].dataType.simpleString()
     index = cut.schema["chapter_index"].dataType.simpleString()
     stored = _stored(spark, f"{folder}/structure", f"{book} {kind}, chapter_index {index}, chunks long, digest string, run long")
-    at = (stored.agg(F.max("run")).first()[0] or 0) + 1
+    with _shuffles_removed(spark):
+        at = (stored.agg(F.max("run")).first()[0] or 0) + 1
     before = stored.where(F.col("run") == at - 1)  # the files that were there when `stored` was read
     now = structure(cut, book)
     changes = changed(now, before, book)
     if refuse:
         known = changes.join(before.where("chapter_index IS NULL").select(book), book).where("chapter_index IS NULL")
-        others = [r[0] for r in known.select(book).limit(5).collect()]
+        with _shuffles_removed(spark):
+            others = [r[0] for r in known.select(book).limit(5).collect()]
         if others:
             raise Structural(f"other chapters or chunks than in the run before, in books {others}")
-    now.withColumn("run", F.lit(at).cast("long")).write.mode("append").parquet(f"{folder}/structure")
+    with _shuffles_removed(spark):
+        now.withColumn("run", F.lit(at).cast("long")).write.mode("append").parquet(f"{folder}/structure")
 
-    ledger = rounds(spark, cut.dropDuplicates(["chunk_id"]), f"{folder}/ledger", instruction, factory, **options)
+    ledger, every = _rounds(spark, cut.dropDuplicates(["chunk_id"]), f"{folder}/ledger", instruction, factory, **options)
     done = results(cut, ledger, pairs)
-    finished = assembled_chapters(chapters, done, book)
+    # chapters with any text have chunks, which hold all of it; without keys they get none back
+    blank = ~F.exists("paragraphs", lambda p: strip(F.coalesce(p, F.lit(""))) != "")
+    bare = chapters.withColumn("paragraphs", F.when(blank | F.col(book).isNull() | F.col("chapter_index").isNull(), F.col("paragraphs")))
+    said = _replies(cut, ledger, pairs, book) if every else done.select(book, "chapter_index", "chunk_index", "final")
+    if keep:
+        with _shuffles_removed(spark):
+            _append(said, path := f"{folder}/finished/{uuid.uuid4().hex}")
+        said = spark.read.schema(said.schema).parquet(path)
+    finished = assembled_chapters(bare, said, book)
     if title_instruction is not None:
         work = title_prompts(chapters, book, title_instruction)
         keyed = work.withColumn("chunk_id", F.sha2("prompt", 256))

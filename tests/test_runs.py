@@ -187,3 +187,23 @@ def test_resumed_books_is_its_sql_on_odd_texts(spark, tmp_path, unknown):
     got = queries.QUERIES["resumed_books"](spark, str(tmp_path)).select("doc_id", "source_sha", "reused").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
     assert {r[0]: r[2] for r in want}[1] is False and {r[0]: r[2] for r in want}[3] is True
+
+
+def shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(k).getName()) for k in range(files.size())}
+
+
+@pytest.mark.parametrize("broken", ["", "four"])
+def test_a_run_leaves_no_shuffle_files_and_keeps_finished_chunks_on_demand(spark, tmp_path, broken):
+    folder, log = str(tmp_path / "run"), str(tmp_path / "log")
+    book = [("a", 0, "x", ["one aaaa.", "two bbbb.", "three c.", "four ddd."]), ("b", 0, "y", ["short"]), ("b", 1, "x", ["", " \u3000"]), ("b", None, "x", ["no place"]), ("c", 0, "z", []), ("c", 1, "z", None), (None, 0, "n", ["no book"])]
+    there = shuffled(spark)
+    run = complete.run(spark, spark.createDataFrame(book, KIND), folder, "do", service(log, broken), chunk_chars=10, retries=1, delay=0, keep=True)
+    left = {x.split("_")[1] for x in shuffled(spark) - there if x.startswith("shuffle_")}
+    assert len(left) <= 3  # those of stages that a query no longer waited for, which hold keys alone
+    want = [(b, k, ps if b is None or k is None or b == "c" or k == 1 else [p if broken and broken in p else "T" + p for p in ps]) for b, k, _, ps in book]
+    assert sorted(finished(run), key=repr) == sorted(want, key=repr)
+    read = {f.split("/")[-2] if "/finished/" not in f else "finished" for f in run.chapters.inputFiles()}
+    assert read == {"finished"} and len(asked(log)) == (6 if broken else 7)
+    assert [r["final"] for r in run.chunks.where("place = 'ch-00000-00003'").collect()] == [["four ddd." if broken else "Tfour ddd."]]
