@@ -227,7 +227,7 @@ def _rounds(spark: SparkSession, chunks: DataFrame, folder: str, instruction: st
     for _ in range(most):
         ledger = spark.read.schema(LEDGER).parquet(folder)
         done = latest(ledger, "chunk_id").where(F.col("error").isNull())
-        with _shuffles_removed(spark):
+        with shuffles_removed(spark):
             if pending(chunks, done, "chunk_id").isEmpty():
                 return ledger, ledger.where("error IS NULL AND reply IS NULL").isEmpty()
             seq = (ledger.agg(F.max("seq")).first()[0] or 0) + 1
@@ -236,7 +236,7 @@ def _rounds(spark: SparkSession, chunks: DataFrame, folder: str, instruction: st
 
 
 @contextlib.contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Files of shuffles go when the query that made them ends: else those of all rounds stay until the driver collects its garbage."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -349,18 +349,18 @@ def run(
     kind = chapters.schema[book].dataType.simpleString()
     index = cut.schema["chapter_index"].dataType.simpleString()
     stored = _stored(spark, f"{folder}/structure", f"{book} {kind}, chapter_index {index}, chunks long, digest string, run long")
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         at = (stored.agg(F.max("run")).first()[0] or 0) + 1
     before = stored.where(F.col("run") == at - 1)  # the files that were there when `stored` was read
     now = structure(cut, book)
     changes = changed(now, before, book)
     if refuse:
         known = changes.join(before.where("chapter_index IS NULL").select(book), book).where("chapter_index IS NULL")
-        with _shuffles_removed(spark):
+        with shuffles_removed(spark):
             others = [r[0] for r in known.select(book).limit(5).collect()]
         if others:
             raise Structural(f"other chapters or chunks than in the run before, in books {others}")
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         now.withColumn("run", F.lit(at).cast("long")).write.mode("append").parquet(f"{folder}/structure")
 
     ledger, every = _rounds(spark, cut.dropDuplicates(["chunk_id"]), f"{folder}/ledger", instruction, factory, **options)
@@ -370,7 +370,7 @@ def run(
     bare = chapters.withColumn("paragraphs", F.when(blank | F.col(book).isNull() | F.col("chapter_index").isNull(), F.col("paragraphs")))
     said = _replies(cut, ledger, pairs, book) if every else done.select(book, "chapter_index", "chunk_index", "final")
     if keep:
-        with _shuffles_removed(spark):
+        with shuffles_removed(spark):
             _append(said, path := f"{folder}/finished/{uuid.uuid4().hex}")
         said = spark.read.schema(said.schema).parquet(path)
     finished = assembled_chapters(bare, said, book)
