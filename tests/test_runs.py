@@ -201,7 +201,7 @@ def test_a_run_leaves_no_shuffle_files_and_keeps_finished_chunks_on_demand(spark
     there = shuffled(spark)
     run = complete.run(spark, spark.createDataFrame(book, KIND), folder, "do", service(log, broken), chunk_chars=10, retries=1, delay=0, keep=True)
     left = {x.split("_")[1] for x in shuffled(spark) - there if x.startswith("shuffle_")}
-    assert len(left) <= 3  # those of stages that a query no longer waited for, which hold keys alone
+    assert len(left) <= 3  # a few were still left, perhaps of stages that a query no longer waited for; without removal 4
     want = [(b, k, ps if b is None or k is None or b == "c" or k == 1 else [p if broken and broken in p else "T" + p for p in ps]) for b, k, _, ps in book]
     assert sorted(finished(run), key=repr) == sorted(want, key=repr)
     read = {f.split("/")[-2] if "/finished/" not in f else "finished" for f in run.chapters.inputFiles()}
